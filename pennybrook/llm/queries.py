@@ -32,6 +32,43 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+OP2 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL
+), bl AS (
+  SELECT item, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0
+), bw AS (
+  SELECT DISTINCT item, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
+  FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM bl)
+), dw AS (
+  SELECT r, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bl) WHERE len(w) >= n)
+), hit AS (
+  SELECT r, n, i, win FROM dw SEMI JOIN bw USING (n, win)
+), h AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r
+), it AS (
+  SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item COLLATE "C")) AS items_sha256
+  FROM (SELECT DISTINCT r, item FROM hit JOIN bw USING (n, win)) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN it USING (r)
+"""
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -64,8 +101,8 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op5_simhash_near_dedup, op7_quality_classifier, op8_best_fit_packing, op9_language_id, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_benchmark_decontamination, op5_simhash_near_dedup, op7_quality_classifier, op8_best_fit_packing, op9_language_id, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1}
+    return {"op1_exact_topk": OP1, "op2_benchmark_decontamination": OP2}
