@@ -69,6 +69,12 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets_scan
+
+    return secrets_scan.scan(table(spark, sf_dir, "documents"), path_col="source")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -76,6 +82,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_text
+
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -101,7 +113,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_benchmark_decontamination, op5_simhash_near_dedup, op7_quality_classifier, op8_best_fit_packing, op9_language_id, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_benchmark_decontamination, op4_secret_scan, op5_simhash_near_dedup, op6_html_extraction, op7_quality_classifier, op8_best_fit_packing, op9_language_id, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
