@@ -69,6 +69,13 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lines
+
+    out = lines.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets_scan
 
@@ -113,7 +120,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_benchmark_decontamination, op4_secret_scan, op5_simhash_near_dedup, op6_html_extraction, op7_quality_classifier, op8_best_fit_packing, op9_language_id, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_benchmark_decontamination, op3_line_dedup, op4_secret_scan, op5_simhash_near_dedup, op6_html_extraction, op7_quality_classifier, op8_best_fit_packing, op9_language_id, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
