@@ -101,22 +101,21 @@ class Segments:
             return
         self.w8 = w8 = words8(data)
         least = least_hashes(w8, len(data) - length + 1, gram, length - gram + 1)
-        valid = np.zeros(len(data) + 1, np.int8)
-        np.add.at(valid, offs[:-1][windows > 0], 1)
-        np.add.at(valid, (offs[:-1] + windows)[windows > 0], -1)
-        at = np.flatnonzero(np.cumsum(valid[:-1], dtype=np.int8))
-        owner = np.searchsorted(offs, at, side="right") - 1
-        value = least[at]
+        before = np.cumsum(windows) - windows
+        shift = offs[:-1] - before
+        value = np.concatenate([least[a : a + n] for a, n in zip(offs.tolist(), windows.tolist()) if n])
         new = np.ones(total, bool)
-        new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+        new[1:] = value[1:] != value[:-1]
+        new[before[windows > 0]] = True
         starts = np.flatnonzero(new)
         runs = np.diff(np.append(starts, total))
         if runs.max() > length:  # periodic text: cut, so that first and last window hold all bytes of a segment
-            inside = np.arange(total) - np.repeat(starts, runs)
-            new |= inside % length == 0
+            new |= ramp(runs) % length == 0
             starts = np.flatnonzero(new)
             runs = np.diff(np.append(starts, total))
-        self.first, self.count, self.owner, self.least = at[starts], runs, owner[starts], value[starts]
+        some = np.flatnonzero(windows)
+        owner = some[np.searchsorted(before[some], starts, side="right") - 1]
+        self.first, self.count, self.owner, self.least = starts + shift[owner], runs, owner, value[starts]
         a, b = window_hash(w8, self.first, length), window_hash(w8, self.first + runs - 1, length)
         self.hash = mix(a + mix(b + runs.astype(U)))
 
@@ -125,7 +124,7 @@ def shortest_rotation_keys(data: np.ndarray, order: int) -> tuple[np.ndarray, np
     """(suffix order, rank) by the first ``order`` bytes or more: 8-byte keys, doubled."""
     n = len(data)
     key = words8(data).byteswap()
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)  # rows of equal keys may stand in any order, here and below
     rank = np.empty(n, np.int64)
     rank[sa] = np.cumsum(np.concatenate(([0], (key[sa][1:] != key[sa][:-1]).astype(np.int64))))
     done = 8
@@ -134,7 +133,7 @@ def shortest_rotation_keys(data: np.ndarray, order: int) -> tuple[np.ndarray, np
         if done < n:
             later[: n - done] = rank[done:] + 1
         pair = rank * (n + 1) + later
-        sa = np.argsort(pair, kind="stable")
+        sa = np.argsort(pair)
         p = pair[sa]
         rank[sa] = np.cumsum(np.concatenate(([0], (p[1:] != p[:-1]).astype(np.int64))))
         done *= 2
@@ -188,23 +187,22 @@ def equal_windows(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     return sa, np.cumsum(borders[:-1]) - 1
 
 
-def smallest_documents(texts: list[np.ndarray], docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each window of each text, the smallest of the documents whose texts hold it."""
-    sizes = np.array([len(t) for t in texts])
-    flat = np.full(int(sizes.sum()) + len(texts), 255, np.uint8)
-    begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-    within = np.arange(int(sizes.sum())) + np.repeat(np.arange(len(texts)), sizes)
-    flat[within] = np.concatenate(texts)
-    far = np.iinfo(np.int64).max
-    of = np.full(len(flat), far)
-    windows = sizes - length + 1
-    at = np.repeat(begin, windows) + ramp(windows)
+def smallest_documents(data: np.ndarray, begin: np.ndarray, size: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+    """For each window of each text (``size`` bytes of ``data`` from ``begin`` on), the smallest of the documents whose texts hold it, one text after the other."""
+    flat = np.full(int(size.sum()) + len(size), 255, np.uint8)
+    to = np.cumsum(size + 1) - size - 1
+    within = ramp(size)
+    flat[np.repeat(to, size) + within] = data[np.repeat(begin, size) + within]
+    del within
+    of = np.full(len(flat), np.iinfo(np.int64).max)
+    windows = size - length + 1
+    at = np.repeat(to, windows) + ramp(windows)
     of[at] = np.repeat(docs, windows)
     sa, group = equal_windows(flat, length)
     least = np.minimum.reduceat(of[sa], np.flatnonzero(np.diff(group, prepend=-1)))
     out = np.empty(len(flat), np.int64)
     out[sa] = least[group]
-    return np.split(out[at], np.cumsum(windows)[:-1])
+    return out[at]
 
 
 def _blob(x: np.ndarray) -> bytes:
@@ -257,15 +255,12 @@ def _pieces(row_ids: bytes, row_offs: bytes, row_data: bytes, piece: int = 1 <<
         i = j
 
 
-def _sorted_groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, starts of groups of equal first len(keys) - 1 keys); the last key only orders."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    if len(order):
-        new[0] = True
-        for k in keys[:-1]:
-            s = k[order]
-            new[1:] |= s[1:] != s[:-1]
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by key, starts of the groups of equal keys in it); rows of a group stand in any order."""
+    order = np.argsort(keys)
+    k = keys[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
     return order, np.flatnonzero(new)
 
 
@@ -294,11 +289,12 @@ def segment_keys(blocks: DataFrame, length: int, buckets: int, most: int) -> Dat
                 least, seg, doc = map(np.concatenate, (least, seg, doc))
                 if not len(least):
                     continue
-                order, starts = _sorted_groups(least, seg, doc)
-                ends = np.append(starts[1:], len(order)) - 1
-                low, high = doc[order[starts]], doc[order[ends]]
+                order, starts = _groups(seg)  # a segment's hash tells its least hash as well
+                held = doc[order]
+                low, high = np.minimum.reduceat(held, starts), np.maximum.reduceat(held, starts)
                 least, seg = least[order[starts]], seg[order[starts]]
-                many = (low != high).astype(np.int8)
+                by = np.argsort(least, kind="stable")  # so that a retry keeps the same segments
+                least, seg, low, many = least[by], seg[by], low[by], (low != high)[by].astype(np.int8)
                 head = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
                 runs = np.diff(np.append(head, len(least)))
                 if runs.max() > most:
@@ -319,17 +315,17 @@ def meet(keys: DataFrame, split_over: int) -> DataFrame:
         least, seg, doc, many = gather("least", U), gather("seg", U), gather("doc", np.int64), gather("many", np.int8)
         block = np.repeat(np.array(_cells(t, "block"), np.int64), [len(x) for x in least])
         least, seg, doc, many = map(np.concatenate, (least, seg, doc, many))
-        order, starts = _sorted_groups(least, seg, doc)
-        least, seg, doc, many, block = (x[order] for x in (least, seg, doc, many, block))
+        order, starts = _groups(seg)
         sizes = np.diff(np.append(starts, len(order)))
-        low = np.repeat(doc[starts], sizes)
-        # by least hash
-        head = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-        span = np.diff(np.append(head, len(least)))
-        is_start = np.zeros(len(order), np.int64)
-        is_start[starts] = 1
-        distinct = np.repeat(np.add.reduceat(is_start, head), span)
-        split = np.repeat(np.bitwise_or.reduceat(many, head) & 2, span).astype(bool) | (distinct > split_over)
+        doc, many, block = doc[order], many[order], block[order]
+        low, marks = np.minimum.reduceat(doc, starts), np.bitwise_or.reduceat(many, starts)
+        # how many kinds of segment meet under a least hash
+        by, heads = _groups(least[order[starts]])
+        span = np.diff(np.append(heads, len(by)))
+        kinds, cut = np.empty(len(by), np.int64), np.empty(len(by), bool)
+        kinds[by] = np.repeat(span, span)
+        cut[by] = np.repeat((np.bitwise_or.reduceat(marks[by], heads) & 2 > 0) | (span > split_over), span)
+        least, seg, low, distinct, split = (np.repeat(x, sizes) for x in (least[order[starts]], seg[order[starts]], low, kinds, cut))
         wanted = ~split & (distinct > 1)
         # one kind of segment: blocks with a document after the smallest want to know
         resolved = ~split & (distinct == 1) & ((low < doc) | (many & 1 > 0))
@@ -377,8 +373,7 @@ def wanted_bytes(blocks: DataFrame, answers: DataFrame, length: int, buckets: in
         want, hot = _told(told, WANTED), _told(told, SPLIT)
         if rows.num_rows and (len(want) or len(hot)):
             block, ids, offs, data = (rows.column(c)[0].as_py() for c in ("block", "ids", "offs", "data"))
-            held: list[list[np.ndarray]] = [[], [], [], []]
-            texts: list[np.ndarray] = []
+            held: list[list[np.ndarray]] = [[], [], [], [], []]
             for d, o, x in _pieces(ids, offs, data):
                 s = Segments(x, o, length)
                 split = _member(s.least, hot)
@@ -388,18 +383,25 @@ def wanted_bytes(blocks: DataFrame, answers: DataFrame, length: int, buckets: in
                 first, size = np.concatenate((s.first[asked], at)), np.concatenate((s.count[asked] + length - 1, np.full(len(at), length)))
                 doc = d[np.concatenate((s.owner[asked], s.owner[of]))]
                 place = np.concatenate((mix(s.least[asked]), h))
-                order, starts = _sorted_groups(seg, doc)
+                if not len(seg):
+                    continue
+                order, starts = _groups(seg)
                 keep = order[starts]
-                for h_, v in zip(held, (seg, doc, size, place)):
-                    h_.append(v[keep])
-                texts += [x[a : a + n] for a, n in zip(first[keep].tolist(), size[keep].tolist())]
-            seg, doc, size, place = map(np.concatenate, held)
-            order, starts = _sorted_groups(seg, doc)
-            keep = order[starts]
-            bucket = (place[keep] % U(buckets)).astype(np.int64)
-            for b in np.unique(bucket):
-                g = keep[bucket == b]
-                out.append(pa.RecordBatch.from_arrays([pa.array([int(b)]), pa.array([block]), pa.array([_blob(seg[g])], pa.binary()), pa.array([_blob(doc[g])], pa.binary()), pa.array([_blob(size[g])], pa.binary()), pa.array([_blob(np.concatenate([texts[i] for i in g]))], pa.binary())], names))
+                size = size[keep]
+                texts = x[np.repeat(first[keep], size) + ramp(size)]
+                for list_, v in zip(held, (seg[keep], np.minimum.reduceat(doc[order], starts), size, place[keep], texts)):
+                    list_.append(v)
+            if held[0]:
+                seg, doc, size, place, texts = map(np.concatenate, held)
+                order, starts = _groups(seg)
+                keep, doc = order[starts], np.minimum.reduceat(doc[order], starts)
+                begin = np.cumsum(size) - size
+                bucket = (place[keep] % U(buckets)).astype(np.int64)
+                by, heads = _groups(bucket)
+                for g in np.split(by, heads[1:]):
+                    rows_ = keep[g]
+                    data_ = texts[np.repeat(begin[rows_], size[rows_]) + ramp(size[rows_])]
+                    out.append(pa.RecordBatch.from_arrays([pa.array([int(bucket[g[0]])]), pa.array([block]), *(pa.array([_blob(v)], pa.binary()) for v in (seg[rows_], doc[g], size[rows_], data_))], names))
         schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in names[2:])])
         return pa.Table.from_batches(out, schema)
 
@@ -416,16 +418,19 @@ def expand(wanted: DataFrame, length: int) -> DataFrame:
         data = np.concatenate([np.frombuffer(x, np.uint8) for x in _cells(t, "data")])
         block = np.repeat(np.array(_cells(t, "block"), np.int64), [len(x) for x in seg])
         seg = np.concatenate(seg)
-        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-        order, starts = _sorted_groups(seg, doc)
+        begin = np.cumsum(size) - size
+        order, starts = _groups(seg)
         heads = order[starts]
-        least = smallest_documents([data[begin[i] : begin[i] + size[i]] for i in heads], doc[heads], length)
+        least = smallest_documents(data, begin[heads], size[heads], np.minimum.reduceat(doc[order], starts), length)
+        windows = size[heads] - length + 1
+        where = np.cumsum(windows) - windows
         which = np.empty(len(seg), np.int64)
         which[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
         out = []
-        by = np.argsort(block, kind="stable")
-        for g in np.split(by, np.flatnonzero(np.diff(block[by])) + 1):
-            out.append((int(block[g[0]]), RESOLVED, _blob(seg[g]), _blob(np.array([len(least[i]) for i in which[g]], np.int64)), _blob(np.concatenate([least[i] for i in which[g]]))))
+        by, cuts = _groups(block)
+        for g in np.split(by, cuts[1:]):
+            n = windows[which[g]]
+            out.append((int(block[g[0]]), RESOLVED, _blob(seg[g]), _blob(n), _blob(least[np.repeat(where[which[g]], n) + ramp(n)])))
         return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["block", "kind", "segs", "sizes", "docs"])
 
     return wanted.groupBy("bucket").applyInArrow(run, ANSWER)
