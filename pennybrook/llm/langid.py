@@ -179,8 +179,8 @@ def train(docs: DataFrame, max_train: int = 3000, bits: int = 14, max_train_char
     return Model(labels, w.astype(np.float32), b.astype(np.float32), idf, t, bits)
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, lang_pred, score) for every row of ``docs``."""
+def annotate(docs: DataFrame, model: Model | None, back: tuple[str, ...] | None = None) -> DataFrame:
+    """The columns ``back`` of ``docs`` (all, if not given) with lang_pred and score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = NGrams(model.bits if model else 4)
@@ -193,9 +193,18 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                         p = softmax((tfidf(c, model.idf) @ model.weights + model.bias).astype(np.float64) / model.temperature)
                         best[i : i + len(c)] = np.where(letter, p.argmax(1), len(names) - 1)
                         score[i : i + len(c)] = np.where(letter, p.max(1), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1))], ["doc_id", "lang_pred", "score"])
+                part = batch.slice(a, b - a)
+                kept = [c for c, n in zip(part.columns, part.schema.names) if n in columns]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1))], [*columns, "lang_pred", "score"])
+
+    docs = docs.drop("lang_pred", "score")
+    columns = [c for c in docs.columns if back is None or c in back]
+    return docs.mapInArrow(run, docs.select(*columns).schema.add("lang_pred", "string").add("score", "double"))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(doc_id, lang_pred, score) for every row of ``docs``."""
+    return annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, back=("doc_id",))
 
 
 def held_out(residue: int, of: int):
