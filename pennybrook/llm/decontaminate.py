@@ -66,8 +66,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5,
     held = (lambda df: F.broadcast(df)) if small else (lambda df: df)  # a proven bound: n_bench rows of one window each
 
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
-    runs = base.select("doc_id", "key", words_of(F.col("text")).alias("w")).where("size(w) > 0")
-    cut = f"transform(sequence(0, (size(w) - 1) div {run}), c -> struct(c * {run} AS at, slice(w, c * {run} + 1, {run + window - 1}) AS w))"
+    # no filter on the words: it would be pushed below and split the text a second time
+    runs = base.select("doc_id", "key", words_of(F.col("text")).alias("w"))
+    cut = f"CASE WHEN size(w) > 0 THEN transform(sequence(0, (size(w) - 1) div {run}), c -> struct(c * {run} AS at, slice(w, c * {run} + 1, {run + window - 1}) AS w)) END"
     runs = runs.select("doc_id", "key", F.explode(F.expr(cut)).alias("r")).select("doc_id", "key", "r.at", "r.w")
 
     marks = []
