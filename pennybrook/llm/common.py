@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,13 +49,14 @@ def discard(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of jobs that are done: Spark deletes them when the driver collects its garbage, which may be late."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal rows out evenly where the scan has fewer partitions than the cluster has cores."""
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_parts(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
