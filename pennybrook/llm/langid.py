@@ -101,21 +101,27 @@ class Model:
     bits: int
 
 
-def fit_ftrl(x: np.ndarray, y: np.ndarray, k: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4, epochs: int = 4) -> tuple[np.ndarray, np.ndarray]:
+Sparse = tuple[np.ndarray, np.ndarray]  # buckets of a document and their weights
+
+
+def sparse_rows(x: np.ndarray) -> list[Sparse]:
+    return [(f.astype(np.int32), row[f].copy()) for row in x for f in [np.flatnonzero(row)]]
+
+
+def fit_ftrl(rows: list[Sparse], y: np.ndarray, size: int, k: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4, epochs: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """FTRL-proximal, one document at a time, over the buckets that it has; the last coordinate is the bias."""
-    d = x.shape[1] + 1
+    d = size + 1
     z, n = np.zeros((d, k)), np.zeros((d, k))
     rng = np.random.default_rng(7)
 
-    def weights(rows) -> np.ndarray:
-        zr, nr = z[rows], n[rows]
+    def weights(at) -> np.ndarray:
+        zr, nr = z[at], n[at]
         w = -(zr - np.sign(zr) * l1) / ((beta + np.sqrt(nr)) / alpha + l2)
         return np.where(np.abs(zr) <= l1, 0.0, w)
 
     for _ in range(epochs):
-        for i in rng.permutation(len(x)):
-            f = np.append(np.flatnonzero(x[i]), d - 1)
-            v = np.append(x[i, f[:-1]], 1.0)
+        for i in rng.permutation(len(rows)):
+            f, v = np.append(rows[i][0], d - 1), np.append(rows[i][1], 1.0)
             w = weights(f)
             p = softmax((v @ w)[None])[0]
             p[y[i]] -= 1
@@ -165,17 +171,16 @@ def train(docs: DataFrame, max_train: int = 3000, bits: int = 14, max_train_char
     got = picked.select("doc_id", "text", "lang").limit(2 * max_train).toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     labels = sorted(per)
     y = np.array([labels.index(v) for v in got.column("lang").to_pylist()])
-    x = np.zeros((len(y), size), np.float32)
-    grams, done = NGrams(bits), 0
+    rows_: list[Sparse] = []
+    grams = NGrams(bits)
     for batch in got.select(["text"]).combine_chunks().to_batches():
-        for a, _, data, offs in text_parts(batch, "text", 1 << 20):
-            for i, _, c in grams.counts(data, offs):
-                x[done + a + i : done + a + i + len(c)] = tfidf(c, idf)
-        done += batch.num_rows
+        for _, _, data, offs in text_parts(batch, "text", 1 << 19):
+            for _, _, c in grams.counts(data, offs):
+                rows_ += sparse_rows(tfidf(c, idf))
     held = np.arange(len(y)) % 5 == 4
-    fit = ~held if held.any() else np.ones(len(y), bool)
-    w, b = fit_ftrl(x[fit], y[fit], len(labels))
-    t = calibrate(x[held] @ w + b, y[held]) if held.any() else 1.0
+    fit = np.flatnonzero(~held if held.any() else np.ones(len(y), bool))
+    w, b = fit_ftrl([rows_[i] for i in fit], y[fit], size, len(labels))
+    t = calibrate(np.array([rows_[i][1] @ w[rows_[i][0]] + b for i in np.flatnonzero(held)]), y[held]) if held.any() else 1.0
     return Model(labels, w.astype(np.float32), b.astype(np.float32), idf, t, bits)
 
 
