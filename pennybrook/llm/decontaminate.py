@@ -78,7 +78,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5,
         else:
             marks.append(f"CASE WHEN size(w) >= {n} THEN transform(array_distinct({_grams('w', n)}), x -> struct({n} AS len, x AS fp)) ELSE array() END")
     if not marks:
-        hits = bench.sparkSession.createDataFrame([], base.select("doc_id", "key").schema.add("start", "long").add("len", "int").add("win", "string"))
+        hits = base.where(F.lit(False)).select("doc_id", "key", F.lit(0).cast("long").alias("start"), F.lit(0).alias("len"), F.lit("").alias("win"))
     else:
         hashed = runs.withColumn("m", F.expr(_winnowed("w", window, gram))) if window in lengths else runs
         marked = hashed.select("doc_id", "key", "at", "w", F.explode(F.expr(f"concat({', '.join(marks)})")).alias("x")).select("doc_id", "key", "at", "w", "x.len", "x.fp")
