@@ -14,7 +14,7 @@ ZONE = "Asia/Shanghai"
 def wall_clock(c: Column, fold=nfkc) -> Column:
     """Struct y, mo, d, hh, mi, ss of a printed date, or null: 8, 12 or 14 bare digits, else the first groups of digits."""
     parts = lambda s: F.struct(F.regexp_replace(s, r"\D", "").alias("digits"), F.regexp_extract_all(s, F.lit(r"(\d+)"), F.lit(1)).alias("groups"), (~s.rlike("[-/年月]")).alias("bare"))
-    return let(let(trim_all(fold(text(c))), parts), _clock)
+    return let(let(trim_all(fold(text(c))), parts), _clock)  # folding stays outside the lambdas, as it may be a Python function
 
 
 def _clock(x: Column) -> Column:
@@ -36,8 +36,9 @@ def to_instant(c: Column, offset_minutes: int = OFFSET_MINUTES, fold=nfkc) -> Co
     """The UTC instant of a printed time; dates that don't exist are null, an instant with a zone is taken as it is."""
     zone = f"{'+' if offset_minutes >= 0 else '-'}{abs(offset_minutes) // 60:02d}:{abs(offset_minutes) % 60:02d}"
     made = lambda w: F.try_make_timestamp(w["y"], w["mo"], w["d"], w["hh"], w["mi"], w["ss"].cast("decimal(8,6)"), F.lit(zone))
-    read = lambda s: F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}T.*(Z|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(s)).otherwise(let(wall_clock(s, fold), made))
-    return let(trim_all(text(c)), read)
+    printed = let(wall_clock(c, fold), made)
+    raw = trim_all(text(c))
+    return F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}T.*(Z|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(raw)).otherwise(printed)
 
 
 def combine_date_time(date: Column, time: Column) -> Column:

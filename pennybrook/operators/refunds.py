@@ -104,7 +104,7 @@ def orphans(refunds: DataFrame, closed_ids: DataFrame, scope: Sequence[str] = ()
 def pair_refunds(drafts: DataFrame, closed_ids: DataFrame, scope: Sequence[str] = ()) -> Refunds:
     """Cancel refunds against purchases, then net what rows disclose of themselves."""
     keys = list(scope)
-    decided = decisions(drafts, keys)
+    decided = decisions(drafts, keys).persist()
     gone = decided.where("what in ('paired', 'partial')").select(*keys, "seq", F.when(F.col("what") == "paired", "refund-paired").otherwise("refund-partial").alias("reason"))
     cancelled = decided.where("what in ('paired', 'exceeds')").select(*keys, F.col("other").alias("seq"), F.lit("refund-paired").alias("reason"))
     dropped = gone.unionByName(cancelled)

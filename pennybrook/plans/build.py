@@ -74,14 +74,16 @@ def to_transactions(drafts: DataFrame, batch_id: Column, strict_netting: bool =
 
 
 def build_transactions(drafts: DataFrame, batch_id: str, rules: Iterable[categories.Rule] | None = None, window_days: int = transfers.WINDOW_DAYS, max_group: int = transfers.MAX_GROUP, existing_fingerprints: DataFrame | None = None, existing_records: DataFrame | None = None, strict_netting: bool = False) -> Outcome:
-    """All six outputs of one import."""
+    """All six outputs of one import.  Intermediate tables are persisted; ``spark.catalog.clearCache()`` or unpersisting lets go of them."""
+    # each is read by several outputs; what an executor loses of them is computed again
+    drafts = drafts.persist()
     closed = drafts.where(is_closed())
-    live = drafts.where(~is_closed())
+    live = drafts.where(~is_closed()).persist()
     closed_ids = closed.where(text("order_id") != "").select("order_id").distinct()
     paired = refunds.pair_refunds(live, closed_ids)
-    txs = to_transactions(paired.kept, F.lit(batch_id), strict_netting)
-    pairs = transfers.pair_transfers(txs, window_days, max_group)
-    txs = categories.categorised(transfers.apply_pairs(txs, pairs), rules)
+    txs = to_transactions(paired.kept, F.lit(batch_id), strict_netting).persist()
+    pairs = transfers.pair_transfers(txs, window_days, max_group).persist()
+    txs = categories.categorised(transfers.apply_pairs(txs, pairs), rules).persist()
     overlap = reconcile(txs, existing_records, existing_fingerprints)
     dropped = closed.select("seq", F.lit("closed-or-failed").alias("reason")).unionByName(paired.dropped).unionByName(overlap.duplicates.select("seq", F.lit("duplicate").alias("reason")))
     return Outcome(overlap.fresh, overlap.duplicates, overlap.updated, dropped, pairs, paired.warnings)
