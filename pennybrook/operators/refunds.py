@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, text
+from ..session import cut
 from .classify import disclosed_refund, is_refund
 
 DECISION = "seq struct<file:int,row:int,part:int>, what string, minor long, other struct<file:int,row:int,part:int>"
@@ -63,6 +64,7 @@ def decisions(drafts: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """(scope, seq, what, minor, other) for each refund with an order id: paired, partial, exceeds or unmatched, and the purchase."""
     keys = list(scope)
     with_id = drafts.withColumn("order_id", blank_to_null(text("order_id"))).where("order_id is not null").select(*keys, "seq", "order_id", "amount_minor", is_refund().alias("is_refund"))
+    with_id = cut(with_id)
     refunds, purchases = with_id.where("is_refund"), with_id.where("not is_refund")
     pairs = prefix_matches(refunds, purchases, keys)
     of_refund = pairs.groupBy(*keys, "refund_seq").agg(F.min_by("order_id", F.length("order_id")).alias("root"))
@@ -104,7 +106,7 @@ def orphans(refunds: DataFrame, closed_ids: DataFrame, scope: Sequence[str] = ()
 def pair_refunds(drafts: DataFrame, closed_ids: DataFrame, scope: Sequence[str] = ()) -> Refunds:
     """Cancel refunds against purchases, then net what rows disclose of themselves."""
     keys = list(scope)
-    decided = decisions(drafts, keys).persist()
+    decided = cut(decisions(drafts, keys))
     gone = decided.where("what in ('paired', 'partial')").select(*keys, "seq", F.when(F.col("what") == "paired", "refund-paired").otherwise("refund-partial").alias("reason"))
     cancelled = decided.where("what in ('paired', 'exceeds')").select(*keys, F.col("other").alias("seq"), F.lit("refund-paired").alias("reason"))
     dropped = gone.unionByName(cancelled)
@@ -112,8 +114,8 @@ def pair_refunds(drafts: DataFrame, closed_ids: DataFrame, scope: Sequence[str]
 
     kept = drafts.join(dropped.select(*keys, "seq"), [*keys, "seq"], "left_anti").join(netted, [*keys, "seq"], "left")
     disclosed = F.when(F.col("paired_minor").isNull(), disclosed_refund())
-    cut = F.coalesce("paired_minor", disclosed)
-    kept = kept.withColumn("_cut", cut).withColumns({"refund_netted_minor": F.col("_cut"), "amount_minor": F.col("amount_minor") - F.coalesce("_cut", F.lit(0))}).drop("_cut", "paired_minor")
+    netting = F.coalesce("paired_minor", disclosed)
+    kept = kept.withColumn("_cut", netting).withColumns({"refund_netted_minor": F.col("_cut"), "amount_minor": F.col("amount_minor") - F.coalesce("_cut", F.lit(0))}).drop("_cut", "paired_minor")
 
     no_id = drafts.where(is_refund() & (text("order_id") == "")).select(*keys, "seq", F.lit("refund-without-order-id").alias("code"))
     over = decided.where("what = 'exceeds'").select(*keys, "seq", F.lit("refund-exceeds-purchase").alias("code"))

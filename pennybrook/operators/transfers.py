@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import epoch_seconds
+from ..session import cut
 from .classify import is_pairing_candidate
 
 WINDOW_DAYS, MAX_GROUP, POOL = 3, 3, 24
@@ -163,8 +164,8 @@ def exact_pairs(rows: DataFrame, window_days: int = WINDOW_DAYS, scope: Sequence
 
 def pair_transfers(txs: DataFrame, window_days: int = WINDOW_DAYS, max_group: int = MAX_GROUP, scope: Sequence[str] = ()) -> DataFrame:
     """(scope, out_ids, in_ids, amount_minor, mode) of all pairs."""
-    rows, window = legs(txs, scope), window_days * 86_400
-    exact = exact_pairs(rows, window_days, scope)
+    rows, window = cut(legs(txs, scope)), window_days * 86_400
+    exact = cut(exact_pairs(rows, window_days, scope))
     done = exact.select(*scope, F.explode(F.array("out_id", "in_id")).alias("id"))
     rest = islands(rows.join(done, [*scope, "id"], "left_anti").withColumn("_all", F.lit(0)), scope or ["_all"], window)
     exact = exact.select(*scope, F.array("out_id").alias("out_ids"), F.array("in_id").alias("in_ids"), "amount_minor", F.lit("exact").alias("mode"))

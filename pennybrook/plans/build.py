@@ -1,7 +1,7 @@
 """The import pipeline: drafts to transactions, in six stages of fixed order.
 
-Refunds come before hashing, pairing before categories, deduplication last (duplicates do take part in pairing).  All outputs are lazy
-and evaluate one plan; persist ``drafts`` when several are used.
+Refunds come before hashing, pairing before categories, deduplication last (duplicates do take part in pairing).  Shared tables
+are checkpointed once, so preview and commit see the same rows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from ..operators import categories, refunds, transfers
 from ..operators.classify import is_closed, is_refund, kind
 from ..operators.reconcile import reconcile
 from ..schema import TRANSACTION
+from ..session import cut
 
 
 @dataclass
@@ -74,16 +75,15 @@ def to_transactions(drafts: DataFrame, batch_id: Column, strict_netting: bool =
 
 
 def build_transactions(drafts: DataFrame, batch_id: str, rules: Iterable[categories.Rule] | None = None, window_days: int = transfers.WINDOW_DAYS, max_group: int = transfers.MAX_GROUP, existing_fingerprints: DataFrame | None = None, existing_records: DataFrame | None = None, strict_netting: bool = False) -> Outcome:
-    """All six outputs of one import.  Intermediate tables are persisted; ``spark.catalog.clearCache()`` or unpersisting lets go of them."""
-    # each is read by several outputs; what an executor loses of them is computed again
-    drafts = drafts.persist()
+    """All six outputs of one import.  Tables that several outputs read are checkpointed, so all outputs see one evaluation."""
+    drafts = cut(drafts)
     closed = drafts.where(is_closed())
-    live = drafts.where(~is_closed()).persist()
+    live = cut(drafts.where(~is_closed()))
     closed_ids = closed.where(text("order_id") != "").select("order_id").distinct()
     paired = refunds.pair_refunds(live, closed_ids)
-    txs = to_transactions(paired.kept, F.lit(batch_id), strict_netting).persist()
-    pairs = transfers.pair_transfers(txs, window_days, max_group).persist()
-    txs = categories.categorised(transfers.apply_pairs(txs, pairs), rules).persist()
+    txs = cut(to_transactions(paired.kept, F.lit(batch_id), strict_netting))
+    pairs = cut(transfers.pair_transfers(txs, window_days, max_group))
+    txs = cut(categories.categorised(transfers.apply_pairs(txs, pairs), rules))
     overlap = reconcile(txs, existing_records, existing_fingerprints)
     dropped = closed.select("seq", F.lit("closed-or-failed").alias("reason")).unionByName(paired.dropped).unionByName(overlap.duplicates.select("seq", F.lit("duplicate").alias("reason")))
     return Outcome(overlap.fresh, overlap.duplicates, overlap.updated, dropped, pairs, paired.warnings)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Needed for right results: instants in UTC, later duplicates of a header name win, statement files in GBK.
 SETTINGS = {
@@ -26,3 +28,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     for k, v in SETTINGS.items():
         spark.conf.set(k, v)
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder of spark.checkpoint.dir (a temporary one only where that is unset).
+
+    Tables that several later steps read are cut, not persisted: nested caches repeat each other's plans, whose text alone can fill the
+    driver's memory, and a checkpoint survives the loss of executors.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="pennybrook-"))
+    return df.checkpoint()

@@ -158,12 +158,12 @@ def clean(value: str | None) -> str:
 
 
 def likely_delimiter(text: str) -> str:
-    """The delimiter whose number of fields varies least over the first lines, with more than one field a line."""
+    """The delimiter whose number of fields varies least over the first lines, with two fields a line or more."""
     lines = [x for x in text.split("\n") if x.strip()][:DELIMITER_LINES]
     best, least = ",", None
     for d in (",", "\t", "|", ";"):
         fields = [len(r) for r in csv.reader(lines, delimiter=d)]
-        if fields and sum(fields) / len(fields) > 1.5:
+        if fields and sum(fields) / len(fields) > 1.99:
             spread = pvariance(fields) / (sum(fields) / len(fields))
             if least is None or spread < least:
                 best, least = d, spread
