@@ -168,6 +168,9 @@ def pair_transfers(txs: DataFrame, window_days: int = WINDOW_DAYS, max_group: in
     exact = cut(exact_pairs(rows, window_days, scope))
     done = exact.select(*scope, F.explode(F.array("out_id", "in_id")).alias("id"))
     rest = islands(rows.join(done, [*scope, "id"], "left_anti").withColumn("_all", F.lit(0)), scope or ["_all"], window)
+    # a subset sum needs a leg on one side and two on the other: most islands have fewer and never reach the kernel
+    group = Window.partitionBy(*(scope or ["_all"]), "island")
+    rest = rest.withColumns({"n_out": F.count_if(F.col("direction") == "out").over(group), "n_in": F.count_if(F.col("direction") == "in").over(group)}).where("n_out > 0 and n_in > 0 and n_out + n_in > 2")
     exact = exact.select(*scope, F.array("out_id").alias("out_ids"), F.array("in_id").alias("in_ids"), "amount_minor", F.lit("exact").alias("mode"))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
