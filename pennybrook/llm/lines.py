@@ -5,10 +5,11 @@ Lines are compared trimmed and lower-cased; blank ones are always kept.  Equal l
 1.  Every line's shingles of ``size`` bytes are hashed and folded to minima under ``hashes`` permutations (XOR by constants with
     different leading bits), in one map-side-combined aggregate by line: text itself isn't shuffled.
 2.  Bands of ``rows`` minima (bands share minima, so that few hashes give a high recall) key the candidates.  A key of two lines is a pair.
-    For keys of up to ``small`` lines all pairs are compared.  In larger ones every line is compared with a few hubs, picked by a hash;
-    lines unlike any of them go on to the next round with new hubs, until at most ``small`` are left in a key or all pairs that are
-    left are no more than the lines, so work stays in proportion to the lines.
-3.  The exact Jaccard similarity of the character shingles is computed for the distinct pairs.
+    For keys of up to ``small`` lines all pairs are compared.  In larger ones every line is first compared with a few hubs, picked by a hash.
+    Only pairs of lines that these links already join are left out: they can't change a component.  All other pairs of the key are compared,
+    in blocks of ``block`` by ``block`` lines, so any key gives the components that all its pairs give.
+3.  The exact Jaccard similarity of the character shingles is computed for the distinct pairs.  Pairs that can't reach it, by the sizes of their
+    sets or by the parities of their shingles in ``64 * WORDS`` buckets, are left out before: an odd difference in a bucket is a shingle of one line only.
 4.  Distributed union-find; of each component the first line of its smallest doc_id is kept.
 
 Tables that are joined to all lines are broadcast up to ``broadcast_rows`` rows (counted first) and otherwise sort-merge joined, where AQE splits
@@ -81,8 +82,29 @@ def shingle_set(data: str, size: int) -> str:
     return f"array_distinct(transform(sequence(1, greatest(octet_length({data}) - {size - 1}, 1), step), i -> CAST(substring({data}, i, {size}) AS STRING)))"
 
 
+#: Longs of a line's parities.
+WORDS = 8
+
+
+def parities(texts: DataFrame, size: int) -> DataFrame:
+    """(h, s, w0, w1, ...): the number of a line's distinct character shingles, and bits for whether an odd number of them falls in a bucket."""
+    plain = "octet_length(line) = char_length(line)"
+    narrow, wide = (f"transform(array(encode(line, '{code}')), b -> {shingle_set('b', size * width).replace('step', str(width))})[0]" for code, width in (("UTF-8", 1), ("UTF-32", 4)))
+    each = texts.select("h", F.expr(plain).alias("plain"), F.explode(F.expr(f"CASE WHEN {plain} THEN {narrow} ELSE {wide} END")).alias("x"))
+    # one string for a shingle, whichever way its line is encoded
+    each = each.select("h", F.expr(f"CAST(pmod(xxhash64(CASE WHEN plain THEN x ELSE decode(CAST(x AS BINARY), 'UTF-32') END), {64 * WORDS}) AS INT)").alias("v"))
+    words = [F.expr(f"bit_xor(CASE WHEN v div 64 = {w} THEN shiftleft(1L, v % 64) ELSE 0L END)").alias(f"w{w}") for w in range(WORDS)]
+    return each.groupBy("h").agg(F.count(F.lit(1)).alias("s"), *words)
+
+
+def possible(x: str, y: str, similarity: float) -> str:
+    """Whether two rows of parities can be so similar: of s + t shingles, at most (1 - similarity) / (1 + similarity) may be in one set only."""
+    odd = " + ".join(f"bit_count({x}.w{w} ^ {y}.w{w})" for w in range(WORDS))
+    return f"greatest(abs({x}.s - {y}.s), {odd}) <= {(1 - similarity) / (1 + similarity)!r}D * ({x}.s + {y}.s) + 1e-6D"
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
-    """The pairs (a, b) whose sets of character shingles are at least so similar, with ``ok``.
+    """The pairs (a, b) whose sets of character shingles are at least so similar.
 
     Characters are bytes if both lines are ASCII, else four bytes each, so any shingle is found at once and a long line costs as
     much a character as a short one.
@@ -96,10 +118,25 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -
         return f"transform({sets}, q -> transform(array(size(array_intersect(q.s, q.t))), c -> c >= {float(similarity)}D * (size(q.s) + size(q.t) - c))[0])[0]"
 
     plain = "octet_length(la) = char_length(la) AND octet_length(lb) = char_length(lb)"
-    return pairs.join(left, "a").join(right, "b").select("a", "b", F.expr(f"CASE WHEN {plain} THEN {alike('UTF-8', 1)} ELSE {alike('UTF-32', 4)} END").alias("ok"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", F.expr(f"CASE WHEN {plain} THEN {alike('UTF-8', 1)} ELSE {alike('UTF-32', 4)} END").alias("ok")).where("ok").select("a", "b")
+
+
+def promising(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """The distinct pairs (a, b) that can be similar."""
+    out = pairs.distinct().join(prints.alias("x"), F.expr("a = x.h")).join(prints.alias("y"), F.expr("b = y.h"))
+    return out.where(possible("x", "y", similarity)).select("a", "b")
+
 
+def open_pairs(open_members: DataFrame, prints: DataFrame, similarity: float, block: int) -> DataFrame:
+    """All pairs of a key's lines in different components that can be similar, from (key, h, component, c), each block of lines against each."""
+    rows = open_members.join(prints, "h").withColumn("last", F.expr(f"CAST((c - 1) div {block} AS INT)")).withColumn("own", F.expr("CAST(pmod(xxhash64(h, 5), last + 1) AS INT)"))
+    x = rows.withColumn("lo", F.col("own")).withColumn("hi", F.explode(F.expr("sequence(own, last)"))).alias("x")
+    y = rows.withColumn("hi", F.col("own")).withColumn("lo", F.explode(F.expr("sequence(0, own)"))).alias("y")
+    met = x.join(y, F.expr(f"x.key = y.key AND x.lo = y.lo AND x.hi = y.hi AND (x.lo < x.hi OR x.h < y.h) AND x.component <> y.component AND {possible('x', 'y', similarity)}"))
+    return met.select(F.expr("least(x.h, y.h)").alias("a"), F.expr("greatest(x.h, y.h)").alias("b")).distinct()
 
-def fuzzy_lines(docs: DataFrame, size: int = 5, similarity: float = 0.8, hashes: int = 24, rows: int = 5, bands: int = 20, small: int = 8, hubs_a_key: int = 3, broadcast_rows: int = 2_000_000) -> DataFrame:
+
+def fuzzy_lines(docs: DataFrame, size: int = 5, similarity: float = 0.8, hashes: int = 24, rows: int = 5, bands: int = 20, small: int = 8, hubs_a_key: int = 3, block: int = 1000, broadcast_rows: int = 2_000_000) -> DataFrame:
     """(h, component, doc, n): the different lines that occur more than once, or are similar to another, with the smallest doc_id of their component."""
     lines = split_lines(docs)
     sig = materialize(signatures(lines, size, hashes, rows, bands), "line-sig")
@@ -126,29 +163,41 @@ def fuzzy_lines(docs: DataFrame, size: int = 5, similarity: float = 0.8, hashes:
     release(docs.sparkSession)
     n_lines = sig.count()
 
-    left, links, turn = members, None, 0
+    prints = materialize(parities(texts, size), "line-parities")
+
+    def check(found: DataFrame) -> DataFrame:
+        return materialize(verified(found, texts, similarity, size), "line-links")
+
+    few, many = members.where(f"c <= {small}").select("key", "h"), members.where(f"c > {small}")
+    all_pairs = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key AND x.h < y.h")).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
+
+    def to_hubs(rows: DataFrame, turn: int) -> DataFrame:
+        hubs = rows.where(f"h = low or pmod(xxhash64(h, {turn}), c div {hubs_a_key} + 1) = 0").select("key", F.col("h").alias("hub"), F.col("component").alias("other"))
+        return rows.join(hubs, "key").where("component <> other").select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b"))
+
+    links = check(promising(pairs.unionByName(all_pairs).unionByName(to_hubs(many.withColumn("component", F.col("h")), 0)), prints, similarity))
+    release(docs.sparkSession)
+    turn, before = 0, None
     while True:
-        # all pairs, as soon as they are no more than the lines
-        all_at_once = (left.groupBy("key").agg(F.first("c").alias("c")).agg(F.sum(F.expr("CAST(c AS DOUBLE) * (c - 1) / 2"))).first()[0] or 0) <= (n_lines if turn else 0)
-        few, many = (left, left.limit(0)) if all_at_once else (left.where(f"c <= {small}"), left.where(f"c > {small}"))
-        all_pairs = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key AND x.h < y.h")).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
-        hubs = many.where(f"h = low or pmod(xxhash64(h, {turn}), c div {hubs_a_key} + 1) = 0").select("key", F.col("h").alias("hub"))
-        spokes = materialize(many.join(hubs, "key").select("key", "h", "hub"), "line-spokes")
-        to_hubs = spokes.where("h <> hub").select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b"))
-        checked = materialize(verified(pairs.unionByName(all_pairs).unionByName(to_hubs).distinct(), texts, similarity, size), "line-checked")
-        new = checked.where("ok").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        # a line that is like a hub, or was one, is done in this key
-        done = spokes.where("h = hub").select("key", "h").unionByName(spokes.withColumns({"a": F.least("h", "hub"), "b": F.greatest("h", "hub")}).join(new, ["a", "b"], "left_semi").select("key", "h")).distinct()
-        rest = many.select("key", "h").join(done, ["key", "h"], "left_anti")
-        again = rest.groupBy("key").agg(F.min("h").alias("low"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        left = materialize(rest.join(again, "key").select("key", "h", "low", "c"), "line-left")
-        release(docs.sparkSession)
-        if left.isEmpty():
+        # lines of one component needn't meet any more; a key of a single one is done
+        comp = materialize(connected_components(links, "lines"), "line-components")
+        left = many.select("key", "h").join(comp.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("component"))
+        parts = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.min("h").alias("low"))
+        keys = parts.groupBy("key").agg(F.sum("c").alias("c"), F.min("low").alias("low"), F.count(F.lit(1)).alias("parts"), F.expr("(CAST(sum(c) AS DOUBLE) * sum(c) - sum(CAST(c AS DOUBLE) * c)) / 2").alias("meet")).where("parts > 1").select("key", "c", "low", "meet")
+        left = materialize(left.join(keys, "key"), "line-left")
+        meet = left.groupBy("key").agg(F.first("meet").alias("meet")).agg(F.sum("meet")).first()[0] or 0
+        # more hubs first, as long as they leave far fewer pairs to meet; none of them is left out
+        if meet <= 20 * n_lines or before is not None and meet > 0.5 * before:
             break
-        turn, pairs = turn + 1, pairs.limit(0)
+        turn, before = turn + 1, meet
+        links = links.unionByName(check(promising(to_hubs(left, turn), prints, similarity)))
+        release(docs.sparkSession)
+    if meet:
+        links = links.unionByName(check(open_pairs(left, prints, similarity, block)))
+        release(docs.sparkSession)
+        comp = connected_components(links, "lines")
 
-    comp = connected_components(links, "lines").withColumnRenamed("node", "h")
+    comp = comp.withColumnRenamed("node", "h")
     out = sig.select("h", "doc", "n").join(comp, "h", "left").where("n > 1 or component is not null").select("h", F.coalesce("component", "h").alias("component"), "doc", "n")
     out = materialize(out, "line-classes")
     low = materialize(out.groupBy("component").agg(F.min("doc").alias("keep")), "line-keep")

@@ -107,6 +107,39 @@ def test_lines(spark):
         assert r["text"] == "\n".join(left)
 
 
+def test_lines_of_a_large_key_meet(spark):
+    # a star: hundreds of noisy copies, each like the original (0.81) and hardly any like another; they outnumber the hubs by far
+    rng = random.Random(11)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(98)).join("xz")
+    docs = [(0, base)]
+    for i in range(1, 300):
+        at = rng.sample(range(5, 95, 5), 2)
+        at = [at[0] + rng.randrange(5), at[1] + rng.randrange(5)]
+        docs.append((i, "".join(chr(0x4E00 + i) if j in at else c for j, c in enumerate(base))))
+    sets = {d: {t[j : j + 5] for j in range(96)} for d, t in docs}
+    sig = lines.signatures(lines.split_lines(frame(spark, docs)), 5, 24, 5, 20).collect()
+    keys, up = {}, {d: d for d, _ in docs}
+    for r in sig:
+        for j in range(20):
+            keys.setdefault(r[f"k{j}"], []).append(r["doc"])
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    for group in keys.values():
+        for i, a in enumerate(group):
+            for b in group[:i]:
+                c = len(sets[a] & sets[b])
+                if c >= 0.8 * (len(sets[a]) + len(sets[b]) - c):
+                    up[max(root(a), root(b))] = min(root(a), root(b))
+    first = {t: d for d, t in reversed(docs)}
+    want = {d: int(root(first[t]) != d) for d, t in docs}
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup(frame(spark, docs), block=20).collect()}
+    assert got == want and sum(want.values()) > 250
+
+
 def test_secrets(spark):
     found = secrets_scan.labelled_findings()
     forest = secrets_scan.train(found[:2400])
