@@ -15,8 +15,8 @@ Lines are compared trimmed and lower-cased; blank ones are always kept.  Equal l
 Tables that are joined to all lines are broadcast up to ``broadcast_rows`` rows (counted first) and otherwise sort-merge joined, where AQE splits
 what a frequent line brings together.
 
-Defined cases: null text stays null and has no lines; blank lines stay; rows with a null doc_id take no part and are kept as they are; rows
-repeated with one doc_id lose the same lines each; a line is identified by a 64-bit hash; lines shorter than a shingle are one shingle;
+Defined cases: null text stays null and has no lines; blank lines stay; rows with a null doc_id take no part and are kept as they are; equal
+rows of one doc_id lose the same lines each, rows of one doc_id with different texts each their own; a line is identified by a 64-bit hash; lines shorter than a shingle are one shingle;
 other columns pass through.
 """
 
@@ -34,10 +34,10 @@ def normal(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
-def split_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, no, line) of the lines that aren't blank."""
-    out = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    return out.select("doc_id", "no", normal(F.col("raw")).alias("line")).where("line <> ''")
+def split_lines(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, more, no, line) of the lines that aren't blank."""
+    out = docs.where("doc_id is not null and text is not null").select("doc_id", *more, F.posexplode(F.split("text", "\n")).alias("no", "raw"))
+    return out.withColumn("line", normal(F.col("raw"))).drop("raw").where("line <> ''")
 
 
 def constants(n: int) -> list[int]:
@@ -208,17 +208,17 @@ def dedup(docs: DataFrame, broadcast_rows: int = 2_000_000, **options) -> DataFr
     """``docs`` with the lines left in ``text``, and n_lines and n_removed (lines that aren't blank)."""
     classes = fuzzy_lines(docs, broadcast_rows=broadcast_rows, **options)
     n = classes.count()
-    lines = split_lines(docs).select("doc_id", "no", F.xxhash64("line").alias("h"))
-    known = lines.join(bounded(classes, n, broadcast_rows), "h").select("doc_id", "no", "component", "keep")
-    # in the document that keeps a component's line, its first one stays
-    first = known.where("doc_id = keep").groupBy("doc_id", "component").agg(F.min("no").alias("no"))
-    marks = known.groupBy("doc_id").agg(F.collect_set("no").alias("known"))
-    stays = first.groupBy("doc_id").agg(F.collect_set("no").alias("stays"))
-    gone = marks.join(stays, "doc_id", "left").select(F.col("doc_id").alias("_id"), F.array_except("known", F.coalesce("stays", F.array().cast("array<int>"))).alias("_gone"))
+    lines = split_lines(docs, F.xxhash64("text").alias("text_key")).select("doc_id", "text_key", "no", F.xxhash64("line").alias("h"))
+    known = lines.join(bounded(classes, n, broadcast_rows), "h").select("doc_id", "text_key", "no", "component", "keep")
+    # of the texts of the document that keeps a component's line, one keeps its first one
+    first = known.where("doc_id = keep").groupBy("component").agg(F.min(F.struct("doc_id", "text_key", "no")).alias("at")).select("at.*")
+    marks = known.groupBy("doc_id", "text_key").agg(F.collect_set("no").alias("known"))
+    stays = first.groupBy("doc_id", "text_key").agg(F.collect_set("no").alias("stays"))
+    gone = marks.join(stays, ["doc_id", "text_key"], "left").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.array_except("known", F.coalesce("stays", F.array().cast("array<int>"))).alias("_gone"))
     gone = materialize(gone.where("size(_gone) > 0"), "line-gone")
-    out = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
+    out = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left")
     # array_except and access by number take time in proportion, however many lines go
     kept = "transform(array(split(text, '\\n')), p -> array_join(transform(array_except(sequence(0, size(p) - 1), _gone), i -> p[i]), '\\n'))[0]"
     n_lines = F.expr("coalesce(size(filter(split(text, '\\n'), x -> trim(x) <> '')), 0)")
     out = out.withColumn("n_lines", n_lines).withColumn("n_removed", F.coalesce(F.array_size("_gone"), F.lit(0)))
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.expr(kept))).drop("_id", "_gone")
+    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.expr(kept))).drop("_id", "_key", "_gone")

@@ -140,6 +140,14 @@ def test_lines_of_a_large_key_meet(spark):
     assert got == want and sum(want.values()) > 250
 
 
+def test_lines_of_one_id_with_different_texts(spark):
+    docs = [(1, "a line that all share\nthe first one's own line"), (2, "clean words of the second\na line that all share"), (2, "a line that all share\nother clean words"), (2, "a line that all share\nother clean words"), (3, "some single text"), (4, "twice here"), (4, "twice here\nand more")]
+    got = sorted((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup(frame(spark, docs)).collect() if r["doc_id"] < 4)
+    assert got == [(1, docs[0][1], 2, 0), (2, "clean words of the second", 2, 1), (2, "other clean words", 2, 1), (2, "other clean words", 2, 1), (3, "some single text", 1, 0)]
+    four = [r for r in lines.dedup(frame(spark, docs)).where("doc_id = 4").collect()]
+    assert sum((r["text"] or "").count("twice here") for r in four) == 1 and sum("and more" in r["text"] for r in four) == 1
+
+
 def test_secrets(spark):
     found = secrets_scan.labelled_findings()
     forest = secrets_scan.train(found[:2400])
