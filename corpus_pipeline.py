@@ -29,16 +29,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, that of the smallest doc_id."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each SimHash component stays, that of the smallest doc_id.  Rows are numbered, so a null doc_id (last in order) or a repeated one is a document like any other."""
+    rows = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+    found = simhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    kept = rows.select("row", "doc_id").join(found, "row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "key")
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("id"), F.col("key").alias("at")).distinct()
     keyed = docs.select(*COLUMNS).withColumn("key", F.xxhash64("text"))
-    return keyed.join(found, ["doc_id", "key"], "left_anti").select(*COLUMNS)
+    return keyed.join(found, F.expr("key = at AND doc_id <=> id"), "left_anti").select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
