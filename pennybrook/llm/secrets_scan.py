@@ -96,25 +96,26 @@ def features(text: str, start: int, end: int, path: str = "") -> list[float]:
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of all candidates, without overlaps; an assigned value wins over a bare run."""
-    found: dict[tuple[int, int], str] = {}
+    """(start, end, kind) of all candidates, without overlaps; a known or an assigned value wins over any bare run that it meets."""
+    found: list[tuple[int, int, str, int]] = [(*m.span(), "known", m.start()) for m in KNOWN.finditer(text)]
     if re.search(NAMES, text, re.I):
-        for m in ASSIGNED.finditer(text):
-            found[m.span(1)] = "assigned"
-    for m in KNOWN.finditer(text):
-        found.setdefault(m.span(), "known")
-    for m in RUN.finditer(text):
-        a, b = m.start(), m.start() + len(m[0].rstrip(".-/=") or m[0])
-        found.setdefault((a, b), "run")
-    out: list[tuple[int, int, str]] = []
-    for (a, b), kind in sorted(found.items(), key=lambda x: ({"known": 0, "assigned": 1, "run": 2}[x[1]], x[0])):
-        out.append((a, b, kind))
-    out.sort(key=lambda x: (x[0], {"known": 0, "assigned": 1, "run": 2}[x[2]], -x[1]))
-    kept: list[tuple[int, int, str]] = []
-    for c in out:
+        found += [(*m.span(1), "assigned", m.start()) for m in ASSIGNED.finditer(text)]
+    found.sort(key=lambda x: (x[0], x[2] != "known", -x[1]))
+    kept: list[tuple[int, int, str, int]] = []
+    for c in found:
         if not kept or c[0] >= kept[-1][1]:
             kept.append(c)
-    return kept
+    # what a run holds besides an assigned value with its name, or a known one, is a run of its own
+    runs: list[tuple[int, int, str]] = []
+    for m in RUN.finditer(text):
+        at, end = m.span()
+        cuts = [(min(n, a), b) for a, b, _, n in kept if a < end and b > at]
+        for a, b in [*cuts, (end, end)]:
+            for part in RUN.finditer(text[at:a]) if cuts else [m]:
+                first = part.start() + (at if cuts else 0)
+                runs.append((first, first + len(part[0].rstrip(".-/=") or part[0]), "run"))
+            at = max(at, b)
+    return sorted([(a, b, kind) for a, b, kind, _ in kept] + runs)
 
 
 def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, int, int, str, int]]:

@@ -158,6 +158,14 @@ def test_secrets(spark):
     assert [(r["doc_id"], r["start"], r["length"]) for r in got if r["is_secret"]] == [(1, 11, 40)]
 
 
+def test_unquoted_secrets():
+    token, known = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "ghp_" + "aB3dE5gH7jK9mN1pQ3sT5vX7zA9cE1gI3kM5"
+    spans = lambda t: [t[a:b] for a, b, _ in secrets_scan.candidates(t)]
+    assert spans(f"API_KEY={token}") == [token] and spans(f'API_KEY = "{token}"') == [token]
+    assert spans(f"GITHUB_TOKEN={known}") == [known] and spans(f"export X={known}\nsee {token}") == [known, token]
+    assert spans(f"see {token} there") == [token]
+
+
 def test_simhash(spark):
     rng = random.Random(3)
     base = [prose(rng, 120) for _ in range(15)]
