@@ -57,7 +57,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL can't express the learned, MinHash and packing stages; tests/llm holds the pipeline against a plain version.
+#: SQL can't express the learned, MinHash and packing stages. tests/llm/test_pipeline.py tests two stages on null and repeated ids; no test holds the whole pipeline against a plain version.
 ORACLE_SQL = None
 
 
