@@ -3,21 +3,23 @@
 Lines are compared trimmed and lower-cased; blank ones are always kept.  Equal lines are one line from the first aggregate on.
 
 1.  Every line's shingles of ``size`` bytes are hashed and folded to minima under ``hashes`` permutations (XOR by constants with
-    different leading bits), in one map-side-combined aggregate by line: text itself isn't shuffled.
-2.  Bands of ``rows`` minima (bands share minima, so that few hashes give a high recall) key the candidates.  A key of two lines is a pair.
-    For keys of up to ``small`` lines all pairs are compared.  In larger ones every line is first compared with a few hubs, picked by a hash.
-    Only pairs of lines that these links already join are left out: they can't change a component.  All other pairs of the key are compared,
-    in blocks of ``block`` by ``block`` lines, so any key gives the components that all its pairs give.
-3.  The exact Jaccard similarity of the character shingles is computed for the distinct pairs.  Pairs that can't reach it, by the sizes of their
+    different leading bits), in one map-side-combined aggregate by line: text itself isn't shuffled.  A row holds ``UNROLL`` shingles.
+2.  Bands of ``rows`` minima (bands share minima, so that few hashes give a high recall) key the candidates.  Two lines of a key are
+    candidates if at least ``agreeing`` of their minima agree too, by their low bytes.  A semi join leaves the lines of each key that have
+    such a partner in it; it makes no pairs.
+3.  The exact Jaccard similarity of the character shingles is computed for candidates.  Pairs that can't reach it, by the sizes of their
     sets or by the parities of their shingles in ``64 * WORDS`` buckets, are left out before: an odd difference in a bucket is a shingle of one line only.
+    First every line of a key meets the key's hub, the line with the most partners over all keys.  Then all candidates of a key that these
+    links don't join yet meet, whatever the key's size; a pair is made in the first key that both have.
 4.  Distributed union-find; of each component the first line of its smallest doc_id is kept.
 
-Tables that are joined to all lines are broadcast up to ``broadcast_rows`` rows (counted first) and otherwise sort-merge joined, where AQE splits
-what a frequent line brings together.
+Only the banding and ``agreeing`` can miss a link: with the defaults a pair of similarity 0.80 is a candidate with probability 0.989, of 0.85
+with 0.998, of 0.90 with 0.9998.  Tables that are joined to all lines are broadcast up to ``broadcast_rows`` rows (counted first) and otherwise
+sort-merge joined, where AQE splits what a frequent line brings together.
 
 Defined cases: null text stays null and has no lines; blank lines stay; rows with a null doc_id take no part and are kept as they are; equal
-rows of one doc_id lose the same lines each, rows of one doc_id with different texts each their own; a line is identified by a 64-bit hash; lines shorter than a shingle are one shingle;
-other columns pass through.
+rows of one doc_id lose the same lines each, rows of one doc_id with different texts each their own; a line and a shingle are identified by 64-bit
+hashes; lines shorter than a shingle are one shingle; other columns pass through.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialize, release
+from .common import connected_components, discard, materialize
 
 
 def normal(line: Column) -> Column:
@@ -60,16 +62,34 @@ def band_plan(hashes: int, rows: int, bands: int) -> list[list[int]]:
     return out
 
 
+#: Shingles that one row folds before it reaches the aggregate.
+UNROLL = 8
+
+
 def signatures(lines: DataFrame, size: int, hashes: int, rows: int, bands: int) -> DataFrame:
-    """(h, doc, n, k0, k1, ...): a row for each different line with its smallest doc_id, its number of occurrences and its band keys."""
+    """(h, doc, n, k0, k1, ..., q0, q1, ...): a row for each different line with its smallest doc_id, its number of occurrences, its band keys
+    and the low bytes of its minima, eight to a long."""
     # hash and bytes of a line are computed once below the explode, not for each of its shingles above it
-    once = lines.select(F.xxhash64("line").alias("h"), "doc_id", F.encode("line", "UTF-8").alias("b"), F.expr(f"sequence(1, greatest(octet_length(line) - {size - 1}, 1))").alias("at"))
-    each = once.select("h", "doc_id", "b", F.explode("at").alias("i"))
-    each = each.select("h", "doc_id", F.when(F.col("i") == 1, 1).otherwise(0).alias("one"), F.xxhash64(F.expr(f"substring(b, i, {size})")).alias("x"))
-    minima = [F.min(F.col("x").bitwiseXOR(F.lit(c).cast("long"))).alias(f"m{j}") for j, c in enumerate(constants(hashes))]
+    once = lines.select(F.xxhash64("line").alias("h"), "doc_id", F.encode("line", "UTF-8").alias("b"), F.expr(f"greatest(octet_length(line) - {size - 1}, 1)").alias("last"))
+    each = once.select("h", "doc_id", "b", "last", F.explode(F.expr(f"sequence(1, last, {UNROLL})")).alias("i"))
+    each = each.select("h", "doc_id", F.when(F.col("i") == 1, 1).otherwise(0).alias("one"), *[F.xxhash64(F.expr(f"substring(b, least(i + {t}, last), {size})")).alias(f"x{t}") for t in range(UNROLL)])
+    minima = [F.min(F.least(*[F.col(f"x{t}").bitwiseXOR(F.lit(c).cast("long")) for t in range(UNROLL)])).alias(f"m{j}") for j, c in enumerate(constants(hashes))]
     folded = each.groupBy("h").agg(F.min("doc_id").alias("doc"), F.sum("one").alias("n"), *minima)
     keys = [F.xxhash64(F.lit(j), *[f"m{i}" for i in plan]).alias(f"k{j}") for j, plan in enumerate(band_plan(hashes, rows, bands))]
-    return folded.select("h", "doc", "n", *keys)
+    low = [F.expr(" | ".join(f"shiftleft(m{8 * w + t} & 255L, {8 * t})" for t in range(8))).alias(f"q{w}") for w in range(hashes // 8)]
+    return folded.select("h", "doc", "n", *keys, *low)
+
+
+def agree(x: str, y: str, hashes: int, least: int) -> str:
+    """Whether at least so many minima of two rows agree: a byte's lowest bit gathers whether any bit of it differs."""
+
+    def differ(w: int) -> str:
+        z = f"({x}.q{w} ^ {y}.q{w})"
+        for shift in (4, 2, 1):
+            z = f"({z} | shiftrightunsigned({z}, {shift}))"
+        return f"bit_count({z} & {0x0101010101010101}L)"
+
+    return f"{' + '.join(differ(w) for w in range(hashes // 8))} <= {hashes - least}"
 
 
 def bounded(df: DataFrame, n: int, limit: int) -> DataFrame:
@@ -77,24 +97,21 @@ def bounded(df: DataFrame, n: int, limit: int) -> DataFrame:
     return F.broadcast(df) if n <= limit else df
 
 
-def shingle_set(data: str, size: int) -> str:
-    """Distinct shingles of an array of bytes, as strings: Spark compares sets of strings by hash, but sets of binaries one with another."""
-    return f"array_distinct(transform(sequence(1, greatest(octet_length({data}) - {size - 1}, 1), step), i -> CAST(substring({data}, i, {size}) AS STRING)))"
+def shingle_hashes(line: str, size: int) -> str:
+    """Hashes of a line's character shingles, four bytes a character, so that any shingle of a long line is found at once."""
+    each = f"transform(sequence(0, greatest(octet_length(b) div 4 - {size}, 0)), i -> xxhash64(substring(b, 4 * i + 1, {4 * size})))"
+    return f"transform(array(encode({line}, 'UTF-32')), b -> {each})[0]"
 
 
 #: Longs of a line's parities.
-WORDS = 8
+WORDS = 16
 
 
 def parities(texts: DataFrame, size: int) -> DataFrame:
     """(h, s, w0, w1, ...): the number of a line's distinct character shingles, and bits for whether an odd number of them falls in a bucket."""
-    plain = "octet_length(line) = char_length(line)"
-    narrow, wide = (f"transform(array(encode(line, '{code}')), b -> {shingle_set('b', size * width).replace('step', str(width))})[0]" for code, width in (("UTF-8", 1), ("UTF-32", 4)))
-    each = texts.select("h", F.expr(plain).alias("plain"), F.explode(F.expr(f"CASE WHEN {plain} THEN {narrow} ELSE {wide} END")).alias("x"))
-    # one string for a shingle, whichever way its line is encoded
-    each = each.select("h", F.expr(f"CAST(pmod(xxhash64(CASE WHEN plain THEN x ELSE decode(CAST(x AS BINARY), 'UTF-32') END), {64 * WORDS}) AS INT)").alias("v"))
-    words = [F.expr(f"bit_xor(CASE WHEN v div 64 = {w} THEN shiftleft(1L, v % 64) ELSE 0L END)").alias(f"w{w}") for w in range(WORDS)]
-    return each.groupBy("h").agg(F.count(F.lit(1)).alias("s"), *words)
+    each = texts.select("h", F.explode(F.expr(f"array_distinct({shingle_hashes('line', size)})")).alias("x")).select("h", F.expr(f"CAST(pmod(x, {64 * WORDS}) AS INT)").alias("v"))
+    each = each.select("h", F.expr("v div 64").alias("at"), F.expr("shiftleft(1L, v % 64)").alias("bit"))
+    return each.groupBy("h").agg(F.count(F.lit(1)).alias("s"), *[F.expr(f"bit_xor(CASE WHEN at = {w} THEN bit ELSE 0L END)").alias(f"w{w}") for w in range(WORDS)])
 
 
 def possible(x: str, y: str, similarity: float) -> str:
@@ -104,104 +121,74 @@ def possible(x: str, y: str, similarity: float) -> str:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
-    """The pairs (a, b) whose sets of character shingles are at least so similar.
-
-    Characters are bytes if both lines are ASCII, else four bytes each, so any shingle is found at once and a long line costs as
-    much a character as a short one.
-    """
+    """The pairs (a, b) of (a, b, s), s the sum of their sets' sizes, whose sets of character shingles are at least so similar."""
     left = texts.select(F.col("h").alias("a"), F.col("line").alias("la"))
     right = texts.select(F.col("h").alias("b"), F.col("line").alias("lb"))
-
-    def alike(code: str, width: int) -> str:
-        s, t = (shingle_set(f"p.{x}", size * width).replace("step", str(width)) for x in "xy")
-        sets = f"transform(array(struct(encode(la, '{code}') AS x, encode(lb, '{code}') AS y)), p -> struct({s} AS s, {t} AS t))"
-        return f"transform({sets}, q -> transform(array(size(array_intersect(q.s, q.t))), c -> c >= {float(similarity)}D * (size(q.s) + size(q.t) - c))[0])[0]"
-
-    plain = "octet_length(la) = char_length(la) AND octet_length(lb) = char_length(lb)"
-    return pairs.join(left, "a").join(right, "b").select("a", "b", F.expr(f"CASE WHEN {plain} THEN {alike('UTF-8', 1)} ELSE {alike('UTF-32', 4)} END").alias("ok")).where("ok").select("a", "b")
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "s", F.expr(f"size(array_intersect({shingle_hashes('la', size)}, {shingle_hashes('lb', size)}))").alias("c"))
+    return met.where(f"c >= {float(similarity)}D * (s - c)").select("a", "b")
 
 
 def promising(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
-    """The distinct pairs (a, b) that can be similar."""
-    out = pairs.distinct().join(prints.alias("x"), F.expr("a = x.h")).join(prints.alias("y"), F.expr("b = y.h"))
-    return out.where(possible("x", "y", similarity)).select("a", "b")
+    """The distinct pairs (a, b) that can be similar, and the sum s of their sets' sizes."""
+    out = pairs.distinct().join(prints.alias("x"), F.expr("a = x.h")).join(prints.alias("y"), F.expr(f"b = y.h AND {possible('x', 'y', similarity)}"))
+    return out.select("a", "b", F.expr("x.s + y.s").alias("s"))
 
 
-def open_pairs(open_members: DataFrame, prints: DataFrame, similarity: float, block: int) -> DataFrame:
-    """All pairs of a key's lines in different components that can be similar, from (key, h, component, c), each block of lines against each."""
-    rows = open_members.join(prints, "h").withColumn("last", F.expr(f"CAST((c - 1) div {block} AS INT)")).withColumn("own", F.expr("CAST(pmod(xxhash64(h, 5), last + 1) AS INT)"))
-    x = rows.withColumn("lo", F.col("own")).withColumn("hi", F.explode(F.expr("sequence(own, last)"))).alias("x")
-    y = rows.withColumn("hi", F.col("own")).withColumn("lo", F.explode(F.expr("sequence(0, own)"))).alias("y")
-    met = x.join(y, F.expr(f"x.key = y.key AND x.lo = y.lo AND x.hi = y.hi AND (x.lo < x.hi OR x.h < y.h) AND x.component <> y.component AND {possible('x', 'y', similarity)}"))
-    return met.select(F.expr("least(x.h, y.h)").alias("a"), F.expr("greatest(x.h, y.h)").alias("b")).distinct()
+def open_pairs(left: DataFrame, similarity: float, hashes: int, agreeing: int) -> DataFrame:
+    """The candidates of each key whose lines are in different components, but for those with its hub: one of the two isn't in the key's largest component."""
+    minor = left.where("component <> main").alias("x")
+    once = "(y.component = y.main OR x.h < y.h) AND NOT x.is_hub AND NOT y.is_hub AND x.component <> y.component"
+    met = minor.join(left.alias("y"), F.expr(f"x.key = y.key AND {once} AND {agree('x', 'y', hashes, agreeing)} AND {possible('x', 'y', similarity)} AND x.key = array_min(array_intersect(x.keys, y.keys))"))
+    return met.select(F.expr("x.h").alias("a"), F.expr("y.h").alias("b"), F.expr("x.s + y.s").alias("s"))
 
 
-def fuzzy_lines(docs: DataFrame, size: int = 5, similarity: float = 0.8, hashes: int = 24, rows: int = 5, bands: int = 20, small: int = 8, hubs_a_key: int = 3, block: int = 1000, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """(h, component, doc, n): the different lines that occur more than once, or are similar to another, with the smallest doc_id of their component."""
+def fuzzy_lines(docs: DataFrame, size: int = 5, similarity: float = 0.8, hashes: int = 24, rows: int = 4, bands: int = 12, agreeing: int = 12, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """(h, component, keep): the different lines that occur more than once, or are similar to another, with the smallest doc_id of their component.  ``hashes`` is a multiple of 8."""
     lines = split_lines(docs)
+    low = [f"q{w}" for w in range(hashes // 8)]
     sig = materialize(signatures(lines, size, hashes, rows, bands), "line-sig")
-    keyed = sig.select("h", F.explode(F.array(*[f"k{j}" for j in range(bands)])).alias("key"))
-    release(docs.sparkSession)
-    groups = materialize(keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count(F.lit(1)).alias("c")).where("c > 1"), "line-keys")
-    n_large = groups.where("c > 2").count()
-    members = materialize(keyed.join(bounded(groups.where("c > 2").select("key", "low", "c"), n_large, broadcast_rows), "key"), "line-members")
-    pairs = groups.where("c = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-
-    # the band keys aren't needed any more
-    keyless = materialize(sig.select("h", "doc", "n"), "line-first")
-    discard(sig)
-    sig = keyless
-    release(docs.sparkSession)
-
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(members.select("h")).distinct()
-    nodes = materialize(nodes.join(sig.select("h", "doc"), "h"), "line-nodes")
+    keyed = sig.select("h", *low, F.explode(F.array(*[f"k{j}" for j in range(bands)])).alias("key"))
+    shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "line-keys")
+    members = materialize(keyed.join(bounded(shared, shared.count(), broadcast_rows), "key"), "line-members")
+    first = materialize(sig.select("h", "doc", "n"), "line-first")
+    discard(sig, shared)
+
+    near = members.alias("x").join(members.alias("y"), F.expr(f"x.key = y.key AND x.h <> y.h AND {agree('x', 'y', hashes, agreeing)}"), "left_semi")
+    near = materialize(near, "line-near")
+    discard(members)
+
+    sizes = near.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    nodes = near.select("key", "h").join(sizes, "key").groupBy("h").agg(F.sum(F.col("c") - 1).alias("partners"), F.sort_array(F.collect_list("key")).alias("keys"))
+    nodes = materialize(nodes.join(first.select("h", "doc"), "h"), "line-nodes")
     n_nodes = nodes.count()
-    hashed = lines.select("doc_id", F.xxhash64("line").alias("h"), "line")
     # the text of each line in question, from the document it first stands in
-    near = hashed.join(bounded(nodes, n_nodes, broadcast_rows).withColumnRenamed("doc", "doc_id"), ["h", "doc_id"]).dropDuplicates(["h"])
-    texts = materialize(near.select("h", "line"), "line-texts")
-    release(docs.sparkSession)
-    n_lines = sig.count()
-
+    holders = bounded(nodes.select(F.col("doc").alias("doc_id")).distinct(), n_nodes, broadcast_rows)
+    hashed = split_lines(docs.join(holders, "doc_id", "left_semi")).select("doc_id", F.xxhash64("line").alias("h"), "line")
+    texts = hashed.join(bounded(nodes.select("h", F.col("doc").alias("doc_id")), n_nodes, broadcast_rows), ["h", "doc_id"]).dropDuplicates(["h"])
+    texts = materialize(texts.select("h", "line"), "line-texts")
     prints = materialize(parities(texts, size), "line-parities")
 
-    def check(found: DataFrame) -> DataFrame:
-        return materialize(verified(found, texts, similarity, size), "line-links")
-
-    few, many = members.where(f"c <= {small}").select("key", "h"), members.where(f"c > {small}")
-    all_pairs = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key AND x.h < y.h")).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
-
-    def to_hubs(rows: DataFrame, turn: int) -> DataFrame:
-        hubs = rows.where(f"h = low or pmod(xxhash64(h, {turn}), c div {hubs_a_key} + 1) = 0").select("key", F.col("h").alias("hub"), F.col("component").alias("other"))
-        return rows.join(hubs, "key").where("component <> other").select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b"))
-
-    links = check(promising(pairs.unionByName(all_pairs).unionByName(to_hubs(many.withColumn("component", F.col("h")), 0)), prints, similarity))
-    release(docs.sparkSession)
-    turn, before = 0, None
-    while True:
-        # lines of one component needn't meet any more; a key of a single one is done
-        comp = materialize(connected_components(links, "lines"), "line-components")
-        left = many.select("key", "h").join(comp.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("component"))
-        parts = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.min("h").alias("low"))
-        keys = parts.groupBy("key").agg(F.sum("c").alias("c"), F.min("low").alias("low"), F.count(F.lit(1)).alias("parts"), F.expr("(CAST(sum(c) AS DOUBLE) * sum(c) - sum(CAST(c AS DOUBLE) * c)) / 2").alias("meet")).where("parts > 1").select("key", "c", "low", "meet")
-        left = materialize(left.join(keys, "key"), "line-left")
-        meet = left.groupBy("key").agg(F.first("meet").alias("meet")).agg(F.sum("meet")).first()[0] or 0
-        # more hubs first, as long as they leave far fewer pairs to meet; none of them is left out
-        if meet <= 20 * n_lines or before is not None and meet > 0.5 * before:
-            break
-        turn, before = turn + 1, meet
-        links = links.unionByName(check(promising(to_hubs(left, turn), prints, similarity)))
-        release(docs.sparkSession)
-    if meet:
-        links = links.unionByName(check(open_pairs(left, prints, similarity, block)))
-        release(docs.sparkSession)
-        comp = connected_components(links, "lines")
-
-    comp = comp.withColumnRenamed("node", "h")
-    out = sig.select("h", "doc", "n").join(comp, "h", "left").where("n > 1 or component is not null").select("h", F.coalesce("component", "h").alias("component"), "doc", "n")
-    out = materialize(out, "line-classes")
-    low = materialize(out.groupBy("component").agg(F.min("doc").alias("keep")), "line-keep")
-    return materialize(out.join(low, "component").select("h", "component", "keep"), "line-classes")
+    ranked = near.select("key", "h").join(nodes.select("h", "partners"), "h")
+    hubs = materialize(ranked.groupBy("key").agg(F.max(F.struct("partners", "h")).alias("top"), F.count(F.lit(1)).alias("c")).select("key", F.col("top.h").alias("hub"), "c"), "line-hubs")
+    spokes = near.select("key", "h").join(hubs, "key").where("h <> hub").select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b"))
+    links = materialize(verified(promising(spokes, prints, similarity), texts, similarity, size), "line-links")
+    comp = materialize(connected_components(links, "lines"), "line-components")
+
+    # lines of one component needn't meet any more; a key of a single one is done, and so is a pair
+    left = near.join(comp.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h")).join(hubs.where("c > 2"), "key").withColumn("is_hub", F.expr("h = hub"))
+    parts = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
+    left = left.join(parts.where("parts > 1").select("key", F.col("top.component").alias("main")), "key").join(nodes.select("h", "keys"), "h").join(prints, "h")
+    left = materialize(left.drop("hub", "c"), "line-left")
+    more = materialize(verified(open_pairs(left, similarity, hashes, agreeing), texts, similarity, size), "line-links")
+    discard(near, hubs, left, texts, prints, nodes)
+
+    known = comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    final = materialize(connected_components(known.unionByName(more), "lines"), "line-components")
+    out = first.join(final.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or component is not null").select("h", F.coalesce("component", "h").alias("component"), "doc")
+    least = out.groupBy("component").agg(F.min("doc").alias("keep"))
+    out = materialize(out.join(least, "component").select("h", "component", "keep"), "line-classes")
+    discard(links, comp, more, final, first)
+    return out
 
 
 def dedup(docs: DataFrame, broadcast_rows: int = 2_000_000, **options) -> DataFrame:
@@ -216,6 +203,9 @@ def dedup(docs: DataFrame, broadcast_rows: int = 2_000_000, **options) -> DataFr
     stays = first.groupBy("doc_id", "text_key").agg(F.collect_set("no").alias("stays"))
     gone = marks.join(stays, ["doc_id", "text_key"], "left").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.array_except("known", F.coalesce("stays", F.array().cast("array<int>"))).alias("_gone"))
     gone = materialize(gone.where("size(_gone) > 0"), "line-gone")
+    discard(classes)
+    rows, numbers = gone.agg(F.count(F.lit(1)), F.sum(F.size("_gone"))).first()
+    gone = bounded(gone, rows + (numbers or 0), broadcast_rows)
     out = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left")
     # array_except and access by number take time in proportion, however many lines go
     kept = "transform(array(split(text, '\\n')), p -> array_join(transform(array_except(sequence(0, size(p) - 1), _gone), i -> p[i]), '\\n'))[0]"

@@ -93,7 +93,7 @@ def test_lines(spark):
     for i, x in enumerate(names):
         keep[root(i)] = min(keep.get(root(i), 10**9), first[x])
     of = {x: root(i) for i, x in enumerate(names)}
-    for r in lines.dedup(frame(spark, docs), small=4).collect():
+    for r in lines.dedup(frame(spark, docs)).collect():
         text = dict(docs)[r["doc_id"]]
         if r["doc_id"] is None or text is None:
             assert r["text"] == text
@@ -117,10 +117,10 @@ def test_lines_of_a_large_key_meet(spark):
         at = [at[0] + rng.randrange(5), at[1] + rng.randrange(5)]
         docs.append((i, "".join(chr(0x4E00 + i) if j in at else c for j, c in enumerate(base))))
     sets = {d: {t[j : j + 5] for j in range(96)} for d, t in docs}
-    sig = lines.signatures(lines.split_lines(frame(spark, docs)), 5, 24, 5, 20).collect()
+    sig = lines.signatures(lines.split_lines(frame(spark, docs)), 5, 24, 4, 12).collect()
     keys, up = {}, {d: d for d, _ in docs}
     for r in sig:
-        for j in range(20):
+        for j in range(12):
             keys.setdefault(r[f"k{j}"], []).append(r["doc"])
 
     def root(d):
@@ -136,7 +136,7 @@ def test_lines_of_a_large_key_meet(spark):
                     up[max(root(a), root(b))] = min(root(a), root(b))
     first = {t: d for d, t in reversed(docs)}
     want = {d: int(root(first[t]) != d) for d, t in docs}
-    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup(frame(spark, docs), block=20).collect()}
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup(frame(spark, docs)).collect()}
     assert got == want and sum(want.values()) > 250
 
 
