@@ -1,11 +1,13 @@
 """Main text of web pages by tree scoring.
 
-A page is read into a light tree (tags left open are closed as browsers do for paragraphs, list items and table cells).  Parts that
-are furniture by their tag, role or class name (menus, page headers and footers, sidebars, notices, adverts, forms,
-reader comments) leave the tree.  Each paragraph passes points for its length and its commas to its ancestors, half
-to the grandparent and less further up; a container's points are discounted by its link density.  The best container is kept with
-those siblings that score a fifth of it or read like text; an article or main element around it wins.  Its blocks
-are the result, white space folded, a line each.
+A page is read into a light tree (tags left open are closed as browsers do for paragraphs, list items and table cells) in time in
+proportion to its length.  Parts that are furniture by their tag, role or class name (menus, page headers and footers, sidebars, notices,
+adverts, forms, reader comments) count for nothing.  A furniture element that is never closed is one up to its first heading, paragraph or
+container only; a form that holds at least half of the paragraphs' text is none.  Each paragraph passes points for its length and
+its commas to its ancestors, half to the grandparent and less further up; a container's points are discounted by its link density.
+The best container is kept with those siblings that score a fifth of it or read like text, and all that stands between them; an article or
+main element around it is kept as a whole instead.  Lists and tables of links only are left out before and after the text, not within it.
+The blocks are the result, white space folded, a line each.
 
 Defined cases: null or empty html, or no text outside furniture, gives an empty text; repeated rows give a row each;
 other columns are ignored; nothing is cut however long a page is.
@@ -32,21 +34,24 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 STOPS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notices?|alert|sidebar|side-?bar|side|rail|comments?|commentlist|respond|disqus|replies|nav|navbar|navigation|menu\w*|breadcrumbs?|footer|site-?footer|header|site-?header|page-?header|masthead|topbar|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|popup|modal|overlay|widget|pagination|pager|toolbar|skip|hidden|print-?only|tags|toc|copyright|legal|disclaimer)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notices?|alert|side-?bar|side-?rail|(?:left|right)-?(?:side|rail)|comments?|commentlist|respond|disqus|replies|nav|navbar|navigation|menu\w*|breadcrumbs?|footer|site-?footer|header|site-?header|page-?header|masthead|topbar|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|popup|modal|overlay|widget|pagination|pager|toolbar|skip|hidden|print-?only|tags|toc|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.I,
 )
 KEEP = frozenset("html body article main".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<|[^<]+", re.S)
+TEXT = re.compile(r"[^<]+")
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+MARK = re.compile(r"[>\"']")
+VALUE = re.compile(r"=\s*\Z")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SENTENCE = re.compile(r"[.!?…。](?:\s|$)")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "score", "marked", "chars", "linked")
+    __slots__ = ("tag", "parent", "kids", "score", "marked", "chars", "linked", "dropped", "closed")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.kids, self.score, self.marked, self.chars, self.linked = tag, parent, [], 0.0, False, 0, 0
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
+        self.tag, self.parent, self.kids, self.score, self.marked, self.chars, self.linked, self.dropped, self.closed = tag, parent, [], 0.0, False, 0, 0, dropped, False
 
 
 def is_furniture(tag: str, attributes: str) -> bool:
@@ -62,75 +67,137 @@ def is_furniture(tag: str, attributes: str) -> bool:
     return tag not in KEEP and any(UNLIKELY.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", found.get(k, ""))) for k in ("class", "id"))
 
 
-def parse(page: str) -> Node:
-    """The tree of a page without furniture, comments and raw elements; text stands among the kids."""
-    root = node = Node("html", None)
-    skip_depth, skip_tag = 0, ""
+def tag_end(page: str, pos: int) -> int:
+    """Where the tag ends whose name ends at pos, its ">" included, or -1.  A quote counts after "=" only; one that is never closed ends with the tag."""
+    while m := MARK.search(page, pos):
+        if m[0] == ">":
+            return m.end()
+        pos = m.end()
+        if VALUE.search(page, max(0, m.start() - 64), m.start()):
+            at = page.find(m[0], pos)
+            if at < 0:
+                return page.find(">", pos) + 1 or -1
+            pos = at + 1
+    return -1
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(text, "", "") or ("", tag, attributes); the tag begins with "/" if it closes one.  Comments, declarations and raw elements are left out."""
     pos, n = 0, len(page)
     while pos < n:
-        m = TOKEN.match(page, pos)
-        pos = m.end()
-        tag = m[2]
-        if tag is None:
-            if not m[0].startswith("<") or m[0] == "<":
-                if not skip_depth:
-                    node.kids.append(m[0])
-            elif m[0].startswith("<![CDATA[") and not skip_depth:
-                node.kids.append(entities.escape(m[0][9:].removesuffix("]]>"), quote=False))
-            continue
-        tag = tag.lower()
-        opens = not m[1]
-        if opens and tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, pos)
-            if not m[3].endswith("/") or tag not in ("svg", "math"):
-                pos = end.end() if end else n
-            continue
-        if skip_depth:  # inside furniture only its own tag counts
-            if tag == skip_tag:
-                skip_depth += 1 if opens and not m[3].endswith("/") else -1 if not opens else 0
-            continue
-        if opens:
+        if m := TEXT.match(page, pos):
+            pos = m.end()
+            yield m[0], "", ""
+        elif page.startswith(("<!--", "<![CDATA["), pos):
+            data = page.startswith("<![", pos)
+            start, stop = pos + (9 if data else 4), "]]>" if data else "-->"
+            end = page.find(stop, start)
+            end = n if end < 0 else end
+            if data:
+                yield entities.escape(page[start:end], quote=False), "", ""
+            pos = end + 3
+        elif page.startswith(("<!", "<?"), pos):
+            pos = page.find(">", pos) + 1 or n
+        elif m := NAME.match(page, pos):
+            end = tag_end(page, m.end())
+            if end < 0:  # no tag ends any more: all the rest is text
+                yield page[pos:], "", ""
+                return
+            tag, attributes, closes = m[1].lower(), page[m.end() : end - 1], page[pos + 1] == "/"
+            pos = end
+            if tag in RAW and not closes:
+                if not attributes.endswith("/") or tag not in ("svg", "math"):
+                    found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, pos)
+                    pos = found.end() if found else n
+            elif not closes or tag not in RAW:
+                yield "", "/" * closes + tag, attributes
+        else:
+            pos += 1
+            yield "<", "", ""
+
+
+#: A furniture element left open ends where one of these begins.
+RESUMES = frozenset("article main section div p h1 h2 h3 h4 h5 h6".split())
+
+
+def parse(page: str) -> Node:
+    """The tree of a page; text stands among the kids, furniture is marked as dropped."""
+    root = node = Node("html", None)
+    opened: dict[str, int] = {}
+    fixtures: list[Node] = []
+
+    def leave(to: Node) -> None:
+        nonlocal node
+        while node is not to:
+            opened[node.tag] -= 1
+            node = node.parent
+
+    for text, tag, attributes in tokens(page):
+        if text:
+            node.kids.append(text)
+        elif tag[0] != "/":
             if tag in ("html", "body"):
                 continue
             if tag in VOID:
                 if tag in ("br", "hr"):
                     node.kids.append(Node(tag, node))
                 continue
-            if tag in BLOCK and tag != "p" or tag == "p":
-                if tag in BLOCK:  # an open paragraph ends where a block begins
-                    at = node
-                    while at is not root and at.tag != "p" and at.tag not in BLOCK:
-                        at = at.parent
-                    if at.tag == "p":
-                        node = at.parent
-            if tag in CLOSES:
+            if tag in BLOCK and opened.get("p"):  # an open paragraph ends where a block begins
+                at = node
+                while at is not root and at.tag != "p" and at.tag not in BLOCK:
+                    at = at.parent
+                if at.tag == "p":
+                    leave(at.parent)
+            if tag in CLOSES and any(opened.get(x) for x in CLOSES[tag]):
                 at, close = node, None
                 while at is not root and at.tag not in STOPS[tag]:
                     if at.tag in CLOSES[tag]:
                         close = at
                     at = at.parent
                 if close is not None:
-                    node = close.parent
-            if is_furniture(tag, m[3]):
-                if not m[3].endswith("/"):
-                    skip_depth, skip_tag = 1, tag
-                node.kids.append(Node("hr", node))  # what it parts stays apart
-                continue
-            kid = Node(tag, node)
+                    leave(close.parent)
+            kid = Node(tag, node, is_furniture(tag, attributes))
             node.kids.append(kid)
-            if not (m[3].endswith("/") and tag not in BLOCK):
+            if kid.dropped:
+                fixtures.append(kid)
+            if attributes.endswith("/") and (kid.dropped or tag not in BLOCK):
+                kid.closed = True
+            else:
                 node = kid
-        else:
-            at = node
+                opened[tag] = opened.get(tag, 0) + 1
+        elif opened.get(tag[1:]):
+            tag, at = tag[1:], node
             while at is not root and at.tag != tag:
-                if tag not in BLOCK and at.tag in BLOCK:
+                if tag not in BLOCK and tag not in FURNITURE and at.tag in BLOCK:
                     break
                 at = at.parent
             if at is not root and at.tag == tag:
-                node = at.parent
+                at.closed = True
+                leave(at.parent)
+    whole = None
+    for at in fixtures:
+        if at.tag == "form":
+            whole = read_of(root) if whole is None else whole
+            if whole and 2 * read_of(at) >= whole:
+                at.tag, at.dropped = "div", False
+        elif not at.closed and at.tag not in ("option", "input", "label", "button", "head"):
+            first = next((i for i, k in enumerate(at.kids) if not isinstance(k, str) and k.tag in RESUMES and not k.dropped), len(at.kids))
+            at.tag, at.dropped, at.kids = "div", False, at.kids[first:]
     return root
 
 
+def read_of(node: Node) -> int:
+    """Characters of the paragraphs below a node that stand in no other furniture."""
+    total, stack = 0, list(node.kids)
+    while stack:
+        at = stack.pop()
+        if isinstance(at, str) or at.dropped and at.tag != "form":
+            continue
+        total += len(own_text(at)) if at.tag == "p" else 0
+        stack += at.kids
+    return total
+
+
 def own_text(node: Node) -> str:
     """A node's text without that of blocks inside it."""
     out, stack = [], [node]
@@ -138,7 +205,7 @@ def own_text(node: Node) -> str:
         at = stack.pop()
         if isinstance(at, str):
             out.append(at)
-        elif at is not node and (at.tag == "br" or at.tag in BLOCK):
+        elif at is not node and (at.dropped or at.tag == "br" or at.tag in BLOCK):
             out.append(" ")
         else:
             stack += reversed(at.kids)
@@ -151,25 +218,31 @@ def measure(root: Node) -> list[Node]:
     while stack:
         at = stack.pop()
         order.append(at)
-        stack += [k for k in reversed(at.kids) if not isinstance(k, str)]
+        stack += [k for k in reversed(at.kids) if not isinstance(k, str) and not k.dropped]
     for at in reversed(order):
         own = sum(len(" ".join(k.split())) for k in at.kids if isinstance(k, str))
-        inner = [k for k in at.kids if not isinstance(k, str)]
+        inner = [k for k in at.kids if not isinstance(k, str) and not k.dropped]
         at.chars = own + sum(k.chars for k in inner)
         at.linked = at.chars if at.tag == "a" else sum(k.linked for k in inner)
     return order
 
 
-def blocks(node: Node) -> list[str]:
-    """The texts of the blocks below a node, in page order."""
-    out, held = [], []
+def only_links(node: Node) -> bool:
+    return node.tag in ("ul", "ol", "table", "dl") and node.chars > 0 and node.linked > 0.8 * node.chars
+
+
+def blocks(nodes: list[Node]) -> list[str]:
+    """The texts of the blocks below nodes, in page order; lists of links before the first text or heading and after the last text are menus."""
+    out: list[tuple[str, bool]] = []  # a block's text, whether it stands in a list of links
+    held: list[str] = []
+    depth = 0
 
     def flush() -> None:
         if held and (text := " ".join(entities.unescape("".join(held)).split())):
-            out.append(text)
+            out.append((text, depth > 0))
         held.clear()
 
-    stack: list = [iter((node,))]
+    stack: list = [iter(nodes)]
     while stack:
         kid = next(stack[-1], None)
         if kid is None:
@@ -178,18 +251,24 @@ def blocks(node: Node) -> list[str]:
             held.append(kid)
         elif kid == 0:
             flush()
+        elif kid == 1:
+            flush()
+            depth -= 1
+        elif kid.dropped:
+            if kid.tag in BLOCK or kid.tag in FURNITURE:
+                flush()
         elif kid.tag == "br":
             held.append(" ")
-        elif kid.tag in BLOCK:
+        elif kid.tag in BLOCK or kid.tag == "hr":
             flush()
-            # a list or table of links only is a menu
-            if kid.tag in ("ul", "ol", "table", "dl") and kid.chars and kid.linked > 0.8 * kid.chars:
-                continue
-            stack.append(iter([*kid.kids, 0]))
+            menu = only_links(kid)
+            depth += menu
+            stack.append(iter([*kid.kids, 1 if menu else 0]))
         else:
             stack.append(iter(kid.kids))
     flush()
-    return out
+    plain = [i for i, (_, menu) in enumerate(out) if not menu]
+    return [text for text, _ in out[plain[0] : plain[-1] + 1]] if plain else []
 
 
 def best_container(root: Node) -> list[Node]:
@@ -215,33 +294,31 @@ def best_container(root: Node) -> list[Node]:
     for at in scored:
         at.score *= 1 - (at.linked / at.chars if at.chars else 0)
     best = max(scored, key=lambda x: x.score)
+    within = None
     for kind in ("article", "main"):
         at = best
         while at is not None and at.tag != kind:
             at = at.parent
         if at is not None:
-            return [at]
-    if best.parent is None:
-        return [best]
+            within = at
+            break
+    if within is not None or best.parent is None:
+        return [within or best]
+    kids = [k for k in best.parent.kids if not isinstance(k, str) and not k.dropped]
     kept = []
-    for kid in best.parent.kids:
-        if isinstance(kid, str):
-            continue
+    for i, kid in enumerate(kids):
         density = kid.linked / kid.chars if kid.chars else 0
         short = " ".join(own_text(kid).split()) if kid.tag == "p" else ""
         reads = kid.tag == "p" and (kid.chars > 80 and density < 0.25 or 0 < kid.chars <= 80 and density == 0 and bool(SENTENCE.search(short)))
         if kid is best or kid.marked and kid.score >= max(10, 0.2 * best.score) or reads or re.fullmatch("h[1-3]", kid.tag) and density < 0.3:
-            kept.append(kid)
-    return kept
+            kept.append(i)
+    return kids[kept[0] : kept[-1] + 1]
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    out: list[str] = []
-    for node in best_container(parse(page)):
-        out += blocks(node)
-    return "\n".join(out)
+    return "\n".join(blocks(best_container(parse(page))))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -195,6 +195,45 @@ def test_html():
     assert html_text.main_text("<b>" * 5000 + "deep text") == "deep text"
 
 
+def test_html_keeps_what_is_no_furniture():
+    text = html_text.main_text
+    long = "This is a long sentence, with commas, and enough words to count as a paragraph of text."
+    p = f"<p>{long}</p>"
+    assert text(f"<body><nav><ul><li><a href=/>Home</a></ul><article><h1>T</h1>{p}</article></body>") == f"T\n{long}"
+    assert text(f"<body><div><nav><a href=/>Home</a></div><article><h1>T</h1>{p}</article></body>") == f"T\n{long}"
+    assert text(f"<body><div class='two side-by-side'>{p}{p}</div></body>") == f"{long}\n{long}"
+    assert text(f"<body><form action=x><h1>T</h1>{p}<input><button>Go</button></form></body>") == f"T\n{long}"
+    assert text(f"<body><article>{p}</article><form><p>Subscribe, please, to our letter.</p></form></body>") == long
+    assert text(f"<body><div><p>Lead in words, one, two, three, four, five.</p><ul><li>one<li>two</ul>{p}</div></body>") == f"Lead in words, one, two, three, four, five.\none\ntwo\n{long}"
+    links = "<ul><li><a href=1>First</a><li><a href=2>Second</a></ul>"
+    assert text(f"<body><article>{links}{p}{links}{p}{links}</article></body>") == f"{long}\nFirst\nSecond\n{long}"
+    assert text(f'<body><div><a href="x>link text</a>{p}</div></body>') == f"link text\n{long}"
+    assert text(f"<body><div onclick='a > b'>{p}</div><aside>{p}") == long
+    assert text(f"a < b <![CDATA[c & <d>]]> {p}").startswith("a < b c & <d>")
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    for part in ('<a "', '<a href="', "<a b='\"", "<b></i>", "<![CDATA[", "<!--", "<p><ul><li>", "<td><nav>"):
+        took = []
+        for n in (40_000, 320_000):
+            began = time.process_time()
+            html_text.main_text(part * (n // len(part)))
+            took.append(time.process_time() - began)
+        assert took[1] < 24 * max(took[0], 0.02), part
+
+
+def test_html_of_a_table(spark):
+    long = "Some words, and more words, that make a paragraph long enough."
+    rows = [(1, "u", f"<p>{long}</p>", "x"), (1, "u", f"<p>{long}</p>", "x"), (2, None, None, None), (None, "u", "", "x"), (3, "u", "<nav>a</nav>", "x"), (4, "u", f"<p>{long}</p>" * 20_000, "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted(((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in html_text.extract(df).collect()), key=repr)
+    want = sorted([(1, "u", long, len(long)), (1, "u", long, len(long)), (2, None, "", 0), (None, "u", "", 0), (3, "u", "", 0), (4, "u", "\n".join([long] * 20_000), 20_000 * (len(long) + 1) - 1)], key=repr)
+    assert got == want
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
 def test_classifiers(spark):
     rng = random.Random(4)
     speak = {"en": "the and that with from there", "de": "der und dass nicht über schön", "fr": "le et que avec dès où"}
@@ -232,8 +271,19 @@ def test_packing(spark):
         assert sum(m[2] for m in mine) == len(ids) and all(m[2] == 256 for m in mine[1:])
         assert all(zlib.crc32(ids[s : s + n].tobytes()) == c for _, s, n, c in mine)
     assert len(by) <= -(-sum(r["length"] for r in rows) // 256) + 2
-    long = "ab cd" * 2000
-    assert packing.encode(bpe, long, chunk=100).tolist() == bpe.encode_ordinary(long)
+
+
+def test_ids_are_those_of_the_published_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    published, bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.public_bpe()
+    rng = random.Random(9)
+    texts = ["", "<|endoftext|>", "a<|endoftext|>b", " a <|endoftext|> b <|endof", "é<|endoftext|><|endoftext|>\n x", "ab cd" * 2000 + "<|endoftext|> z " * 50, prose(rng, 3000), "x" * 5000]
+    for text in texts:
+        for chunk in (100, 1 << 17):
+            assert packing.encode(bpe, text, chunk).tolist() == published.encode(text, add_special_tokens=False).ids
+    assert packing.encode(bpe, "<|endoftext|>", special_as_text=True).tolist() == bpe.encode_ordinary("<|endoftext|>")
 
 
 @pytest.mark.parametrize("length,most,split", [(50, 256, 20_000), (24, 2, 3)])
