@@ -31,7 +31,8 @@ GAP = "\x01"
 
 
 def default_rules() -> list[Rule]:
-    return [Rule(category, word, priority, id=f"r-{category}-{i}") for i, (priority, category, words) in enumerate(L.RULES) for word in words.split()]
+    words = [(priority, category, word) for priority, category, words in L.RULES for word in words.split()]
+    return [Rule(category, word, priority, id=f"r-{category}-{i}") for i, (priority, category, word) in enumerate(words)]
 
 
 def ordered(rules: Iterable[Rule]) -> list[Rule]:

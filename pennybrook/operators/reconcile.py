@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import format_minor
 from ..functions.text import text
+from ..session import cut
 
 #: What makes two records the same; batch, fingerprint and its version are provenance.
 CONTENT = ("source", "account_id", "direction", "amount_minor", "currency", "occurred_at", "counterparty", "balance_after_minor", "raw_description", "category", "category_source", "kind", "source_order_id")
@@ -74,27 +75,24 @@ class Overlap:
 
 
 def reconcile(txs: DataFrame, stored: DataFrame | None = None, skip: DataFrame | None = None, scope: Sequence[str] = ()) -> Overlap:
-    """Fresh rows, duplicates and corrections.  A user's category outranks the import's, and a stored id stays."""
+    """Fresh rows, duplicates and corrections.  A user's category outranks the import's, and a stored id stays.
+
+    One left join tells what becomes of each row; its result is checkpointed, so the three outputs see one evaluation.
+    """
     columns = txs.columns
-    marked = first_in_batch(txs, scope)
-    again = marked.where("not first").select(*columns)
-    first = marked.where("first").select(*columns)
-    if stored is None:
-        same = first.limit(0)
-        updated = first.select("fingerprint", F.struct(*columns).alias("before"), F.struct(*columns).alias("after"), F.array().cast("array<string>").alias("changes")).limit(0)
-        new = first
-    else:
-        both = first.alias("n").join(stored.select(*columns).alias("s"), F.col("n.fingerprint") == F.col("s.fingerprint"))
-        user = F.col("s.category_source") == "user"
-        fixed = {"id": F.col("s.id"), "category": F.when(user, F.col("s.category")).otherwise(F.col("n.category")), "category_source": F.when(user, F.lit("user")).otherwise(F.col("n.category_source"))}
-        pair = both.select(F.struct(*[F.col(f"s.{c}").alias(c) for c in columns]).alias("b"), F.struct(*[fixed.get(c, F.col(f"n.{c}")).alias(c) for c in columns]).alias("a"), F.struct(*[F.col(f"n.{c}").alias(c) for c in columns]).alias("n"))
-        pair = pair.withColumn("same", content("a.").eqNullSafe(content("b.")))
-        same = pair.where("same").select("n.*")
-        updated = pair.where("not same").select(F.col("b.fingerprint").alias("fingerprint"), F.col("b").alias("before"), F.col("a").alias("after"), changes().alias("changes"))
-        new = first.join(stored.select("fingerprint"), "fingerprint", "left_anti")
-    duplicates = again.unionByName(same.select(*columns))
+    pack = lambda prefix, fixed={}: F.struct(*[fixed.get(c, F.col(f"{prefix}.{c}")).alias(c) for c in columns])
+    rows = first_in_batch(cut(txs), scope).select(F.struct(*columns).alias("n"), "first")
+    stored = txs.limit(0) if stored is None else stored
+    rows = rows.join(stored.select(F.struct(*columns).alias("b")), F.expr("first AND n.fingerprint = b.fingerprint"), "left")
+    user = F.col("b.category_source") == "user"
+    fixed = {"id": F.col("b.id"), "category": F.when(user, F.col("b.category")).otherwise(F.col("n.category")), "category_source": F.when(user, F.lit("user")).otherwise(F.col("n.category_source"))}
+    rows = rows.withColumn("a", F.when(F.col("b").isNotNull(), pack("n", fixed)))
+    known = F.lit(False)
     if skip is not None:
-        known = skip.select("fingerprint").distinct()
-        duplicates = duplicates.unionByName(new.join(known, "fingerprint", "left_semi").select(*columns))
-        new = new.join(known, "fingerprint", "left_anti")
-    return Overlap(new.select(*columns), duplicates, updated)
+        rows = rows.join(skip.select(F.col("fingerprint").alias("_skip")).distinct(), F.expr("first AND n.fingerprint = _skip"), "left")
+        known = F.col("_skip").isNotNull()
+    same = content("a.").eqNullSafe(content("b."))
+    what = F.when(~F.col("first"), "duplicate").when(F.col("b").isNotNull(), F.when(same, "duplicate").otherwise("updated")).when(known, "duplicate").otherwise("fresh")
+    rows = cut(rows.select("n", "b", "a", what.alias("what")))
+    updated = rows.where("what = 'updated'").select(F.col("b.fingerprint").alias("fingerprint"), F.col("b").alias("before"), F.col("a").alias("after"), changes().alias("changes"))
+    return Overlap(rows.where("what = 'fresh'").select("n.*"), rows.where("what = 'duplicate'").select("n.*"), updated)

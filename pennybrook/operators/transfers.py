@@ -34,12 +34,15 @@ def islands(rows: DataFrame, keys: Sequence[str], window_seconds: int) -> DataFr
 
 
 def candidate_edges(rows: DataFrame, window_days: int = WINDOW_DAYS, scope: Sequence[str] = ()) -> DataFrame:
-    """Every out with every in of its amount within the window: an equi-join with a range condition."""
+    """Every out with every in of its amount within the window: an equi-join on amount and day, each out on all days that its window touches, so
+    a common amount meets only the rows of its days."""
     keys = [*scope, "amount_minor"]
-    out = rows.where("direction = 'out'").select(*keys, F.col("id").alias("out_id"), F.col("epoch").alias("out_epoch"))
-    into = rows.where("direction = 'in'").select(*keys, F.col("id").alias("in_id"), F.col("epoch").alias("in_epoch"))
-    joined = out.join(into, keys).withColumn("distance", F.abs(F.col("out_epoch") - F.col("in_epoch")))
-    return joined.where(F.col("distance") <= window_days * 86_400).select(*keys, "out_id", "in_id", "distance")
+    window = window_days * 86_400
+    days = F.sequence(F.floor((F.col("epoch") - window) / 86_400), F.floor((F.col("epoch") + window) / 86_400))
+    out = rows.where("direction = 'out'").select(*keys, F.col("id").alias("out_id"), F.col("epoch").alias("out_epoch"), F.explode(days).alias("day"))
+    into = rows.where("direction = 'in'").select(*keys, F.col("id").alias("in_id"), F.col("epoch").alias("in_epoch"), F.floor(F.col("epoch") / 86_400).alias("day"))
+    joined = out.join(into, [*keys, "day"]).withColumn("distance", F.abs(F.col("out_epoch") - F.col("in_epoch")))
+    return joined.where(F.col("distance") <= window).select(*keys, "out_id", "in_id", "distance")
 
 
 class Free:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from .functions import dates, fingerprints, money, text
 from .operators import categories, classify, guard, lexicon as L, reconcile as rec, refunds, transfers
 from .plans import build, derived, reports
+from .session import cut, shared_folder
 from .sources import containers, glyphs, platforms, snapshot
+from .sources.store import LedgerStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -231,7 +234,7 @@ def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _two_imports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A stored ledger without every third row, some categories set by hand and some amounts off; and the same rows imported again."""
-    new = ledger(spark, sf_dir)
+    new = cut(ledger(spark, sf_dir))
     k = F.col("seq.row")
     old = new.where(k % 3 != 1).withColumn("amount_minor", F.when(k % 11 == 0, F.col("amount_minor") + 5).otherwise(F.col("amount_minor")))
     hand = k % 6 == 0
@@ -269,17 +272,26 @@ def union_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return saved.select(F.col("seq.row").cast("long").alias("k"), F.col("imported_batch_id").alias("batch"))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[LedgerStore, DataFrame]:
+    """A store that holds the derived ledger, and its rows."""
+    rows = cut(ledger(spark, sf_dir))
+    store = LedgerStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    store.commit(transactions=rows)
+    return store, rows
+
+
 @query(f"WITH {D}, {K} SELECT k FROM led WHERE k % 4 <> 2")
 def undo_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger(spark, sf_dir).where(~F.col("imported_batch_id").eqNullSafe("b2")).select(F.col("seq.row").cast("long").alias("k"))
+    store, rows = _stored(spark, sf_dir)
+    store.delete_batch("b2")
+    return store.transactions().select("id").join(rows.select("id", F.col("seq.row").cast("long").alias("k")), "id").select("k")
 
 
 @query(f"WITH {D}, {K} SELECT k, CASE WHEN k % 100 = 0 THEN 'travel' ELSE category END AS category, CASE WHEN k % 100 = 0 THEN 'user' WHEN category IS NULL THEN 'none' ELSE 'rule' END AS category_source FROM led")
 def set_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    txs = ledger(spark, sf_dir)
-    chosen = txs.where(F.col("seq.row") % 100 == 0).select("id", F.lit("travel").alias("_to"))
-    out = txs.join(chosen, "id", "left")
-    return out.select(F.col("seq.row").cast("long").alias("k"), F.coalesce("_to", "category").alias("category"), F.when(F.col("_to").isNotNull(), "user").otherwise(F.col("category_source")).alias("category_source"))
+    store, rows = _stored(spark, sf_dir)
+    store.set_categories(rows.where(F.col("seq.row") % 100 == 0).select("id", F.lit("travel").alias("category")))
+    return store.transactions().select("id", "category", "category_source").join(rows.select("id", F.col("seq.row").cast("long").alias("k")), "id").select("k", "category", "category_source")
 
 
 # ---- reports

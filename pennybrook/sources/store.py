@@ -1,15 +1,18 @@
-"""A ledger on Parquet: versions of tables behind one pointer, so that a commit is all or nothing.
+"""A ledger on Parquet: versions of tables behind numbered pointers, so that a commit is all or nothing.
 
-A version is a set of folders; ``CURRENT`` names the live one and is replaced by a rename.  Transactions are partitioned by local month.
-A commit rewrites only what it must: tables that a change doesn't touch keep the folder of an older version.
+A pointer names the folders of a version; the one of the highest number is live.  A commit writes a pointer under another name and renames it to
+the next number, which fails if that is taken: a reader sees the old version or the new one, and of two writers one gets ``Conflict``.
+Transactions lie in a folder for each local month.  A commit rewrites only the months and tables that it touches; all else keeps its folder.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +34,10 @@ class UniqueViolation(Exception):
     """Two records of one fingerprint: nothing was written."""
 
 
+class Conflict(Exception):
+    """Another writer has committed since this one read: nothing was written."""
+
+
 class LedgerStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -39,44 +46,66 @@ class LedgerStore:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)
 
-    def _pointer(self) -> dict[str, str]:
-        path = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(path):
-            return {}
-        stream = self._fs.open(path)
+    def _latest(self) -> int:
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._path(self.root))] if self._fs.exists(self._path(self.root)) else []
+        return max((int(x.removeprefix("POINTER-")) for x in names if re.fullmatch(r"POINTER-\d+", x)), default=0)
+
+    def _pointer(self) -> tuple[int, dict]:
+        """The live version's number, and its folders: by table, and for transactions by month."""
+        n = self._latest()
+        if not n:
+            return 0, {}
+        stream = self._fs.open(self._path(f"{self.root}/POINTER-{n:012d}"))
         try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return n, json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def _swap(self, pointer: dict[str, str]) -> None:
-        new = self._path(f"{self.root}/CURRENT.{uuid.uuid4().hex}")
+    def _swap(self, base: int, pointer: dict) -> None:
+        jvm = self.spark._jvm
+        new, live = (self._path(f"{self.root}/{name}") for name in (f"NEW-{uuid.uuid4().hex}", f"POINTER-{base + 1:012d}"))
         out = self._fs.create(new, True)
         out.write(json.dumps(pointer).encode())
         out.close()
-        live = self._path(f"{self.root}/CURRENT")
-        if self._fs.exists(live):
-            self._fs.delete(live, False)
-        if not self._fs.rename(new, live):
-            raise OSError(f"could not replace {live}")
-
-    def read(self, table: str) -> DataFrame:
-        where = self._pointer().get(table)
-        if where is None:
-            return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(where) if table != "transactions" else self.spark.read.parquet(where).select(*TRANSACTION.fieldNames(), "month")
-
-    def commit(self, **tables: DataFrame) -> None:
-        """Write new versions of some tables, then move the pointer once."""
-        pointer, version = self._pointer(), uuid.uuid4().hex
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            files.rename(new, live, self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            self._fs.delete(new, False)
+            if self._fs.exists(live):
+                raise Conflict(f"version {base + 1} exists already") from e
+            raise
+
+    def read(self, table: str, months: Iterable[str] | None = None) -> DataFrame:
+        """A table; of transactions only some months, if wanted."""
+        return self._read(self._pointer()[1], table, months)
+
+    def _read(self, pointer: dict, table: str, months: Iterable[str] | None = None) -> DataFrame:
+        where = pointer.get(table)
+        if table == "transactions":
+            where = [path for month, path in sorted((where or {}).items()) if months is None or month in set(months)]
+            df = self.spark.read.schema(TRANSACTION).parquet(*where) if where else self.spark.createDataFrame([], TRANSACTION)
+            return df.withColumn("month", local_month(F.col("occurred_at")))
+        return self.spark.read.schema(TABLES[table]).parquet(where) if where else self.spark.createDataFrame([], TABLES[table])
+
+    def commit(self, base: int | None = None, months: Iterable[str] | None = None, **tables: DataFrame) -> None:
+        """Write new versions of some tables, then the next pointer.  ``base`` is the version that they were made from; ``months`` are those that the
+        transactions replace, by default all."""
+        now, pointer = self._pointer()
+        if base is not None and base != now:
+            raise Conflict(f"made from version {base}, but {now} is live")
+        version = uuid.uuid4().hex
         for name, df in tables.items():
             where = f"{self.root}/{name}/{version}"
             if name == "transactions":
                 df.select(*TRANSACTION.fieldNames(), local_month(F.col("occurred_at")).alias("month")).write.partitionBy("month").parquet(where)
+                made = {x.getPath().getName().removeprefix("month="): f"{where}/{x.getPath().getName()}" for x in self._fs.listStatus(self._path(where)) if x.isDirectory()}
+                kept = {} if months is None else {k: v for k, v in pointer.get(name, {}).items() if k not in set(months)}
+                pointer[name] = kept | made
             else:
                 df.select(*TABLES[name].fieldNames()).write.parquet(where)
-            pointer[name] = where
-        self._swap(pointer)
+                pointer[name] = where
+        self._swap(now, pointer)
 
     # ---- scans
 
@@ -106,22 +135,41 @@ class LedgerStore:
         old = self.read(table)
         return old.select(*TABLES[table].fieldNames()).join(rows.select(key), key, "left_anti").unionByName(rows.select(*TABLES[table].fieldNames()))
 
+    def _months(self, rows: DataFrame) -> list[str]:
+        return [r["month"] for r in rows.select("month").distinct().collect()]  # a ledger has a few hundred at most
+
     def save_import(self, batch: DataFrame, txs: DataFrame) -> None:
-        """A batch and its rows, upserted by id; two rows of one fingerprint abort all."""
-        merged = self._upsert("transactions", txs, "id")
-        twice = merged.groupBy("fingerprint").count().where("count > 1")
-        if not twice.isEmpty():
+        """A batch and its rows, upserted by id; two rows of one fingerprint abort all.  Only the months of these rows are rewritten."""
+        base, pointer = self._pointer()
+        stored = self._read(pointer, "transactions")
+        txs = txs.select(*TRANSACTION.fieldNames()).withColumn("month", local_month(F.col("occurred_at")))
+        ids = txs.select("id")
+        clash = stored.select("id", "fingerprint").join(txs.select("fingerprint"), "fingerprint", "left_semi").join(ids, "id", "left_anti").select("fingerprint")
+        twice = txs.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
+        if not clash.unionByName(twice).isEmpty():
             raise UniqueViolation("fingerprint is not unique")
-        self.commit(transactions=merged, batches=self._upsert("batches", batch, "id"))
+        months = self._months(txs.select("month").unionByName(stored.select("id", "month").join(ids, "id", "left_semi").select("month")))
+        merged = self._read(pointer, "transactions", months).join(ids, "id", "left_anti").unionByName(txs)
+        self.commit(base, months, transactions=merged, batches=self._upsert("batches", batch, "id"))
 
     def delete_batch(self, batch_id: str) -> None:
-        keep = self.transactions().where(~F.col("imported_batch_id").eqNullSafe(batch_id))
-        self.commit(transactions=keep, batches=self.read("batches").where(F.col("id") != batch_id))
+        base, pointer = self._pointer()
+        gone = F.col("imported_batch_id").eqNullSafe(batch_id)
+        months = self._months(self._read(pointer, "transactions").where(gone))
+        self.commit(base, months, transactions=self._read(pointer, "transactions", months).where(~gone), batches=self.read("batches").where(F.col("id") != batch_id))
 
     def set_category(self, tx_id: str, category: str | None) -> None:
         """The user's choice, also when it clears the category."""
-        hit = F.col("id") == tx_id
-        self.commit(transactions=self.transactions().withColumn("category", F.when(hit, F.lit(category)).otherwise(F.col("category"))).withColumn("category_source", F.when(hit, "user").otherwise(F.col("category_source"))))
+        self.set_categories(self.spark.createDataFrame([(tx_id, category)], "id string, category string"))
+
+    def set_categories(self, choices: DataFrame) -> None:
+        """Many choices (id, category) at once; unknown ids change nothing."""
+        base, pointer = self._pointer()
+        chosen = choices.select("id", F.col("category").alias("_category"), F.lit(True).alias("_hit"))
+        months = self._months(self._read(pointer, "transactions").select("id", "month").join(chosen, "id", "left_semi"))
+        rows = self._read(pointer, "transactions", months).join(chosen, "id", "left")
+        hit = F.col("_hit").isNotNull()
+        self.commit(base, months, transactions=rows.withColumn("category", F.when(hit, F.col("_category")).otherwise(F.col("category"))).withColumn("category_source", F.when(hit, "user").otherwise(F.col("category_source"))))
 
     def put(self, table: str, rows: Iterable[dict]) -> None:
         """Upsert into a small table (accounts, templates, settings)."""
@@ -144,4 +192,4 @@ class LedgerStore:
         self.commit(transactions=transactions, batches=batches, templates=templates)
 
     def clear(self) -> None:
-        self._swap({})
+        self._swap(self._latest(), {})

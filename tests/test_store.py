@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pennybrook.operators import guard, transfers
 from pennybrook.schema import BATCH, TRANSACTION
 from pennybrook.sources import glyphs, snapshot
-from pennybrook.sources.store import LedgerStore, UniqueViolation
+from pennybrook.sources.store import Conflict, LedgerStore, UniqueViolation
 
 
 def tx(spark, rows):
@@ -31,10 +31,30 @@ def test_store(spark, tmp_path):
     assert [r["id"] for r in store.transactions().collect()] == ["1"] and [r["id"] for r in store.batches().collect()] == ["b1"]
     store.set_setting("x", {"a": 1})
     assert store.setting("x") == {"a": 1} and store.setting("y", 3) == 3
+    base, pointer = store._pointer()
+    with pytest.raises(Conflict):
+        store.commit(base - 1, settings=store.read("settings"))
+    with pytest.raises(Conflict):  # another writer took the number in between
+        store._swap(base - 1, {})
+    assert store._pointer() == (base, pointer) and store.transactions().count() == 1
     store.clear()
     assert store.transactions().count() == 0
 
 
+def test_commits_rewrite_touched_months_only(spark, tmp_path):
+    store = LedgerStore(spark, f"file://{tmp_path}/ledger")
+    store.save_import(batch(spark, "b1"), tx(spark, [("1", "f1", 5, "b1", "2026-05-01"), ("2", "f2", 6, "b1", "2026-06-01"), ("3", "f3", 6, "b1", "2026-07-01")]))
+    before = store._pointer()[1]["transactions"]
+    assert sorted(before) == ["2026-05", "2026-06", "2026-07"]
+    store.set_category("2", "food")
+    after = store._pointer()[1]["transactions"]
+    assert [m for m in before if before[m] != after[m]] == ["2026-06"]
+    store.save_import(batch(spark, "b2"), tx(spark, [("3", "f3", 9, "b2", "2026-05-02")]))  # a row that moves to another month
+    assert sorted(store._pointer()[1]["transactions"]) == ["2026-05", "2026-06"] and store._pointer()[1]["transactions"]["2026-06"] == after["2026-06"]
+    assert sorted((r["id"], r["amount_minor"]) for r in store.transactions().collect()) == [("1", 5), ("2", 6), ("3", 9)]
+    assert sorted(r["id"] for r in store.read("transactions", ["2026-05"]).collect()) == ["1", "3"]
+
+
 def test_snapshot(spark):
     doc = {"schemaVersion": 1, "transactions": [{"id": "é"}]}
     blob = snapshot.encrypt(spark, doc, "twelve chars!", iterations=1000)
