@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset (tests, local runs)."""
+    """The shared folder of spark.checkpoint.dir; a temporary one only on a local master where that is unset."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", "")
     if path:
@@ -21,6 +22,8 @@ def scratch_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="pennybrook-scratch-")
     sc.setCheckpointDir(path)
     return path
