@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of equal or similar lines one stays; documents left without a line go."""
+    """Of each group of equal or similar lines one stays; documents left without a line go.  Rows with a null doc_id keep all their lines."""
     out = lines.dedup(docs.select(*COLUMNS))
     return out.where("n_lines > n_removed").withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
@@ -38,14 +38,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.  Rows are told apart by id and text, so a null or repeated doc_id is a document like any other."""
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("id"), F.col("key").alias("at")).distinct()
     keyed = docs.select(*COLUMNS).withColumn("key", F.xxhash64("text"))
     return keyed.join(found, F.expr("key = at AND doc_id <=> id"), "left_anti").select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that are left, packed into sequences of 2048 tokens."""
+    """The pieces of all documents that are left, packed into sequences of 2048 tokens; null ids and repeated rows are documents like any other."""
     return packing.pack(docs)
 
 
@@ -57,7 +57,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL can't express the learned, MinHash and packing stages. tests/llm/test_pipeline.py tests two stages on null and repeated ids; no test holds the whole pipeline against a plain version.
+#: SQL can't express the learned, MinHash and packing stages. tests/llm/test_pipeline.py holds run() against plain-Python stages on a small fixture.
 ORACLE_SQL = None
 
 

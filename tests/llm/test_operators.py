@@ -158,6 +158,33 @@ def test_secrets(spark):
     assert [(r["doc_id"], r["start"], r["length"]) for r in got if r["is_secret"]] == [(1, 11, 40)]
 
 
+def test_secrets_of_kinds_never_seen():
+    unseen = ("github", "slack", "letters", "block", "upper", "uuid", "version", "mail")
+    forest = secrets_scan.train(secrets_scan.labelled_findings(without=unseen))
+    share = {}
+    for kind in unseen:
+        found = secrets_scan.labelled_findings(200, 9, only=(kind,))
+        share[kind] = float((forest.score(np.array([secrets_scan.features(t, a, b, p) for t, a, b, p, _ in found])) >= 0.5).mean())
+        # the scanner proposes the planted value, or all of it but a delimiter
+        proposed = np.mean([any(x <= a + 1 and y >= b - 1 for x, y, _ in secrets_scan.candidates(t)) for t, a, b, _, y_ in found if y_] or [1.0])
+        assert proposed > 0.9, (kind, proposed)
+    assert min(share[k] for k in unseen[:5]) > 0.85 and max(share[k] for k in unseen[5:]) < 0.15, share
+
+
+def test_secrets_from_a_table_of_labels(spark):
+    found = [(t, a, b, p, y) for t, a, b, p, y in secrets_scan.labelled_findings(600)]
+    rows = found + [("z" * 5000 + t, a + 5000, b + 5000, None, y) for t, a, b, _, y in found[:50]] + [(None, 0, 3, "", 1), ("abc", 0, 3, "", None), ("abc", 2, 9, "", 1)]
+    df = spark.createDataFrame(rows, "text string, start int, end int, path string, label int").repartition(3)
+    got = secrets_scan.findings_of(df)
+    assert len(got) == 650 and max(len(t) for t, *_ in got) < 3000 and len(secrets_scan.findings_of(df, most=7)) == 7
+    cut = {(t[a:b], y) for t, a, b, _, y in got}
+    assert cut == {(t[a:b], y) for t, a, b, _, y in found}
+    docs = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (2, "", "x"), (3, 'token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', None), (3, 'token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', None)], "doc_id long, text string, kind string")
+    forest = secrets_scan.train(got)
+    assert [(r["doc_id"], r["length"], r["is_secret"]) for r in secrets_scan.scan(docs, forest, path_col="kind").collect()] == [(3, 40, True)] * 2
+    assert secrets_scan.scan(docs.limit(0), forest).count() == 0
+
+
 def test_unquoted_secrets():
     token, known = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "ghp_" + "aB3dE5gH7jK9mN1pQ3sT5vX7zA9cE1gI3kM5"
     spans = lambda t: [t[a:b] for a, b, _ in secrets_scan.candidates(t)]
