@@ -75,6 +75,16 @@ def totals(ledger: DataFrame) -> DataFrame:
     return out.withColumn("net_minor", F.col("income_minor") - F.col("expense_minor"))
 
 
+def printed_totals(drafts: DataFrame, printed: DataFrame, *by: str) -> DataFrame:
+    """Rows rebuilt from a statement against the totals that it prints itself: (by, debit_minor, credit_minor, printed_debit_minor,
+    printed_credit_minor, agrees).  ``printed`` has the last two by ``by``; a statement without rows has sums of zero."""
+    side = lambda d: sum_minor(F.when(F.col("direction") == d, F.col("amount_minor")).otherwise(F.lit(0).cast("long")))
+    sums = drafts.groupBy(*by).agg(side("out").alias("debit_minor"), side("in").alias("credit_minor"))
+    out = printed.select(*by, "printed_debit_minor", "printed_credit_minor").join(sums, list(by), "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("debit_minor", "credit_minor")})
+    return out.withColumn("agrees", F.expr("debit_minor <=> printed_debit_minor AND credit_minor <=> printed_credit_minor"))
+
+
 def kind_label() -> Column:
     out = F.col("kind")
     for k, v in L.KIND_LABELS.items():

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from pennybrook.plans import build, reports
+from pennybrook.plans import build, imports, reports
 from pennybrook.sources import containers as C
 from pennybrook.sources import platforms as P
 
@@ -141,3 +141,23 @@ def test_containers(spark):
     page = spark.createDataFrame([("<table><tr><th>A&amp;B</th><td>1<br>2</td></tr><tr></tr></table>",)], "h string")
     assert page.select(C.html_rows(F.col("h"))).first()[0] == [["A&B", "1 2"]]
     assert C.delimited("a,b\rc,d\r\n\n e ,f")[0] == [["a", "b"], ["c", "d"], ["e", "f"]]
+
+
+def test_folder(spark, tmp_path):
+    bank = "交易日期,摘要,对方户名,收入,支出,余额,交易状态\n2026-05-01,工资,公司,12000.00,,12000.00,成功\n2026-05-02,午餐,店,,28.50,11971.50,成功\n"
+    wechat = "标题\n交易时间,交易类型,交易对方,商品,收/支,金额(元),支付方式,当前状态,交易单号,商户单号,备注\n2026-05-03 10:00:00,零钱提现,银行,/,/,¥500.00,银行,提现已到账,\t5,6,服务费 ¥0.50\n"
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for name, text in (("a.csv", CSV), ("deep/b.csv", bank), ("c.csv", wechat), ("d.csv", "交易时间,收/支,商品说明\n2026-05-01,支出,x\n"), ("e.csv", "just words"), ("f.csv", "colour,size\nred,3\n"), ("g.pdf", "%PDF-1.7")):
+        (tmp_path / "in" / name).write_text(text, encoding="utf-8")
+    run = imports.import_folder(spark, f"file://{tmp_path}/in", "acc", "b1")
+    assert sorted((r["path"].rpartition("/")[2], r["platform"], r["template"]) for r in run.layouts.where("platform is not null or template is not null").collect() if r["path"][-5] in "abc") == [("a.csv", "alipay", None), ("b.csv", None, "demo-bank@2026-09"), ("c.csv", "wechat", None)]
+    assert sorted(r["path"].rpartition("/")[2] for r in run.errors.collect()) == ["d.csv", "e.csv", "f.csv", "g.pdf"]
+    assert counts(run.outcome.transactions, "source") == {"alipay": 9, "wechat": 2, "generic:demo-bank@2026-09": 2}
+    shown = imports.preview(run)
+    assert shown["transactions"].count() == 13 and shown["dropped"].count() == 3 and shown["warnings"].count() == 3 and shown["updated"].count() == 0
+
+
+def test_printed_totals(spark):
+    rows = spark.createDataFrame([(1, "out", 250), (1, "in", 100), (1, "out", 50), (2, "out", 70)], "file int, direction string, amount_minor long")
+    printed = spark.createDataFrame([(1, 300, 100), (2, 71, 0), (3, 0, 0)], "file int, printed_debit_minor long, printed_credit_minor long")
+    assert sorted((r["file"], r["debit_minor"], r["credit_minor"], r["agrees"]) for r in reports.printed_totals(rows, printed, "file").collect()) == [(1, 300, 100, True), (2, 70, 0, False), (3, 0, 0, True)]
