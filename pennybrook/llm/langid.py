@@ -140,8 +140,12 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def train(docs: DataFrame, max_train: int = 3000, bits: int = 14, max_train_chars: int = 50_000) -> Model | None:
-    """Fit on rows of (doc_id, text, lang); rows with a null text or lang teach nothing."""
+def train(docs: DataFrame, max_train: int = 3000, bits: int = 14, max_train_chars: int = 50_000, max_train_bytes: int = 64 << 20) -> Model | None:
+    """Fit on rows of (doc_id, text, lang); rows with a null text or lang teach nothing.
+
+    The sample is of about ``max_train`` rows and ``max_train_bytes`` bytes, of texts of at most ``max_train_chars`` characters; a language that has
+    none so short is learned from longer ones, within its share of the bytes, its shortest text at least.
+    """
     docs = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     size = 1 << bits
 
@@ -162,12 +166,21 @@ def train(docs: DataFrame, max_train: int = 3000, bits: int = 14, max_train_char
     df[rows["bucket"]] = rows["n"]
     idf = (np.log((1 + df[size]) / (1 + df[:size])) + 1).astype(np.float32)
     # as many documents of each language, picked by a hash, so that the sample is the same however rows are dealt
-    per = {r["lang"]: r["n"] for r in docs.where(F.length("text") <= max_train_chars).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    short = F.length("text") <= max_train_chars
+    stats = docs.groupBy("lang").agg(
+        F.count_if(short).alias("n"), F.sum(F.when(short, F.octet_length("text")).otherwise(0)).alias("bytes"), F.count(F.lit(1)).alias("n_all"), F.sum(F.octet_length("text")).alias("bytes_all"), F.min(F.length("text")).alias("least")
+    )
+    per = {r["lang"]: r for r in stats.collect()}  # a row a language
     if not per:
         return None
-    quota = max(1, max_train // len(per))
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, quota / n))) for k, n in per.items()])
-    picked = docs.where(F.length("text") <= max_train_chars).where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < share * (1 << 30))
+    quota, room = max(1, max_train // len(per)), max_train_bytes / len(per)
+    wanted = F.lit(False)
+    for k, r in per.items():
+        n, held = (r["n"], r["bytes"]) if r["n"] else (r["n_all"], r["bytes_all"])
+        share = min(1.0, quota / n, room / max(1, held))
+        hit = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < share * (1 << 30)
+        wanted = wanted | (F.col("lang") == k) & (short & hit if r["n"] else hit | (F.length("text") == r["least"]))
+    picked = docs.where(wanted)
     got = picked.select("doc_id", "text", "lang").limit(2 * max_train).toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     labels = sorted(per)
     y = np.array([labels.index(v) for v in got.column("lang").to_pylist()])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_parts
+from .common import discard, materialize, text_parts
 from .langid import held_out, softmax
 
 _P = 0x5851_F42D_4C95_7F2D
@@ -105,14 +105,21 @@ def fit_sgd(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: int,
     return Model((emb @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]), bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000, bits: int = 16, max_train_chars: int = 50_000) -> Model:
-    """Fit on the rows of ``labels`` (doc_id, quality) with the texts of their documents."""
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000, bits: int = 16, max_train_chars: int = 50_000, max_train_bytes: int = 128 << 20) -> Model:
+    """Fit on the rows of ``labels`` (doc_id, quality) with the texts of their documents: about ``max_train`` rows and at most about
+    ``max_train_bytes`` bytes, of texts of at most ``max_train_chars`` characters."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     n = marks.count()
     share = min(1.0, max_train / max(1, n))
     marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * max_train)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= max_train_chars)
-    got = texts.join(F.broadcast(marks), "doc_id").select("doc_id", "y", "text").limit(2 * max_train).toArrow().combine_chunks()  # marks: at most 2 * max_train rows of two numbers
+    # marks: at most 2 * max_train rows of two numbers
+    sample = materialize(texts.join(F.broadcast(marks), "doc_id").select("doc_id", "y", "text").limit(2 * max_train), "quality-sample")
+    size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > max_train_bytes:
+        sample = sample.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) < max_train_bytes / size * (1 << 30))
+    got = sample.toArrow().combine_chunks()
+    discard(sample)
     got = got.sort_by([("doc_id", "ascending"), ("y", "ascending")])
     y = np.array(got.column("y").to_pylist(), np.int64)
     rows: list[tuple[np.ndarray, np.ndarray]] = []

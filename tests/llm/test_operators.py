@@ -271,11 +271,17 @@ def test_classifiers(spark):
     assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[902]["lang_pred"] == "en"
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in got)
     assert langid.identify(df.limit(0)).count() == 0
+    # a language whose texts are all over the limit is learned from its shortest one
+    long = spark.createDataFrame([(i, t * 9 if k == "de" else t, k) for i, t, k in docs[:300]], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in langid.identify(long, max_train_chars=300).where("doc_id % 3 = 1").collect()} == {"de"}
     texts = [(i, (prose(rng, 40) if i % 2 else " ".join(["junk!!"] * 40)), i % 2) for i in range(200)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in texts] + [(900, None), (901, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y, 0) for i, _, y in texts] + [(5, None, 0)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
     assert len(got) == 202 and all(got[i]["predicted"] == y for i, _, y in texts) and 0 <= got[900]["score"] <= 1
+    few = {r["doc_id"]: r for r in quality.classify(docs.withColumn("y", F.lit("clash")), labels, max_train_bytes=20_000).collect()}
+    assert sum(few[i]["predicted"] == y for i, _, y in texts) > 180
+    assert quality.classify(docs.limit(0), labels).count() == 0 and quality.classify(docs, labels.limit(0)).count() == 202
 
 
 def test_packing(spark):
