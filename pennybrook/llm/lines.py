@@ -39,7 +39,8 @@ def normal(line: Column) -> Column:
 def split_lines(docs: DataFrame, *more: Column) -> DataFrame:
     """(doc_id, more, no, line) of the lines that aren't blank."""
     out = docs.where("doc_id is not null and text is not null").select("doc_id", *more, F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    return out.withColumn("line", normal(F.col("raw"))).drop("raw").where("line <> ''")
+    # a line that is blank before it is lower-cased is one afterwards, so the filter needn't lower-case it again
+    return out.where("trim(raw) <> ''").withColumn("line", normal(F.col("raw"))).drop("raw")
 
 
 def constants(n: int) -> list[int]:
@@ -196,14 +197,14 @@ def dedup(docs: DataFrame, broadcast_rows: int = 2_000_000, **options) -> DataFr
     classes = fuzzy_lines(docs, broadcast_rows=broadcast_rows, **options)
     n = classes.count()
     lines = split_lines(docs, F.xxhash64("text").alias("text_key")).select("doc_id", "text_key", "no", F.xxhash64("line").alias("h"))
-    known = lines.join(bounded(classes, n, broadcast_rows), "h").select("doc_id", "text_key", "no", "component", "keep")
+    known = materialize(lines.join(bounded(classes, n, broadcast_rows), "h").select("doc_id", "text_key", "no", "component", "keep"), "line-known")
     # of the texts of the document that keeps a component's line, one keeps its first one
     first = known.where("doc_id = keep").groupBy("component").agg(F.min(F.struct("doc_id", "text_key", "no")).alias("at")).select("at.*")
     marks = known.groupBy("doc_id", "text_key").agg(F.collect_set("no").alias("known"))
     stays = first.groupBy("doc_id", "text_key").agg(F.collect_set("no").alias("stays"))
     gone = marks.join(stays, ["doc_id", "text_key"], "left").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.array_except("known", F.coalesce("stays", F.array().cast("array<int>"))).alias("_gone"))
     gone = materialize(gone.where("size(_gone) > 0"), "line-gone")
-    discard(classes)
+    discard(classes, known)
     rows, numbers = gone.agg(F.count(F.lit(1)), F.sum(F.size("_gone"))).first()
     gone = bounded(gone, rows + (numbers or 0), broadcast_rows)
     out = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left")
