@@ -119,9 +119,66 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+OP11 = r"""
+WITH o AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ' ' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), s AS (
+  SELECT c, count(*) AS own, c - c % 20 AS base,
+         xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [ascii(x)::UBIGINT, 256, 256, 256, 256, 256, 256, 256, 256]))),
+             lambda a, x: CASE WHEN x < 256 THEN xor(a, x) ELSE xor(a >> 1, 3988292384::UBIGINT * (a & 1)) END), 4294967295::UBIGINT) % 4 AS h
+  FROM o GROUP BY c
+), v AS (
+  SELECT s.c, s.base, s.h, s.own, least(s.h, coalesce(b.own, 0)) AS taken, least(s.h, coalesce(b.own, 0)) + greatest(s.own - CAST(s.h AS BIGINT), 0) AS n FROM s LEFT JOIN s b ON b.c = s.base
+), r AS (
+  SELECT v.c, o.pos, o.role, o.text, v.n FROM v JOIN o ON o.c = v.base AND o.pos < v.h
+  UNION ALL SELECT v.c, o.pos - v.h + v.taken, o.role, o.text, v.n FROM v JOIN o ON o.c = v.c AND o.pos >= v.h
+), p AS (
+  SELECT c, pos + 1 AS depth, list({'r': role, 't': text}) OVER (PARTITION BY c ORDER BY pos) AS k, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, n FROM r
+  UNION ALL SELECT c, 0, [], 0, n FROM v
+), m AS (
+  SELECT c, depth, words, n, min(c) OVER (PARTITION BY depth, k) AS node FROM p
+), g AS (
+  SELECT node, depth, count(*) AS n_convs, max(words) AS words,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = depth), '')) AS ends
+  FROM m GROUP BY node, depth
+), e AS (
+  SELECT g.*, m.node AS parent FROM g LEFT JOIN m ON m.c = g.node AND m.depth = g.depth - 1
+), f AS (
+  SELECT e.*, coalesce(k.n_children, 0) AS n_children
+  FROM e LEFT JOIN (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM e WHERE depth > 0 GROUP BY ALL) k USING (node, depth)
+), t AS (
+  SELECT m.node, m.depth, count(*) FILTER (WHERE f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.words) AS saved
+  FROM f JOIN m ON m.c = f.node AND m.depth <= f.depth GROUP BY m.node, m.depth
+)
+SELECT CAST(node AS BIGINT) AS conv_id, CAST(depth AS BIGINT) AS depth, CAST(parent AS BIGINT) AS parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends AS ends_sha256
+FROM f JOIN t USING (node, depth)
+"""
+
+
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import prefix_trie
+
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), branch=True)
+
+
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import whitening
+
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_benchmark_decontamination, op3_line_dedup, op4_secret_scan, op5_simhash_near_dedup, op6_html_extraction, op7_quality_classifier, op8_best_fit_packing, op9_language_id, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_benchmark_decontamination, op3_line_dedup, op4_secret_scan, op5_simhash_near_dedup, op6_html_extraction, op7_quality_classifier, op8_best_fit_packing, op9_language_id, op10_suffix_array_dedup, op11_conversation_prefix_trie, op12_ngram_jaccard_join, op13_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1, "op2_benchmark_decontamination": OP2}
+    return {"op1_exact_topk": OP1, "op2_benchmark_decontamination": OP2, "op11_conversation_prefix_trie": OP11}
