@@ -1,19 +1,24 @@
 """Refund pairing: a greedy prefix join in input order, cut into exact independent parts.
 
 The purchases that a refund can meet have order ids that are prefixes of its own, so they form a chain, and the shortest of them, the
-root, is the same for all refunds and purchases that compete.  Prefixes are exploded on the refund side and joined by equality.
+root, is the same for all refunds and purchases that compete.  Prefixes are found on the sorted ids: an id covers the interval of ids that it begins, such
+intervals are nested or disjoint, and a stack carried along the sorted ids holds those that are open.
 A root with one purchase is decided by a running sum; only roots with several purchases run a kernel in ``seq`` order.
 ``scope`` names the columns within which rows may meet (an import), so that a ledger of many imports spreads over them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import blank_to_null, text
 from ..session import cut
@@ -29,13 +34,56 @@ class Refunds:
     warnings: DataFrame  # seq, code
 
 
+def nested_prefixes(longer: DataFrame, shorter: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """(scope, order_id, prefix): for each different order id of ``longer`` those of ``shorter`` that it begins with, itself included.
+
+    The different ids of both are range-partitioned and sorted, a row each; a stack of the open ids of ``shorter`` runs along each partition.  A partition
+    starts with the ids that are open at its first row: the prefixes of that one id, looked up by a join, so that no partition waits for another.
+    """
+    keys = list(scope)
+    some = F.col("order_id").isNotNull() & (F.col("order_id") != "")
+    whole = longer.where(some).select(*keys, "order_id", F.lit(1).alias("sought"), F.lit(0).alias("opens")).unionByName(shorter.where(some).select(*keys, "order_id", F.lit(0).alias("sought"), F.lit(1).alias("opens")))
+    ids = whole.groupBy(*keys, "order_id").agg(F.max("sought").alias("sought"), F.max("opens").alias("opens"))
+    order = [*keys, "order_id"]
+    ids = cut(ids.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    first = ids.groupBy("part").agg(F.min(F.struct(*order)).alias("at")).select("part", "at.*")
+    heads = first.select("part", *keys, F.explode(F.expr("transform(sequence(1, length(order_id)), i -> substring(order_id, 1, i))")).alias("order_id"))
+    same = [F.col(f"h.{k}").eqNullSafe(F.col(f"i.{k}")) for k in order]
+    open_at = heads.alias("h").join(ids.where("opens = 1").alias("i"), reduce(Column.__and__, same)).select("h.part", "h.order_id").collect()  # a partition's first id has few prefixes
+    starts: dict[int, list[str]] = {}
+    for row in sorted(open_at, key=lambda r: len(r["order_id"])):
+        starts.setdefault(row["part"], []).append(row["order_id"])
+    schema = StructType([*[ids.schema[k] for k in order], StructField("prefix", StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, group, stack = None, None, []
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                here = tuple(row[k] for k in keys)
+                if row["part"] != part:
+                    part, group, stack = row["part"], here, list(starts.get(row["part"], ()))
+                elif here != group:
+                    group, stack = here, []
+                while stack and not row["order_id"].startswith(stack[-1]):
+                    stack.pop()
+                if row["opens"] and not (stack and stack[-1] == row["order_id"]):
+                    stack.append(row["order_id"])
+                if row["sought"]:
+                    out += [{**{k: row[k] for k in order}, "prefix": x} for x in stack]
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return ids.mapInArrow(run, schema)
+
+
 def prefix_matches(refunds: DataFrame, purchases: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """(scope, refund_seq, refund_id, refund_minor, purchase_seq, order_id, purchase_minor): every purchase whose order id is a prefix of a refund's."""
     keys = list(scope)
+    pairs = nested_prefixes(refunds, purchases, keys).select(*keys, F.col("order_id").alias("refund_id"), F.col("prefix").alias("order_id"))
     r = refunds.select(*keys, F.col("seq").alias("refund_seq"), F.col("order_id").alias("refund_id"), F.col("amount_minor").alias("refund_minor"))
-    r = r.withColumn("order_id", F.explode(F.expr("transform(sequence(1, length(refund_id)), i -> substring(refund_id, 1, i))")))
     p = purchases.select(*keys, F.col("seq").alias("purchase_seq"), "order_id", F.col("amount_minor").alias("purchase_minor"))
-    return r.join(p, [*keys, "order_id"])
+    return r.join(pairs, [*keys, "refund_id"]).join(p, [*keys, "order_id"])
 
 
 def greedy(rows: pd.DataFrame) -> list[tuple]:
@@ -98,9 +146,8 @@ def decisions(drafts: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 def orphans(refunds: DataFrame, closed_ids: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Refunds (seq, order_id) none of whose prefixes is the order id of a closed row."""
     keys = list(scope)
-    spread = refunds.withColumn("prefix", F.explode(F.expr("transform(sequence(1, length(order_id)), i -> substring(order_id, 1, i))")))
-    explained = spread.join(closed_ids.select(*keys, F.col("order_id").alias("prefix")).distinct(), [*keys, "prefix"], "left_semi").select(*keys, "seq").distinct()
-    return refunds.join(explained, [*keys, "seq"], "left_anti")
+    explained = nested_prefixes(refunds, closed_ids, keys).select(*keys, "order_id").distinct()
+    return refunds.join(explained, [*keys, "order_id"], "left_anti")
 
 
 def pair_refunds(drafts: DataFrame, closed_ids: DataFrame, scope: Sequence[str] = ()) -> Refunds:

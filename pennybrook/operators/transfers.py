@@ -1,8 +1,13 @@
 """Pairing of internal transfers: nearest exact match, then small subset sums, both greedy in time order.
 
-Exact matches interact only within one amount, and rows further apart than the window never meet, so (scope, amount, time island) is an
-exact partition.  A part with one leg of each side is decided without a kernel.  Subset sums mix amounts and are cut by
-(scope, time island).  ``scope`` names the columns within which legs may meet; an import only ever pairs its own rows.
+Exact matches interact only within one amount, subset sums mix amounts.  ``scope`` names the columns within which legs may meet; an import only ever
+pairs its own rows.  Both are cut in time by ``intime``: islands that no decision crosses, and slabs of long islands, so that neither a common amount nor a ledger
+without a scope is one task.  An island with one leg of each side is decided without a kernel.
+
+Subset sums look at a leg only if a sum can settle it.  That is found by joins: legs of the other side within the window, two of them whose sum is
+the amount, or three.  A leg with more than ``POOL`` legs around it counts as possible without a look, so that the joins make at most
+``POOL`` rows a leg.  Legs without a possible sum settle nothing; they stay only where a leg with one can use them.
+Rows that share an id are used up together within one part.
 """
 
 from __future__ import annotations
@@ -10,13 +15,13 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import epoch_seconds
 from ..session import cut
 from .classify import is_pairing_candidate
+from .intime import SLAB, in_time_order, with_islands
 
 WINDOW_DAYS, MAX_GROUP, POOL = 3, 3, 24
 
@@ -26,23 +31,21 @@ def legs(txs: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     return txs.where(is_pairing_candidate()).select(*scope, "id", "direction", "amount_minor", epoch_seconds(F.col("occurred_at")).alias("epoch"), "seq")
 
 
-def islands(rows: DataFrame, keys: Sequence[str], window_seconds: int) -> DataFrame:
-    """Number the runs of rows without a gap longer than the window."""
-    order = Window.partitionBy(*keys).orderBy("epoch", "seq")
-    gap = F.col("epoch") - F.lag("epoch").over(order) > window_seconds
-    return rows.withColumn("_new", F.coalesce(gap.cast("int"), F.lit(0))).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def in_window(left: DataFrame, right: DataFrame, keys: Sequence[str], window: int) -> DataFrame:
+    """Rows of ``left`` and ``right`` (both with keys and epoch, no other common column) at most a window apart: an equi-join on bins as wide as the window,
+    each left row on the at most three bins that its window touches, so that common keys meet only the rows of their time."""
+    bins = F.sequence(F.floor((F.col("epoch") - window) / window), F.floor((F.col("epoch") + window) / window))
+    left = left.withColumn("bin", F.explode(bins)).withColumnRenamed("epoch", "left_epoch")
+    right = right.withColumn("bin", F.floor(F.col("epoch") / window)).withColumnRenamed("epoch", "right_epoch")
+    return left.join(right, [*keys, "bin"]).withColumn("distance", F.abs(F.col("left_epoch") - F.col("right_epoch"))).where(F.col("distance") <= window).drop("bin", "left_epoch", "right_epoch")
 
 
 def candidate_edges(rows: DataFrame, window_days: int = WINDOW_DAYS, scope: Sequence[str] = ()) -> DataFrame:
-    """Every out with every in of its amount within the window: an equi-join on amount and day, each out on all days that its window touches, so
-    a common amount meets only the rows of its days."""
+    """Every out with every in of its amount within the window."""
     keys = [*scope, "amount_minor"]
-    window = window_days * 86_400
-    days = F.sequence(F.floor((F.col("epoch") - window) / 86_400), F.floor((F.col("epoch") + window) / 86_400))
-    out = rows.where("direction = 'out'").select(*keys, F.col("id").alias("out_id"), F.col("epoch").alias("out_epoch"), F.explode(days).alias("day"))
-    into = rows.where("direction = 'in'").select(*keys, F.col("id").alias("in_id"), F.col("epoch").alias("in_epoch"), F.floor(F.col("epoch") / 86_400).alias("day"))
-    joined = out.join(into, [*keys, "day"]).withColumn("distance", F.abs(F.col("out_epoch") - F.col("in_epoch")))
-    return joined.where(F.col("distance") <= window).select(*keys, "out_id", "in_id", "distance")
+    out = rows.where("direction = 'out'").select(*keys, F.col("id").alias("out_id"), "epoch")
+    into = rows.where("direction = 'in'").select(*keys, F.col("id").alias("in_id"), "epoch")
+    return in_window(out, into, keys, window_days * 86_400).select(*keys, "out_id", "in_id", "distance")
 
 
 class Free:
@@ -67,16 +70,23 @@ class Free:
         self.up[i + 1], self.down[i + 1] = i + 2, i
 
 
-def nearest_pairs(rows: list[dict], window: int) -> list[tuple[str, str, int]]:
-    """(out id, in id, amount) for legs of one amount: outs in time order take the nearest free in, the earlier one on ties."""
-    rows = sorted(rows, key=lambda r: (r["epoch"], r["seq"]["file"], r["seq"]["row"], r["seq"]["part"]))
+def in_order(rows: list[dict]) -> list[dict]:
+    return sorted(rows, key=lambda r: (r["epoch"], r["seq"]["file"], r["seq"]["row"], r["seq"]["part"]))
+
+
+def nearest_pairs(rows: list[dict], window: int, first: float = float("-inf"), end: float = float("inf"), before: set[str] = frozenset()) -> list[tuple[int, list[str], list[str], int]]:
+    """(epoch of the out, [out id], [in id], amount) for legs of one amount: the outs from ``first`` to before ``end`` take, in time order, the nearest in that is free, the
+    earlier one on ties.  Ids in ``before`` are used already."""
+    rows = in_order(rows)
     outs, ins = [r for r in rows if r["direction"] == "out"], [r for r in rows if r["direction"] == "in"]
-    times, free, found, used = [r["epoch"] for r in ins], Free(len(ins)), [], set()
+    times, free, found, used = [r["epoch"] for r in ins], Free(len(ins)), [], set(before)
     same: dict[str, list[int]] = {}
     for i, r in enumerate(ins):
         same.setdefault(r["id"], []).append(i)
+        if r["id"] in used:
+            free.take(i)
     for out in outs:
-        if out["id"] in used:
+        if out["id"] in used or not first <= out["epoch"] < end:
             continue
         at, best = bisect_left(times, out["epoch"]), None
         left = free.at_or_before(at - 1)
@@ -89,7 +99,7 @@ def nearest_pairs(rows: list[dict], window: int) -> list[tuple[str, str, int]]:
             used.add(out["id"])
             for i in same[ins[best]["id"]]:
                 free.take(i)
-            found.append((out["id"], ins[best]["id"], int(out["amount_minor"])))
+            found.append((out["epoch"], [out["id"]], [ins[best]["id"]], int(out["amount_minor"])))
     return found
 
 
@@ -122,69 +132,96 @@ def first_subset(amounts: list[int], total: int, most: int) -> list[int] | None:
     return search(0, total, 0) if most >= 2 else None
 
 
-def grouped_pairs(rows: list[dict], window: int, most: int = MAX_GROUP, pool: int = POOL) -> list[tuple[list[str], list[str], int]]:
-    """(out ids, in ids, amount): unpaired outs, then ins, each settled by two or more legs of the other side."""
-    rows = sorted(rows, key=lambda r: (r["epoch"], r["seq"]["file"], r["seq"]["row"], r["seq"]["part"]))
-    sides = {d: [r for r in rows if r["direction"] == d] for d in ("out", "in")}
-    times = {d: [r["epoch"] for r in v] for d, v in sides.items()}
-    used: set[str] = set()
-    found = []
-    for side, other in (("out", "in"), ("in", "out")):
-        for r in sides[side]:
-            if r["id"] in used:
-                continue
-            near, i = [], bisect_left(times[other], r["epoch"] - window)
-            while i < len(times[other]) and times[other][i] <= r["epoch"] + window and len(near) < pool:
-                if sides[other][i]["id"] not in used:
-                    near.append(sides[other][i])
-                i += 1
-            got = first_subset([int(x["amount_minor"]) for x in near], int(r["amount_minor"]), most) if len(near) >= 2 else None
-            if got:
-                ids = [near[i]["id"] for i in got]
-                used.update([r["id"], *ids])
-                found.append(([r["id"]], ids, int(r["amount_minor"])) if side == "out" else (ids, [r["id"]], int(r["amount_minor"])))
+def grouped_pairs(rows: list[dict], side: str, window: int, most: int = MAX_GROUP, pool: int = POOL, first: float = float("-inf"), end: float = float("inf"), before: set[str] = frozenset()) -> list[tuple[int, list[str], list[str], int]]:
+    """(epoch of the target, out ids, in ids, amount): the targets of a side from ``first`` to before ``end``, in time order, are settled by two or more legs of the other
+    side, out of the first ``pool`` unused ones within the window.  A row may say in ``target`` that it is none."""
+    rows = in_order(rows)
+    others = [r for r in rows if r["direction"] != side]
+    times, used, found = [r["epoch"] for r in others], set(before), []
+    for r in rows:
+        if r["direction"] != side or not r.get("target", True) or r["id"] in used or not first <= r["epoch"] < end:
+            continue
+        near, i = [], bisect_left(times, r["epoch"] - window)
+        while i < len(times) and times[i] <= r["epoch"] + window and len(near) < pool:
+            if others[i]["id"] not in used:
+                near.append(others[i])
+            i += 1
+        got = first_subset([int(x["amount_minor"]) for x in near], int(r["amount_minor"]), most) if len(near) >= 2 else None
+        if got:
+            ids = [near[i]["id"] for i in got]
+            used.update([r["id"], *ids])
+            found.append((r["epoch"], *(([r["id"]], ids) if side == "out" else (ids, [r["id"]])), int(r["amount_minor"])))
     return found
 
 
-def exact_pairs(rows: DataFrame, window_days: int = WINDOW_DAYS, scope: Sequence[str] = ()) -> DataFrame:
+def exact_pairs(rows: DataFrame, window_days: int = WINDOW_DAYS, scope: Sequence[str] = (), slab: int = SLAB) -> DataFrame:
     """(scope, out_id, in_id, amount_minor)."""
     keys, window = [*scope, "amount_minor"], window_days * 86_400
-    parts = islands(rows, keys, window)
-    group = Window.partitionBy(*keys, "island")
-    parts = parts.withColumns({"n_out": F.count_if(F.col("direction") == "out").over(group), "n_in": F.count_if(F.col("direction") == "in").over(group)}).where("n_out > 0 and n_in > 0")
-    lone = parts.where("n_out = 1 and n_in = 1").groupBy(*keys, "island").agg(F.max(F.when(F.col("direction") == "out", F.col("id"))).alias("out_id"), F.max(F.when(F.col("direction") == "in", F.col("id"))).alias("in_id"))
-    lone = lone.select(*scope, "out_id", "in_id", "amount_minor")  # neighbours in an island of two are within the window
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(nearest_pairs(pdf.to_dict("records"), window), columns=["out_id", "in_id", "amount_minor"])
-        for k in reversed(list(scope)):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    many = parts.where("n_out > 1 or n_in > 1").select(*keys, "island", "id", "direction", "epoch", "seq").groupBy(*keys, "island").applyInPandas(kernel, lone.schema)
-    return lone.unionByName(many)
-
-
-def pair_transfers(txs: DataFrame, window_days: int = WINDOW_DAYS, max_group: int = MAX_GROUP, scope: Sequence[str] = ()) -> DataFrame:
+    parts = with_islands(rows, keys, window).where("n_out > 0 and n_in > 0")
+    of = lambda side, what: F.max(F.when(F.col("direction") == side, F.col(what)))
+    lone = parts.where("n_out = 1 and n_in = 1").groupBy(*keys, "island").agg(of("out", "id").alias("out_id"), of("in", "id").alias("in_id"), F.max("epoch").alias("_to"), F.min("epoch").alias("_from"))
+    lone = lone.where(F.col("_to") - F.col("_from") <= window).select(*scope, "out_id", "in_id", "amount_minor")
+
+    def kernel(part: list[dict], first: int, end: int, before: set) -> list[tuple]:
+        return nearest_pairs(part, window, first, end, before)
+
+    many = in_time_order(parts.where("n_out > 1 or n_in > 1"), keys, window, kernel, slab)
+    return lone.unionByName(many.select(*scope, F.col("out_ids")[0].alias("out_id"), F.col("in_ids")[0].alias("in_id"), "amount_minor"))
+
+
+def feasible(rows: DataFrame, side: str, window: int, scope: Sequence[str], most: int, pool: int) -> DataFrame:
+    """(scope, seq) of the legs of a side that two to ``most`` legs of the other side can settle, and of those with more than ``pool`` legs of it around, in the bins of their window."""
+    keys = list(scope)
+    targets = rows.where(F.col("direction") == side).select(*keys, F.col("seq").alias("target"), F.col("amount_minor").alias("total"), "epoch")
+    others = rows.where(F.col("direction") != side).select(*keys, F.col("seq").alias("leg"), F.col("amount_minor").alias("minor"), "epoch")
+    # legs around, from counts of bins: no pair is made yet
+    counts = others.groupBy(*keys, F.floor(F.col("epoch") / window).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    bins = F.sequence(F.floor((F.col("epoch") - window) / window), F.floor((F.col("epoch") + window) / window))
+    around = targets.withColumn("bin", F.explode(bins)).join(counts, [*keys, "bin"]).groupBy(*keys, "target", "total", "epoch").agg(F.sum("c").alias("c")).where("c > 1")
+    around = cut(around)
+    edges = cut(in_window(around.where(F.col("c") <= pool).drop("c"), others, keys, window).where("minor <= total").select(*keys, "target", "total", "leg", "minor"))
+    first = edges.withColumnsRenamed({"leg": "leg1", "minor": "minor1"})
+    # a leg and what it leaves: two legs settle a target where one is what the other leaves
+    two = first.withColumn("minor", F.expr("total - minor1")).join(edges.select(*keys, "target", "leg", "minor"), [*keys, "target", "minor"]).where("leg1 <> leg")
+    found = around.where(F.col("c") > pool).select(*keys, "target").unionByName(two.select(*keys, "target"))
+    for n in range(3, most + 1):  # sums of n - 1 legs, and a leg that is what they leave
+        second = edges.select(*keys, "target", F.col("leg").alias(f"leg{n - 1}"), F.col("minor").alias(f"minor{n - 1}"))
+        sums = " + ".join(f"minor{i}" for i in range(1, n))
+        first = first.join(second, [*keys, "target"]).where(f"leg{n - 2} < leg{n - 1} AND {sums} <= total")
+        fits = first.withColumn("minor", F.expr(f"total - ({sums})")).join(edges.select(*keys, "target", "leg", "minor"), [*keys, "target", "minor"])
+        found = found.unionByName(fits.where(" AND ".join(f"leg <> leg{i}" for i in range(1, n))).select(*keys, "target"))
+    return found.select(*keys, F.col("target").alias("seq")).distinct()
+
+
+def settled(rows: DataFrame, side: str, window_days: int, most: int, scope: Sequence[str], slab: int = SLAB) -> DataFrame:
+    """(scope, out_ids, in_ids, amount_minor): legs of a side settled by two or more of the other."""
+    keys, window = list(scope), window_days * 86_400
+    able = cut(feasible(rows, side, window, keys, most, POOL))
+    targets = cut(rows.where(F.col("direction") == side).join(able, [*keys, "seq"], "left_semi"))
+    others = rows.where(F.col("direction") != side)
+    # of the other side, only what is in the bins of a target's window can be used
+    reach = targets.select(*keys, F.explode(F.expr(f"sequence(floor((epoch - {window}) / {window}), floor((epoch + {window}) / {window}))")).alias("bin")).distinct()
+    others = others.withColumn("bin", F.floor(F.col("epoch") / window)).join(reach, [*keys, "bin"], "left_semi").drop("bin")
+    spare = [] if keys else ["_all"]
+    both = targets.unionByName(others).withColumns({c: F.lit(0) for c in spare})
+
+    def kernel(part: list[dict], first: int, end: int, before: set) -> list[tuple]:
+        return grouped_pairs(part, side, window, most, POOL, first, end, before)
+
+    return in_time_order(with_islands(both, keys or spare, window).where("n_out > 0 and n_in > 0 and n_out + n_in > 2"), keys or spare, window, kernel, slab).drop(*spare)
+
+
+def pair_transfers(txs: DataFrame, window_days: int = WINDOW_DAYS, max_group: int = MAX_GROUP, scope: Sequence[str] = (), slab: int = SLAB) -> DataFrame:
     """(scope, out_ids, in_ids, amount_minor, mode) of all pairs."""
-    rows, window = cut(legs(txs, scope)), window_days * 86_400
-    exact = cut(exact_pairs(rows, window_days, scope))
-    done = exact.select(*scope, F.explode(F.array("out_id", "in_id")).alias("id"))
-    rest = islands(rows.join(done, [*scope, "id"], "left_anti").withColumn("_all", F.lit(0)), scope or ["_all"], window)
-    # a subset sum needs a leg on one side and two on the other: most islands have fewer and never reach the kernel
-    group = Window.partitionBy(*(scope or ["_all"]), "island")
-    rest = rest.withColumns({"n_out": F.count_if(F.col("direction") == "out").over(group), "n_in": F.count_if(F.col("direction") == "in").over(group)}).where("n_out > 0 and n_in > 0 and n_out + n_in > 2")
-    exact = exact.select(*scope, F.array("out_id").alias("out_ids"), F.array("in_id").alias("in_ids"), "amount_minor", F.lit("exact").alias("mode"))
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(grouped_pairs(pdf.to_dict("records"), window, max_group), columns=["out_ids", "in_ids", "amount_minor"])
-        out["mode"] = "grouped"
-        for k in reversed(list(scope)):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    grouped = rest.select(*scope, "island", "id", "direction", "amount_minor", "epoch", "seq").groupBy(*scope, "island").applyInPandas(kernel, exact.schema)
-    return exact.unionByName(grouped)
+    keys = list(scope)
+    rows = cut(legs(txs, scope))
+    exact = cut(exact_pairs(rows, window_days, scope, slab))
+    left = cut(rows.join(exact.select(*keys, F.explode(F.array("out_id", "in_id")).alias("id")), [*keys, "id"], "left_anti"))
+    by_ins = settled(left, "out", window_days, max_group, scope, slab)
+    left = cut(left.join(by_ins.select(*keys, F.explode(F.concat("out_ids", "in_ids")).alias("id")), [*keys, "id"], "left_anti"))
+    by_outs = settled(left, "in", window_days, max_group, scope, slab)
+    exact = exact.select(*keys, F.array("out_id").alias("out_ids"), F.array("in_id").alias("in_ids"), "amount_minor", F.lit("exact").alias("mode"))
+    return exact.unionByName(by_ins.unionByName(by_outs).withColumn("mode", F.lit("grouped")))
 
 
 def apply_pairs(txs: DataFrame, pairs: DataFrame, scope: Sequence[str] = ()) -> DataFrame:

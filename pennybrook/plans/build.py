@@ -26,9 +26,9 @@ class Outcome:
     transactions: DataFrame
     duplicates: DataFrame
     updated: DataFrame
-    dropped: DataFrame  # seq, reason
+    dropped: DataFrame  # scope, seq, reason
     pairs: DataFrame
-    warnings: DataFrame  # seq, code
+    warnings: DataFrame  # scope, seq, code
 
 
 def meta_of(columns: dict[str, Column]) -> Column:
@@ -74,16 +74,18 @@ def to_transactions(drafts: DataFrame, batch_id: Column, strict_netting: bool =
     return d.select(*extra, *[made[n].alias(n) if n in made else F.col(n) for n in TRANSACTION.fieldNames()])
 
 
-def build_transactions(drafts: DataFrame, batch_id: str, rules: Iterable[categories.Rule] | None = None, window_days: int = transfers.WINDOW_DAYS, max_group: int = transfers.MAX_GROUP, existing_fingerprints: DataFrame | None = None, existing_records: DataFrame | None = None, strict_netting: bool = False) -> Outcome:
-    """All six outputs of one import.  Tables that several outputs read are checkpointed, so all outputs see one evaluation."""
+def build_transactions(drafts: DataFrame, batch_id: str, rules: Iterable[categories.Rule] | None = None, window_days: int = transfers.WINDOW_DAYS, max_group: int = transfers.MAX_GROUP, existing_fingerprints: DataFrame | None = None, existing_records: DataFrame | None = None, strict_netting: bool = False, scope: Sequence[str] = (), fold=nfkc) -> Outcome:
+    """All six outputs of one import, or of many at once: ``scope`` names the columns of a transaction (``account_id``, ``source``) within which rows may meet, so that
+    refunds, transfers and repeated fingerprints are found within each scope alone.  Tables that several outputs read are checkpointed, so all outputs see one
+    evaluation.  Stored records are met by fingerprint, whatever the scope."""
     drafts = cut(drafts)
     closed = drafts.where(is_closed())
     live = cut(drafts.where(~is_closed()))
-    closed_ids = closed.where(text("order_id") != "").select("order_id").distinct()
-    paired = refunds.pair_refunds(live, closed_ids)
-    txs = cut(to_transactions(paired.kept, F.lit(batch_id), strict_netting))
-    pairs = cut(transfers.pair_transfers(txs, window_days, max_group))
-    txs = cut(categories.categorised(transfers.apply_pairs(txs, pairs), rules))
-    overlap = reconcile(txs, existing_records, existing_fingerprints)
-    dropped = closed.select("seq", F.lit("closed-or-failed").alias("reason")).unionByName(paired.dropped).unionByName(overlap.duplicates.select("seq", F.lit("duplicate").alias("reason")))
+    closed_ids = closed.where(text("order_id") != "").select(*scope, "order_id").distinct()
+    paired = refunds.pair_refunds(live, closed_ids, scope)
+    txs = cut(to_transactions(paired.kept, F.lit(batch_id), strict_netting, fold))
+    pairs = cut(transfers.pair_transfers(txs, window_days, max_group, scope))
+    txs = cut(categories.categorised(transfers.apply_pairs(txs, pairs, scope), rules))
+    overlap = reconcile(txs, existing_records, existing_fingerprints, scope)
+    dropped = closed.select(*scope, "seq", F.lit("closed-or-failed").alias("reason")).unionByName(paired.dropped).unionByName(overlap.duplicates.select(*scope, "seq", F.lit("duplicate").alias("reason")))
     return Outcome(overlap.fresh, overlap.duplicates, overlap.updated, dropped, pairs, paired.warnings)

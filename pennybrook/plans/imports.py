@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+from itertools import accumulate
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import categories
@@ -22,17 +23,27 @@ class ImportRun:
     layouts: DataFrame  # file, path, platform, template
 
 
-def import_folder(spark: SparkSession, path: str, account_id: str, batch_id: str, saved: Iterable[platforms.Template] = (), rules: Iterable[categories.Rule] | None = None, existing_records: DataFrame | None = None, existing_fingerprints: DataFrame | None = None) -> ImportRun:
+def numbered_paths(found: DataFrame) -> DataFrame:
+    """(path, file): paths numbered from 1 in their order, by a range-partitioned sort and the counts of its partitions."""
+    dealt = cut(found.select("path").repartitionByRange("path").sortWithinPartitions("path").select("path", F.monotonically_increasing_id().alias("at")))
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = dealt.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("c")).orderBy("part").collect()  # a row for each partition
+    starts = dealt.sparkSession.createDataFrame([(r["part"], s) for r, s in zip(counts, [0, *accumulate(r["c"] for r in counts)])], "part long, start long")
+    return dealt.withColumn("part", part).join(F.broadcast(starts), "part").select("path", (F.col("start") + place + 1).cast("int").alias("file"))
+
+
+def import_folder(spark: SparkSession, path: str, account_id: str, batch_id: str, saved: Iterable[platforms.Template] = (), rules: Iterable[categories.Rule] | None = None, existing_records: DataFrame | None = None, existing_fingerprints: DataFrame | None = None, scope: Sequence[str] = ()) -> ImportRun:
     """Files are numbered by path; each goes to the parser of its platform, else to the first template (saved ones first) whose columns its header has.
 
     Layouts are decided once for each different header, not for each file: the distinct headers of a folder (a few kinds of statement, however many
     files) come to the driver.  A file whose header lacks what its platform's parser needs, or that fits no template, is an error and gives no rows.
+    ``scope`` is that of ``build_transactions``.
     """
     found = containers.read_files(spark, path)
-    numbers = found.select("path").withColumn("file", F.row_number().over(Window.orderBy("path")).cast("int"))
+    numbers = numbered_paths(found)
     files = found.join(numbers, "path")
-    grids, errors = containers.read_grids(files.select("file", "path", "content"))
-    grids, errors = cut(grids), cut(errors)
+    whole = cut(containers.parsed(files.select("file", "path", "content")))  # each file is read and parsed once
+    grids, errors = containers.grids_of(whole), containers.errors_of(whole)
     heads = grids.where("row = header_row").select("file", "platform", F.transform("cells", lambda c: F.trim(c)).alias("header"))
     templates = {t.id: t for t in platforms.merge_templates(list(saved))}
     chosen = []
@@ -63,7 +74,7 @@ def import_folder(spark: SparkSession, path: str, account_id: str, batch_id: str
     drafts, warnings = parsed[0]
     for more, said in parsed[1:]:
         drafts, warnings = drafts.unionByName(more), warnings.unionByName(said)
-    outcome = build.build_transactions(drafts, batch_id, rules, existing_records=existing_records, existing_fingerprints=existing_fingerprints)
+    outcome = build.build_transactions(drafts, batch_id, rules, existing_records=existing_records, existing_fingerprints=existing_fingerprints, scope=scope)
     return ImportRun(outcome, errors, warnings, each.select("file", "path", "platform", "template"))
 
 

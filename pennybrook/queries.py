@@ -424,15 +424,9 @@ def service_fee(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def import_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over all drafts, an import a customer: pairing, refunds and subset sums stay inside it."""
-    d = derived.order_drafts(spark, sf_dir)
-    scope = ("account_id",)
-    live, closed = d.where(~classify.is_closed()), d.where(classify.is_closed() & F.col("order_id").isNotNull())
-    paired = refunds.pair_refunds(live, closed.select(*scope, "order_id").distinct(), scope)
-    txs = build.to_transactions(paired.kept, F.col("account_id"), fold=text.nfkc_native)
-    pairs = transfers.pair_transfers(txs, scope=scope)
-    out = categories.categorised(transfers.apply_pairs(txs, pairs, scope))
-    return out.select("id", "account_id", "kind", "category", "amount_minor", "direction")
+    """All stages over all drafts, an import a customer: pairing, refunds, subset sums and repeated fingerprints stay inside it."""
+    done = build.build_transactions(derived.order_drafts(spark, sf_dir), "b1", scope=("account_id",), fold=text.nfkc_native)
+    return done.transactions.select("id", "account_id", "kind", "category", "amount_minor", "direction")
 
 
 @query()

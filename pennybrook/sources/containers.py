@@ -343,8 +343,8 @@ def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
     return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "content")
 
 
-def read_grids(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(grids, errors) of (file, path, content): grids are (file, row, cells, header_row, platform, container), errors (file, path, message)."""
+def parsed(files: DataFrame) -> DataFrame:
+    """(file, path, row, cells, header_row, platform, container, message) of (file, path, content): the rows of each file, or one row with what is wrong with it."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["file", "path", "row", "cells", "header_row", "platform", "container", "message"]
@@ -356,5 +356,13 @@ def read_grids(files: DataFrame) -> tuple[DataFrame, DataFrame]:
                 except (ImportProblem, zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, csv.Error) as problem:
                     yield pd.DataFrame([(file, path, None, None, None, None, None, str(problem))], columns=names).astype({"row": "Int32", "header_row": "Int32"})
 
-    whole = files.select("file", "path", "content").mapInPandas(run, "file int, path string, row int, cells array<string>, header_row int, platform string, container string, message string")
-    return whole.where("message is null").select("file", "row", "cells", "header_row", "platform", "container"), whole.where("message is not null").select("file", "path", "message")
+    return files.select("file", "path", "content").mapInPandas(run, "file int, path string, row int, cells array<string>, header_row int, platform string, container string, message string")
+
+def grids_of(whole: DataFrame) -> DataFrame:
+    """(file, row, cells, header_row, platform, container) of what ``parsed`` gives."""
+    return whole.where("message is null").select("file", "row", "cells", "header_row", "platform", "container")
+
+
+def errors_of(whole: DataFrame) -> DataFrame:
+    """(file, path, message) of the files that no parser took."""
+    return whole.where("message is not null").select("file", "path", "message")

@@ -33,7 +33,8 @@ CSV = "明细查询\r\n账号:[x@x.test]\n\n" + HEAD + "\n" + "\n".join(ROWS) +
 
 def grid(spark, data, name="f.csv"):
     files = spark.createDataFrame([(1, name, bytearray(data))], "file int, path string, content binary")
-    return C.read_grids(files)
+    whole = C.parsed(files)
+    return C.grids_of(whole), C.errors_of(whole)
 
 
 def counts(df, column):

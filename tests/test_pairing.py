@@ -1,8 +1,10 @@
 """Greedy pairings through Spark against plain loops over all rows."""
 
+import itertools
 import random
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from pennybrook.operators import refunds, transfers
@@ -50,21 +52,67 @@ def plain_pairs(rows, window, most, pool):
     return found
 
 
+def as_transactions(spark, rows):
+    start = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    data = [(r["id"], r["direction"], r["amount"], start + timedelta(seconds=r["epoch"]), r.get("account"), r["row"]) for r in rows]
+    df = spark.createDataFrame(data, "id string, direction string, amount_minor long, occurred_at timestamp, account string, row int").repartition(5)
+    made = {"kind": F.lit("transfer-internal"), "raw_description": F.lit("x")}
+    return df.select("account", F.struct(F.lit(0).alias("file"), "row", F.lit(0).alias("part")).alias("seq"), *[made.get(f.name, F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TRANSACTION.fields if f.name != "seq"])
+
+
+def found(pairs):
+    return sorted((tuple(r["out_ids"]), tuple(r["in_ids"]), r["amount_minor"], r["mode"]) for r in pairs.collect())
+
+
 def test_transfer_pairs(spark):
     rng = random.Random(3)
-    start, data, want = datetime(2026, 1, 1, tzinfo=timezone.utc), [], []
+    data, want = [], []
     for account in ("a", "b"):
         rows = []
         for i in range(220):
-            rows.append({"id": f"{account}{i}", "direction": rng.choice(["out", "in"]), "amount": rng.choice([5, 10, 15, 20, 35]), "epoch": rng.randint(0, 400) * 21_600, "row": i})
+            rows.append({"id": f"{account}{i}", "direction": rng.choice(["out", "in"]), "amount": rng.choice([5, 10, 15, 20, 35]), "epoch": rng.randint(0, 400) * 21_600, "row": i, "account": account})
         want += plain_pairs(rows, 3 * 86_400, 3, 24)
-        data += [(r["id"], r["direction"], r["amount"], start + timedelta(seconds=r["epoch"]), account, r["row"]) for r in rows]
-    df = spark.createDataFrame(data, "id string, direction string, amount_minor long, occurred_at timestamp, account string, row int").repartition(5)
-    made = {"kind": F.lit("transfer-internal"), "raw_description": F.lit("x")}
-    txs = df.select("account", F.struct(F.lit(0).alias("file"), "row", F.lit(0).alias("part")).alias("seq"), *[made.get(f.name, F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TRANSACTION.fields if f.name != "seq"])
-    pairs = transfers.pair_transfers(txs, scope=["account"])
-    got = [(tuple(r["out_ids"]), tuple(r["in_ids"]), r["amount_minor"], r["mode"]) for r in pairs.collect()]
-    assert sorted(got) == sorted(want) and {w[3] for w in want} == {"exact", "grouped"} and max(len(w[0]) + len(w[1]) for w in want) == 4
+        data += rows
+    got = found(transfers.pair_transfers(as_transactions(spark, data), scope=["account"]))
+    assert got == sorted(want) and {w[3] for w in want} == {"exact", "grouped"} and max(len(w[0]) + len(w[1]) for w in want) == 4
+
+
+@pytest.mark.parametrize(("slab", "seed", "dense"), [(2, 1, 3600), (2, 2, 43_200), (3, 3, 9_000)])
+def test_one_busy_ledger_without_a_scope(spark, slab, seed, dense):
+    """An amount that half of the legs share, over many windows without a gap: slabs give what one pass gives."""
+    rng = random.Random(seed)
+    rows = [{"id": f"x{i}", "direction": "out" if rng.random() < 0.55 else "in", "amount": 500 if rng.random() < 0.5 else rng.randint(1, 60) * 25, "epoch": i * dense + rng.randint(0, dense), "row": i} for i in range(500)]
+    rows += [{"id": f"far{i}", "direction": ("out", "in")[i % 2], "amount": 75, "epoch": 10**8 + i, "row": 1000 + i} for i in range(2)]
+    want = plain_pairs(rows, 3 * 86_400, 3, 24)
+    got = found(transfers.pair_transfers(as_transactions(spark, rows), slab=slab))
+    assert got == sorted(want) and sum(w[3] == "grouped" for w in want) > 5
+
+
+def test_slabs_that_assumed_wrong_are_done_again(spark):
+    """A chain in which every decision depends on the one before: what a slab assumes of the one before it is wrong, and it is done again until all agree."""
+    rows, w = [], 3 * 86_400
+    for i in range(40):  # each out could take the in before it or, were that used, the one after it, a little further away
+        rows += [{"id": f"o{i}", "direction": "out", "amount": 9, "epoch": i * w, "row": 2 * i}, {"id": f"i{i}", "direction": "in", "amount": 9, "epoch": i * w + w // 2 + 1, "row": 2 * i + 1}]
+    rows.append({"id": "first", "direction": "out", "amount": 9, "epoch": -w // 2, "row": 999})
+    rows.append({"id": "i-1", "direction": "in", "amount": 9, "epoch": -w // 2 + 1, "row": 1000})
+    want = plain_pairs(rows, w, 3, 24)
+    assert found(transfers.pair_transfers(as_transactions(spark, rows), slab=2)) == sorted(want)
+    del rows[-1]
+    other = plain_pairs(rows, w, 3, 24)
+    assert found(transfers.pair_transfers(as_transactions(spark, rows), slab=2)) == sorted(other) != sorted(want)
+
+
+def test_feasible_is_what_subsets_say(spark):
+    rng = random.Random(8)
+    rows = [{"id": f"f{i}", "direction": rng.choice(["out", "in"]), "amount": rng.randint(0, 40), "epoch": rng.randint(0, 60) * 43_200, "row": i} for i in range(90)]
+    legs = transfers.legs(as_transactions(spark, rows))
+    for most, pool in ((2, 24), (3, 24), (4, 24), (3, 5)):
+        got = {r["seq"]["row"] for r in transfers.feasible(legs, "out", 3 * 86_400, [], most, pool).collect()}
+        for r in (r for r in rows if r["direction"] == "out"):
+            near = [x["amount"] for x in rows if x["direction"] == "in" and abs(x["epoch"] - r["epoch"]) <= 3 * 86_400]
+            sums = {sum(c) for n in range(2, most + 1) for c in itertools.combinations(near, n)}
+            assert r["amount"] not in sums or r["row"] in got  # none is missed
+            assert pool < 24 or r["amount"] in sums or r["row"] not in got or len(near) > 12
 
 
 def test_candidate_edges(spark):
@@ -102,3 +150,18 @@ def test_refunds_with_several_purchases_a_root(spark):
     drafts = df.select(*[(seq if f.name == "seq" else F.lit("x") if f.name == "description" else F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in DRAFT.fields])
     got = [(r["seq"]["row"], r["what"], r["minor"], r["other"] and r["other"]["row"]) for r in refunds.decisions(drafts).collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and {w[1] for w in want} == {"paired", "partial", "exceeds", "unmatched"}
+
+
+@pytest.mark.parametrize("scope", [[], ["account"]])
+def test_nested_prefixes(spark, scope):
+    rng = random.Random(9)
+    ids = lambda n: [("".join(rng.choice("12é") for _ in range(rng.randint(0, 7))), rng.choice(["a", "b", None])) for _ in range(n)] + [(None, "a")]
+    longer, shorter = ids(300), ids(60)
+    frame = lambda rows: spark.createDataFrame(rows, "order_id string, account string").repartition(6)
+    want = {(s, x, p) if scope else (x, p) for x, s in longer for p, t in shorter if x and p and x.startswith(p) and (not scope or s == t)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [tuple(r) for r in refunds.nested_prefixes(frame(longer), frame(shorter), scope).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert set(got) == want and len(got) == len(want)

@@ -85,7 +85,7 @@ def test_exact_pairs_model():
             if near:
                 used.add(min(near)[2])
                 want.append((o["id"], min(near)[2], 5))
-        assert transfers.nearest_pairs(rows, 6) == want
+        assert [(*o, *i, m) for _, o, i, m in transfers.nearest_pairs(rows, 6)] == want
 
 
 def test_glyph_table():
