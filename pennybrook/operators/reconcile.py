@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -74,14 +74,20 @@ class Overlap:
     updated: DataFrame  # fingerprint, before, after, changes
 
 
-def reconcile(txs: DataFrame, stored: DataFrame | None = None, skip: DataFrame | None = None, scope: Sequence[str] = ()) -> Overlap:
+#: Rows, or a function of the import's fingerprints (fingerprint) that finds the rows among them, as a store's key index does.
+Known = DataFrame | Callable[[DataFrame], DataFrame] | None
+
+
+def reconcile(txs: DataFrame, stored: Known = None, skip: Known = None, scope: Sequence[str] = ()) -> Overlap:
     """Fresh rows, duplicates and corrections.  A user's category outranks the import's, and a stored id stays.
 
     One left join tells what becomes of each row; its result is checkpointed, so the three outputs see one evaluation.
     """
     columns = txs.columns
     pack = lambda prefix, fixed={}: F.struct(*[fixed.get(c, F.col(f"{prefix}.{c}")).alias(c) for c in columns])
-    rows = first_in_batch(cut(txs), scope).select(F.struct(*columns).alias("n"), "first")
+    txs = cut(txs)
+    stored, skip = (x(txs.select("fingerprint")) if callable(x) else x for x in (stored, skip))
+    rows = first_in_batch(txs, scope).select(F.struct(*columns).alias("n"), "first")
     stored = txs.limit(0) if stored is None else stored
     rows = rows.join(stored.select(F.struct(*columns).alias("b")), F.expr("first AND n.fingerprint = b.fingerprint"), "left")
     user = F.col("b.category_source") == "user"

@@ -16,7 +16,7 @@ from ..functions.fingerprints import VERSION, fnv1a64, preimage
 from ..functions.text import blank_to_null, nfkc, text
 from ..operators import categories, refunds, transfers
 from ..operators.classify import is_closed, is_refund, kind
-from ..operators.reconcile import reconcile
+from ..operators.reconcile import Known, Overlap, reconcile
 from ..schema import TRANSACTION
 from ..session import cut
 
@@ -74,7 +74,7 @@ def to_transactions(drafts: DataFrame, batch_id: Column, strict_netting: bool =
     return d.select(*extra, *[made[n].alias(n) if n in made else F.col(n) for n in TRANSACTION.fieldNames()])
 
 
-def build_transactions(drafts: DataFrame, batch_id: str, rules: Iterable[categories.Rule] | None = None, window_days: int = transfers.WINDOW_DAYS, max_group: int = transfers.MAX_GROUP, existing_fingerprints: DataFrame | None = None, existing_records: DataFrame | None = None, strict_netting: bool = False, scope: Sequence[str] = (), fold=nfkc) -> Outcome:
+def build_transactions(drafts: DataFrame, batch_id: str, rules: Iterable[categories.Rule] | None = None, window_days: int = transfers.WINDOW_DAYS, max_group: int = transfers.MAX_GROUP, existing_fingerprints: Known = None, existing_records: Known = None, strict_netting: bool = False, scope: Sequence[str] = (), fold=nfkc) -> Outcome:
     """All six outputs of one import, or of many at once: ``scope`` names the columns of a transaction (``account_id``, ``source``) within which rows may meet, so that
     refunds, transfers and repeated fingerprints are found within each scope alone.  Tables that several outputs read are checkpointed, so all outputs see one
     evaluation.  Stored records are met by fingerprint, whatever the scope."""
@@ -89,3 +89,8 @@ def build_transactions(drafts: DataFrame, batch_id: str, rules: Iterable[categor
     overlap = reconcile(txs, existing_records, existing_fingerprints, scope)
     dropped = closed.select(*scope, "seq", F.lit("closed-or-failed").alias("reason")).unionByName(paired.dropped).unionByName(overlap.duplicates.select(*scope, "seq", F.lit("duplicate").alias("reason")))
     return Outcome(overlap.fresh, overlap.duplicates, overlap.updated, dropped, pairs, paired.warnings)
+
+
+def saved_rows(overlap: Overlap, batch_id: str) -> DataFrame:
+    """What an import saves: fresh rows, and corrected ones under the ids that they had, all stamped with its batch."""
+    return overlap.fresh.unionByName(overlap.updated.select("after.*")).withColumn("imported_batch_id", F.lit(batch_id))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import categories
+from ..operators.reconcile import Known
 from ..session import cut
 from ..sources import containers, platforms
 from . import build, reports
@@ -32,7 +33,7 @@ def numbered_paths(found: DataFrame) -> DataFrame:
     return dealt.withColumn("part", part).join(F.broadcast(starts), "part").select("path", (F.col("start") + place + 1).cast("int").alias("file"))
 
 
-def import_folder(spark: SparkSession, path: str, account_id: str, batch_id: str, saved: Iterable[platforms.Template] = (), rules: Iterable[categories.Rule] | None = None, existing_records: DataFrame | None = None, existing_fingerprints: DataFrame | None = None, scope: Sequence[str] = ()) -> ImportRun:
+def import_folder(spark: SparkSession, path: str, account_id: str, batch_id: str, saved: Iterable[platforms.Template] = (), rules: Iterable[categories.Rule] | None = None, existing_records: Known = None, existing_fingerprints: Known = None, scope: Sequence[str] = ()) -> ImportRun:
     """Files are numbered by path; each goes to the parser of its platform, else to the first template (saved ones first) whose columns its header has.
 
     Layouts are decided once for each different header, not for each file: the distinct headers of a folder (a few kinds of statement, however many

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import dates, fingerprints, money, text
 from .operators import categories, classify, guard, lexicon as L, reconcile as rec, refunds, transfers
 from .plans import build, derived, reports
+from .schema import BATCH
 from .session import cut, shared_folder
 from .sources import containers, glyphs, platforms, snapshot
 from .sources.store import LedgerStore
@@ -268,30 +269,87 @@ def batch_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def union_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _two_imports(spark, sf_dir)
     out = rec.reconcile(new, old)
-    saved = out.fresh.unionByName(out.updated.select("after.*")).withColumn("imported_batch_id", F.lit("b-new"))
-    return saved.select(F.col("seq.row").cast("long").alias("k"), F.col("imported_batch_id").alias("batch"))
+    return build.saved_rows(out, "b-new").select(F.col("seq.row").cast("long").alias("k"), F.col("imported_batch_id").alias("batch"))
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> tuple[LedgerStore, DataFrame]:
-    """A store that holds the derived ledger, and its rows."""
-    rows = cut(ledger(spark, sf_dir))
+def _stored(spark: SparkSession, rows: DataFrame) -> LedgerStore:
+    """A store that holds the rows."""
     store = LedgerStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
     store.commit(transactions=rows)
-    return store, rows
+    return store
+
+
+def _out_of(store: LedgerStore, out: DataFrame) -> DataFrame:
+    """The rows read out of a store that isn't needed any more."""
+    out = cut(out)
+    store.drop()
+    return out
+
+
+def _with_k(df: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    return df.select("id", *columns).join(rows.select("id", F.col("seq.row").cast("long").alias("k")), "id").select("k", *columns)
 
 
 @query(f"WITH {D}, {K} SELECT k FROM led WHERE k % 4 <> 2")
 def undo_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store, rows = _stored(spark, sf_dir)
+    rows = cut(ledger(spark, sf_dir))
+    store = _stored(spark, rows)
     store.delete_batch("b2")
-    return store.transactions().select("id").join(rows.select("id", F.col("seq.row").cast("long").alias("k")), "id").select("k")
+    return _out_of(store, _with_k(store.transactions(), rows))
 
 
 @query(f"WITH {D}, {K} SELECT k, CASE WHEN k % 100 = 0 THEN 'travel' ELSE category END AS category, CASE WHEN k % 100 = 0 THEN 'user' WHEN category IS NULL THEN 'none' ELSE 'rule' END AS category_source FROM led")
 def set_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store, rows = _stored(spark, sf_dir)
+    rows = cut(ledger(spark, sf_dir))
+    store = _stored(spark, rows)
     store.set_categories(rows.where(F.col("seq.row") % 100 == 0).select("id", F.lit("travel").alias("category")))
-    return store.transactions().select("id", "category", "category_source").join(rows.select("id", F.col("seq.row").cast("long").alias("k")), "id").select("k", "category", "category_source")
+    return _out_of(store, _with_k(store.transactions(), rows, "category", "category_source"))
+
+
+@query(f"WITH {D}, {K} SELECT k, CASE WHEN k % 3 = 1 OR k % 11 = 0 THEN 'b-new' ELSE 'b' || k % 4 END AS batch, amount_minor, CASE WHEN k % 3 <> 1 AND k % 6 = 0 THEN 'pet' ELSE category END AS category FROM led")
+def store_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second import into a store: what is known comes through its key index, fresh and corrected rows are saved under a new batch."""
+    old, new = _two_imports(spark, sf_dir)
+    store = _stored(spark, old)
+    found = rec.reconcile(new, store.records)
+    saved = build.saved_rows(found, "b-new")
+    batch = spark.createDataFrame([("b-new",)], "id string").select(*[(F.col("id") if f.name == "id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in BATCH.fields])
+    store.save_import(batch, saved)
+    return _out_of(store, _with_k(store.transactions().withColumnRenamed("imported_batch_id", "batch"), new, "batch", "amount_minor", "category"))
+
+
+@query(f"WITH {D}, {K} SELECT k FROM led ORDER BY epoch DESC, k LIMIT 1000")
+def store_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest rows of a store: its last months alone are read."""
+    rows = cut(ledger(spark, sf_dir))
+    rows = cut(rows.withColumn("id", F.format_string("%012d", F.col("seq.row"))))  # ids that break ties as the SQL does
+    store = _stored(spark, rows)
+    return _out_of(store, store.newest(reports.LIST_LIMIT).select(F.col("id").cast("long").alias("k")))
+
+
+@query(f"WITH {D}, {K} SELECT k FROM led WHERE contains(lower(description || ' ' || counterparty || ' ' || coalesce(category, '')), 'team 游')")
+def store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search in a store: only months whose texts hold all trigrams of the words are read."""
+    rows = cut(ledger(spark, sf_dir))
+    store = _stored(spark, rows)
+    return _out_of(store, _with_k(store.search("Team 游"), rows))
+
+
+@query(f"WITH {D}, {K} SELECT month, CAST(sum(CASE WHEN kind = 'expense' THEN amount_minor ELSE 0 END) AS BIGINT) AS expense_minor, CAST(sum(CASE WHEN kind = 'income' THEN amount_minor ELSE 0 END) AS BIGINT) AS income_minor, count_if(kind = 'expense') AS expense_count, CAST(sum(CASE WHEN kind = 'income' THEN amount_minor ELSE -amount_minor END) AS BIGINT) AS net_minor FROM led WHERE kind IN ('expense', 'income') AND k % 4 <> 2 GROUP BY month")
+def store_month_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Month totals out of a store's pointer, after a batch was undone: no rows are read."""
+    rows = ledger(spark, sf_dir)
+    store = _stored(spark, rows)
+    store.delete_batch("b2")
+    return _out_of(store, store.month_totals())
+
+
+@query(f"WITH {D}, {K}, w AS (SELECT k, lower(counterparty || '|' || description) AS fields FROM led), c AS (SELECT k, {CATEGORY} AS found FROM w) SELECT k, CASE WHEN k % 100 = 0 THEN 'travel' ELSE found END AS category, CASE WHEN k % 100 = 0 THEN 'user' WHEN found IS NULL THEN 'none' ELSE 'rule' END AS category_source FROM c")
+def recategorise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories decided anew over rows whose categories are stale: a user's choice stays, all else follows the rules."""
+    k = F.col("seq.row")
+    stale = ledger(spark, sf_dir).withColumns({"category": F.when(k % 100 == 0, "travel").otherwise(F.lit("pet")), "category_source": F.when(k % 100 == 0, "user").otherwise(F.lit("rule"))})
+    return categories.recategorised(stale).select(k.cast("long").alias("k"), "category", "category_source")
 
 
 # ---- reports
