@@ -239,10 +239,95 @@ def test_html_keeps_what_is_no_furniture():
     assert text(f"a < b <![CDATA[c & <d>]]> {p}").startswith("a < b c & <d>")
 
 
+def test_html_drops_nothing_of_an_article():
+    text = html_text.main_text
+    long = "This is a long sentence, with commas, and enough words to count as a paragraph of text."
+    p, q = f"<p>{long}</p>", "<p>A short one.</p><p>And another.</p>"
+    shorts = "A short one.\nAnd another."
+    links = "<ul><li><a href=1>First source</a><li><a href=2>Second source</a></ul>"
+    assert text(f"<body><article>{p}</article><article>{q}</article><article><a href=x>Only a link to elsewhere</a></article></body>") == f"{long}\n{shorts}"
+    assert text(f"<body><div><div class=c><article>{p}</article></div><div class=c><article>{q}</article></div><div class=d><article>{q}</article></div></div></body>") == f"{long}\n{shorts}"
+    assert text(f"<body><div><section>{p}{p}</section><section>{q}</section></div></body>") == f"{long}\n{long}\n{shorts}"
+    assert text(f"<body><div><div class=part>{p}{p}</div><div class=other><a href=x>Elsewhere</a></div><div class=part>{q}</div></div></body>").endswith(shorts)
+    assert text(f"<body><h1>The head</h1><article>{p}</article></body>") == f"The head\n{long}"
+    assert text(f"<body><div><h1><a href=/>Logo</a></h1></div><article><h1>Own</h1>{p}</article></body>") == f"Own\n{long}"
+    assert text(f"<body><header><h1>Site</h1></header><article><header><h1>The head</h1><nav><a href=x>x</a></nav></header>{p}<footer>by me</footer></article></body>") == f"The head\n{long}"
+    assert text(f"<body><div class='entry-header'><h1>The head</h1></div><div class='post tags'>{p}{p}</div></body>") == f"The head\n{long}\n{long}"
+    assert text(f"<body><div class=legal><h2>Terms</h2>{p}{q}</div><div class=legal>Small print.</div></body>") == f"Terms\n{long}\n{shorts}"
+    assert text(f"<body><article>{p}</article><div class='tags'><p>one, two, three, four, five, six, seven</p></div></body>") == long
+    assert text(f"<body><article>{p}{p}</article><div class=comments>{p}{p}{p}{p}{p}{p}</div></body>") == f"{long}\n{long}"
+    assert text("<body><article><p>Some <span class=tags>words</span> in a sentence, and a <button>key</button> too, and so on and on.</p></article></body>") == "Some words in a sentence, and a too, and so on and on."
+    assert text(f"<body><article>{p}<h2>Sources</h2>{links}</article></body>") == f"{long}\nSources\nFirst source\nSecond source"
+    assert text(f"<body><article>{p}<p>See also:</p>{links}<h2>Related posts</h2>{links}</article></body>").startswith(f"{long}\nSee also:\nFirst source\nSecond source")
+    assert text(f"<body><form action=x><div>{long}</div><div>{long}</div><input><select><option>a</select></form></body>") == f"{long}\n{long}"
+    assert text(f"<body><form><form><form>{p}</form><nav>x</nav></form></body>") == long
+
+
+def plain_best(root):
+    """Points by a walk from every piece of text to each of its ancestors; the best container, the first of equals."""
+    nodes, points = [], {}
+
+    def walk(at, up):
+        nodes.append((at, up))
+        for k in at.kids:
+            if not isinstance(k, str) and not k.dropped:
+                walk(k, [at, *up])
+
+    def chars(at, linked):
+        inner = [k for k in at.kids if not isinstance(k, str) and not k.dropped]
+        own = sum(len(" ".join(k.split())) for k in at.kids if isinstance(k, str))
+        whole = own + sum(chars(k, False) for k in inner)
+        return whole if not linked or at.tag == "a" else sum(chars(k, True) for k in inner)
+
+    def own(at):
+        out = ""
+        for k in at.kids:
+            out += k if isinstance(k, str) else " " if k.dropped or k.tag in html_text.BLOCK or k.tag == "br" else own(k)
+        return out
+
+    walk(root, [])
+    for at, up in nodes:
+        text = " ".join(own(at).split())
+        if at.tag in ("p", "td", "pre", "blockquote", "div", "li", "dd", "section", "article", "main", "html") and len(text) >= 25:
+            gain = 1 + text.count(",") + min(len(text) // 100, 3)
+            for level, x in enumerate(([at] if at.tag in ("html", "article", "main") else []) + up):
+                if level < 5:
+                    points.setdefault(id(x), [x, 0.0])[1] += gain / [1, 2, 6, 9, 12][level]
+    best = None
+    for x, n in points.values():
+        n *= 1 - (chars(x, True) / chars(x, False) if chars(x, False) else 0)
+        if best is None or n > best[1] + 1e-9:
+            best = (x, n)
+    return best
+
+
+def test_html_scores_are_those_of_plain_walks():
+    rng = random.Random(13)
+
+    def piece(depth):
+        words = " ".join(rng.choice(["word", "text,", "more", "of", "it."]) for _ in range(rng.randint(1, 40)))
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice([f"<p>{words}</p>", words, f"<a href=x>{words}</a>", f"<p>{words} <b>{words}</b></p>", f"<nav>{words}</nav>"])
+        tag = rng.choice(["div", "section", "div", "blockquote", "ul", "span"])
+        inner = "".join(piece(depth - 1) for _ in range(rng.randint(1, 4)))
+        return f"<{tag}>{inner}</{tag}>" if tag != "ul" else f"<ul><li>{inner}</li></ul>"
+
+    some = 0
+    for _ in range(300):
+        root = html_text.parse("".join(piece(4) for _ in range(rng.randint(1, 4))))
+        want = plain_best(root)
+        got = html_text.best_scored(html_text.measure(root))
+        assert (got is None) == (want is None)
+        if got is not None:
+            some += 1
+            assert abs(got.score - want[1]) < 1e-6
+    assert some > 200
+
+
 def test_html_takes_time_in_proportion():
     import time
 
-    for part in ('<a "', '<a href="', "<a b='\"", "<b></i>", "<![CDATA[", "<!--", "<p><ul><li>", "<td><nav>"):
+    for part in ("<form>", "<form><p>a", "<script>", "<script></script ", '<div class="tags">', "<article><header>", "<h2>Sources</h2><ul><li><a>b</a></ul>", '<a "', '<a href="', "<a b='\"", "<b></i>", "<![CDATA[", "<!--", "<p><ul><li>", "<td><nav>"):
         took = []
         for n in (40_000, 320_000):
             began = time.process_time()
