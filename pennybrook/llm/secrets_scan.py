@@ -10,7 +10,7 @@ kinds can be left out to measure recall on kinds never seen.
 
 Findings carry place, length and a SHA-256 of the candidate, never the candidate.
 
-Defined cases: null or empty texts have no findings; texts are scanned whole; repeated rows give their findings each; a null path is
+Defined cases: null or empty texts have no findings; texts are scanned whole, in time in proportion to their length; repeated rows give their findings each; a null path is
 an empty one; other columns are ignored.
 """
 
@@ -20,8 +20,9 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,11 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NAMES = r"(?:pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|client[_-]?secret|bearer)"
-ASSIGNED = re.compile(NAMES + r"\w*[\"']?\s*(?:=>|[:=])\s*[\"']?([^\s\"'<>,;]{8,})", re.I)
+NAME = re.compile(NAMES, re.I)
+#: A word and the sign that assigns to it; a word is tried from its first character only, and what was read isn't given back.
+LEFT = re.compile(r"(?<![\w-])([\w-]++)[\"']?\s*+(?:=>|[:=])")
+VALUE = re.compile(r"\s*+[\"']?([^\s\"'<>,;]{8,})")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=.\-])(?=[A-Za-z+/_=.\-]*[0-9])[A-Za-z0-9+/_=.\-]{16,}")
-KEY_BLOCK = r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s\\:,\-]*?-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+KEY_BEGIN, KEY_END = (re.compile(rf"-----{x} (?:[A-Z]++ )*PRIVATE KEY-----") for x in ("BEGIN", "END"))
+NO_KEY = re.compile(r"[^A-Za-z0-9+/=\s\\:,\-]")
+JWT_MIDDLE, JWT_CHAR = re.compile(r"\.eyJ[\w-]++(?=\.[\w-])"), re.compile(r"[\w-]*+")
 LETTERS = re.compile(r"(?<![A-Za-z0-9+/_=.\-])(?=[A-Z]*[a-z]+[A-Z]+[a-z]+[A-Z]+[a-z]+[A-Z])[A-Za-z]{20,}(?![A-Za-z0-9+/_=.\-])")
-KNOWN = re.compile(KEY_BLOCK + r"|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[\w-]+\.eyJ[\w-]+\.[\w-]+|AIza[\w-]{35}")
+TOKEN = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[\w-]{35}")
 LURE = re.compile(r"token|secret|passw|passphrase|api.?key|access.?key|auth|credential|private|bearer|\bkey\b|\bpwd\b", re.I)
 HARMLESS = re.compile(r"commit|sha-?\d*|md5|digest|checksum|hash|uuid|guid|version|revision|integrity|example|sample|placeholder|dummy|call|phone|card|order|isbn|page|total|mail|host", re.I)
 WORDS = frozenset(
@@ -95,25 +101,87 @@ def features(text: str, start: int, end: int, path: str = "") -> list[float]:
         float(bool(re.search(r"test|example|sample|fixture|mock|\.lock|\.md$|\.sum$", path, re.I))),
         float(bool(re.search(r"[:=]\s*[\"']?$", before))),
         float(any(LURE.search(w) for w in near)) + float(bool(LURE.search(line[-24:]))),
-        float(any(HARMLESS.search(w) for w in near)) + float(bool(KNOWN.fullmatch(x))) * -1.0,
+        float(any(HARMLESS.search(w) for w in near)) + float((0, len(x)) in known(x)) * -1.0,
     ]
 
 
+def key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of private key blocks: from a first line to the next last line, if nothing between them is foreign to a key."""
+    ends, wrong, last, k = [m.span() for m in KEY_END.finditer(text)] if "-----BEGIN" in text else [], -1, 0, 0
+    for m in KEY_BEGIN.finditer(text) if ends else ():
+        while k < len(ends) and ends[k][0] < m.end():
+            k += 1
+        if k == len(ends):
+            return
+        if wrong < m.end():  # the next character that no key block holds
+            found = NO_KEY.search(text, m.end())
+            wrong = found.start() if found else len(text)
+        if wrong >= ends[k][0] and m.start() >= last:
+            last = ends[k][1]
+            yield m.start(), last
+
+
+def apart(spans: Iterable[tuple]) -> list[tuple]:
+    """The spans in order, without those that begin within one before."""
+    out: list[tuple] = []
+    for x in spans:
+        if not out or x[0] >= out[-1][1]:
+            out.append(x)
+    return out
+
+
+def known(text: str) -> list[tuple[int, int]]:
+    """(start, end) of strings of known forms, in order and without overlaps."""
+    out = apart(sorted([*(m.span() for m in TOKEN.finditer(text)), *key_blocks(text)]))
+    webs, last = [], 0
+    for m in JWT_MIDDLE.finditer(text):  # the dot and the second part; the first part ends there, and the third begins after the next dot
+        first = m.start()
+        if first < last:
+            continue
+        while first > last and (text[first - 1] in "-_" or text[first - 1].isalnum()):
+            first -= 1
+        at = text.find("eyJ", first, max(first, m.start() - 1))
+        while at >= 0 and (over := meeting(out, at, at + 1)) and over[0][0] < at:  # another form has begun before and holds it
+            at = text.find("eyJ", over[0][1], max(over[0][1], m.start() - 1))
+        if at >= 0:
+            last = JWT_CHAR.match(text, m.end() + 1).end()
+            webs.append((at, last))
+    return apart(sorted([*out, *webs]))
+
+
+def assigned(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, where the name starts) of the values assigned to names like ``password``."""
+    last = 0
+    for m in LEFT.finditer(text):
+        if m.start() < last:
+            continue
+        word = m[1]
+        tail = word.rfind("-") + 1  # after a name only letters, digits and underscores may follow
+        name = next((x.start() for x in NAME.finditer(word) if x.end() >= tail), None)
+        if name is not None and (value := VALUE.match(text, m.end())):
+            last = value.end()
+            yield *value.span(1), m.start() + name
+
+
+def meeting(spans: list[tuple], a: int, b: int) -> list[tuple]:
+    """Those of the spans, in order and without overlaps, that meet a stretch."""
+    i = bisect_right(spans, a, key=lambda x: x[1])
+    j = bisect_left(spans, b, key=lambda x: x[0])
+    return spans[i:j]
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of all candidates, without overlaps; a known or an assigned value wins over any bare run that it meets."""
-    found: list[tuple[int, int, str, int]] = [(*m.span(), "known", m.start()) for m in KNOWN.finditer(text)]
-    if re.search(NAMES, text, re.I):
-        found += [(*m.span(1), "assigned", m.start()) for m in ASSIGNED.finditer(text)]
+    """(start, end, kind) of all candidates, without overlaps; a known or an assigned value wins over any bare run that it meets.  Time is in proportion to the text."""
+    found: list[tuple[int, int, str, int]] = [(a, b, "known", a) for a, b in known(text)]
+    if NAME.search(text):
+        found += [(a, b, "assigned", name) for a, b, name in assigned(text)]
     found.sort(key=lambda x: (x[0], x[2] != "known", -x[1]))
-    kept: list[tuple[int, int, str, int]] = []
-    for c in found:
-        if not kept or c[0] >= kept[-1][1]:
-            kept.append(c)
-    runs: list[tuple[int, int, str]] = [(*m.span(), "run") for m in LETTERS.finditer(text) if not any(a < m.end() and b > m.start() for a, b, _, _ in kept)]
+    kept = apart(found)
+    runs: list[tuple[int, int, str]] = [(*m.span(), "run") for m in LETTERS.finditer(text) if not meeting(kept, *m.span())]
     # what a run holds besides an assigned value with its name, or a known one, is a run of its own
     for m in RUN.finditer(text):
         at, end = m.span()
-        cuts = [(min(n, a), b) for a, b, _, n in kept if a < end and b > at]
+        cuts = [(min(n, a), b) for a, b, _, n in meeting(kept, at, end)]
         for a, b in [*cuts, (end, end)]:
             for part in RUN.finditer(text[at:a]) if cuts else [m]:
                 first = part.start() + (at if cuts else 0)
@@ -170,7 +238,7 @@ def labelled_findings(n: int = 3000, seed: int = 5, without: tuple[str, ...] = (
     for i in range(n):
         label = i % 2 if secrets and others else int(bool(secrets))
         if label:
-            lead = rng.choice([f'{name()} = "', f"{name()}={''}", f'"{name()}": "', f"{name()}: ", "Authorization: Bearer ", f'export {name()}="', f"{prose(2)} {name()} "])
+            lead = rng.choice([f'{name()} = "', f"{name()}=", f'"{name()}": "', f"{name()}: ", "Authorization: Bearer ", f'export {name()}="', f"{prose(2)} {name()} "])
             value = rng.choice(secrets)()
         else:
             lead, value = rng.choice(others)()

@@ -46,6 +46,7 @@ def test_run_is_what_plain_stages_give(spark, tmp_path):
         docs[i] = " ".join([*words[:at], "changed" + str(i), *words[at + 1 :]]) if i % 2 else docs[i - 60].replace("\n", " ")
     items = [speech(rng, "en", 25), "five words are an item", speech(rng, "de", 12)]
     docs |= {80: line("en") + " " + items[0], 81: "now " + items[1].upper() + ", he said " + line("en"), 82: line("de") + "\n" + items[2], 83: " ".join(items[2].split()[:9]) + " " + line("de"), 84: speech(rng, "en", 3000)}
+    docs |= {85 + i: docs[i + 1] for i in range(5)}  # exact copies
     rows = [(d, t, ("en", "de")[d % 2] if d < 61 else None, "s", len(t)) for d, t in docs.items()] + [(90, None, "en", "s", 0), (91, "", "en", "s", 0), (92, "12 34 ...", "en", "s", 9)]
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
