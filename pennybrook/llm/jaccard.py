@@ -209,7 +209,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", F.expr("size(sa) + size(sb)").alias("s"), F.expr("size(array_intersect(sa, sb))").alias("c"))
-    return met.where(f"100L * c >= {percent}L * (s - c)").select("a", "b")
+    return met.where(f"100L * c >= {percent}L * (s - c)").select("a", "b").distinct()
 
 
 def bounded(df: DataFrame, n: int, limit: int) -> DataFrame:
@@ -247,7 +247,8 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, longest: int
     discard(index)
     nodes = close.select("sid").distinct()
     holders = materialize(classes.join(nodes, "sid").select(F.col("least").alias("doc_id"), "sid"), "jaccard-holders")
-    sets = materialize(whole_sets(texts_of(holders), width).dropDuplicates(["sid"]), "jaccard-sets")
+    # rows repeated with one doc_id give a set each: its pairs come twice then, which changes no component
+    sets = materialize(whole_sets(texts_of(holders), width), "jaccard-sets")
     prints = sets.drop("shingles")
     discard(holders)
 
@@ -255,7 +256,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, longest: int
     hubs = close.groupBy("token").agg(F.max(F.struct("weight", "sid")).alias("top")).select("token", F.col("top.sid").alias("hub"))
     spokes = close.join(hubs, "token").where("sid <> hub").groupBy("sid", "hub").agg(F.count(F.lit(1)).alias("c"))
     spokes = spokes.groupBy("sid").agg(F.max(F.struct("c", "hub"))["hub"].alias("hub")).select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
-    spokes = spokes.join(prints.alias("x"), F.expr("a = x.sid")).join(prints.alias("y"), F.expr(f"b = y.sid AND {possible('x', 'y', percent)}")).select("a", "b")
+    spokes = spokes.join(prints.alias("x"), F.expr("a = x.sid")).join(prints.alias("y"), F.expr(f"b = y.sid AND {possible('x', 'y', percent)}")).select("a", "b").distinct()
     links = materialize(linked(materialize(spokes, "jaccard-spokes"), sets, percent), "jaccard-links")
     joined = materialize(connected_components(links, "jaccard"), "jaccard-joined")
 
