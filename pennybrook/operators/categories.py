@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from itertools import groupby
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +34,14 @@ GAP = "\x01"
 
 
 def default_rules() -> list[Rule]:
-    words = [(priority, category, word) for priority, category, words in L.RULES for word in words.split()]
-    return [Rule(category, word, priority, id=f"r-{category}-{i}") for i, (priority, category, word) in enumerate(words)]
+    """The built-in rules; their ids count within a category, or within the categories that are numbered together."""
+    out, counts = [], Counter()
+    for category, priority, words in L.RULES:
+        group = L.RULE_NUMBERING.get(category, category)
+        for word in words:
+            counts[group] += 1
+            out.append(Rule(category, word, priority, id=f"r-{group}-{counts[group]}"))
+    return out
 
 
 def ordered(rules: Iterable[Rule]) -> list[Rule]:
@@ -49,32 +58,85 @@ def ordered(rules: Iterable[Rule]) -> list[Rule]:
     return sorted((r for r in rules if usable(r)), key=lambda r: -r.priority)
 
 
-def category(rules: Iterable[Rule] | None = None, description: str = "description") -> Column:
+#: More literal rules than this are matched by an automaton: a chain of them would outgrow what Spark compiles.
+CHAINED = 400
+
+
+def category(rules: Iterable[Rule] | None = None, description: str = "description", chained: int = CHAINED) -> Column:
     """The category of the first rule that matches, or null.
 
-    Compiled to one ``when`` chain: neighbouring literal rules of one field and category become one alternation, searched in the
-    fields joined by a character that no rule holds.
+    A rule set of usual size is compiled to one ``when`` chain: neighbouring literal rules of one field and category become one alternation, searched in the
+    fields joined by a character that no rule holds.  Of more literal rules than ``chained`` all are sought in one pass over a row's text
+    (``automaton``), and only patterns stay in the chain; the rule of the least rank counts.
     """
     columns = FIELDS | {"description": description}
-    groups = [(k, list(g)) for k, g in groupby(ordered(default_rules() if rules is None else rules), lambda r: (r.priority, not r.is_regex, r.field, r.category))]
+    ranked = list(enumerate(ordered(default_rules() if rules is None else rules)))
+    literal = [(rank, r) for rank, r in ranked if not r.is_regex]
+    if len(literal) > chained:
+        found = automaton(literal)(*[F.lower(text(c)) for c in columns.values()])
+        chain = _chain([(rank, r) for rank, r in ranked if r.is_regex], columns, lambda rank, name: F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("category")))
+        return F.least(found, chain)["category"] if chain is not None else found["category"]
+    out = _chain(ranked, columns, lambda _, name: F.lit(name))
+    return F.lit(None).cast("string") if out is None else out
+
+
+def _chain(ranked: list[tuple[int, Rule]], columns: dict[str, str], value: Callable[[int, str], Column]) -> Column | None:
+    """The value of the first rule that matches, or null; None without rules."""
+    if not ranked:
+        return None
+    groups = [(k, list(g)) for k, g in groupby(ranked, lambda x: (x[1].priority, not x[1].is_regex, x[1].field, x[1].category))]
 
     def chain(whole: Column) -> Column:
         out = None
         for (_, literal, field, name), group in groups:
             if literal:
                 where = whole if field == "any" else F.lower(text(columns[field]))
-                found = where.rlike("|".join(re.escape(r.pattern.lower()) for r in group))
+                found = where.rlike("|".join(re.escape(r.pattern.lower()) for _, r in group))
             else:
                 found = F.lit(False)
-                for r in group:
+                for _, r in group:
                     for c in columns.values() if field == "any" else [columns[field]]:
                         found = found | ((text(c) != "") & text(c).rlike(f"(?{r.flags})" + r.pattern if set(r.flags) <= set("ims") and r.flags else r.pattern))
-            out = F.when(found, name) if out is None else out.when(found, name)
-        return F.lit(None).cast("string") if out is None else out
+            then = value(group[0][0], name)
+            out = F.when(found, then) if out is None else out.when(found, then)
+        return out
 
     return let(F.lower(F.concat_ws(GAP, *[text(c) for c in columns.values()])), chain)
 
 
+def automaton(literal: Iterable[tuple[int, Rule]]) -> Callable[..., Column]:
+    """A function of the lower-cased fields (in the order of ``FIELDS``) that gives the least (rank, category) of the literal rules (rank, rule) that they
+    hold: one pass over each text by an automaton of all patterns, whatever their number.  Rules are data of the job, a pattern and a rank each."""
+    fields = list(FIELDS)
+    least: dict[str, dict[str, tuple[int, str]]] = {}
+    for rank, r in literal:
+        of = least.setdefault(r.pattern.lower(), {})
+        for field in fields if r.field == "any" else [r.field]:
+            of[field] = min(of.get(field, (rank, r.category)), (rank, r.category))
+    made = ahocorasick.Automaton()
+    for pattern, of in least.items():
+        made.add_word(pattern, tuple(of.get(f) for f in fields))
+    made.make_automaton()
+
+    @F.pandas_udf("rank int, category string")
+    def first(counterparty: pd.Series, description: pd.Series, tx_type: pd.Series, method: pd.Series) -> pd.DataFrame:
+        out = []
+        for row in zip(counterparty, description, tx_type, method):
+            best = None
+            for i, value in enumerate(row):
+                for _, of in made.iter(value):
+                    if of[i] is not None and (best is None or of[i] < best):
+                        best = of[i]
+            out.append(best or (None, None))
+        return pd.DataFrame(out, columns=["rank", "category"]).astype({"rank": "Int32"})
+
+    def ranked(*columns: Column) -> Column:
+        hit = first(*columns)
+        return F.when(hit["rank"].isNotNull(), hit)
+
+    return ranked
+
+
 def categorised(txs: DataFrame, rules: Iterable[Rule] | None = None) -> DataFrame:
     """Transactions with category and category_source: income, expenses and refunds by rule, the others without; a user's choice stays."""
     found = category(rules, "raw_description")

@@ -21,34 +21,38 @@ SERVICE_FEE = r"(?:服务费|手续费|利息)\s*[:：]?\s*[¥￥]?\s*(\d+(?:\.\
 
 # words that mark a table's header row
 HEADER_KEYWORDS = (
-    "交易时间 交易日期 记账日期 记账时间 交易日 交易金额 发生额 本币金额 金额 币别 币种 收/支 收支 交易类型 交易状态 当前状态 交易对方 对方户名 对方账号 对方卡号 对方账户名 对方开户行 交易名称 商户 商品 摘要 备注 附言 渠道 余额 借/贷 借方 贷方 收入 支出"
-).split()
+    "交易时间", "交易日期", "记账日期", "记账时间", "交易日", "交易金额", "发生额", "本币金额", "金额", "币别", "币种", "收/支", "收支", "交易类型", "交易状态",
+    "当前状态", "交易对方", "对方户名", "对方账号", "对方卡号", "对方账户名", "对方开户行", "交易名称", "商户", "商品", "摘要", "备注", "附言", "渠道", "余额", "借/贷",
+    "借方", "贷方", "收入", "支出",
+)
 
 DIRECTION_WORDS = {"in": ["收入", "收", "贷", "进", "存入", "转入", "credit", "in"], "out": ["支出", "支", "借", "出", "支取", "转出", "debit", "out"]}
 
-# category rules: (priority, category, keywords), in the order in which ties are decided
+# category rules: (category, priority, keywords); of equal priorities the first one counts
 RULES = [
-    (30, "fees", "手续费 服务费 逾期费 违约金"),
-    (25, "salary", "工资 薪资"),
-    (25, "bonus", "奖金 年终奖"),
-    (25, "investment-income", "利息 结息 收益"),
-    (20, "housing", "房租 租金"),
-    (10, "food", "美团 饿了么 餐饮 餐厅 饭店 美食 肯德基 麦当劳 星巴克 瑞幸 外卖 食品"),
-    (10, "transport", "滴滴 高德 地铁 公交 12306 铁路 加油 停车 出租车 打车 单车 骑行 地铁 航空 航班"),
-    (10, "groceries", "超市 便利店 生鲜 永辉 盒马 沃尔玛 家乐福"),
-    (10, "shopping", "淘宝 天猫 京东 拼多多 唯品会 苏宁"),
-    (10, "housing", "物业"),
-    (10, "utilities", "电费 水费 燃气 天然气 网上国网 国家电网"),
-    (10, "communication", "中国移动 中国联通 中国电信 话费 流量"),
-    (10, "entertainment", "电影 影院 腾讯视频 爱奇艺 优酷 哔哩哔哩 steam 游戏"),
-    (10, "medical", "医院 药房 药店 诊所 体检 胶囊 医保 门诊"),
-    (10, "education", "学费 培训 教育 书店 图书"),
-    (10, "clothing", "服饰 服装 优衣库 耐克 阿迪达斯"),
-    (10, "travel", "携程 去哪儿 酒店 民宿 机票"),
-    (10, "digital", "苹果 华为 小米"),
-    (10, "express", "快递 寄件 物流 菜鸟"),
-    (10, "pet", "宠物 猫 狗"),
+    ("food", 10, ("美团", "饿了么", "餐饮", "餐厅", "饭店", "美食", "肯德基", "麦当劳", "星巴克", "瑞幸", "外卖", "食品")),
+    ("transport", 10, ("滴滴", "高德", "地铁", "公交", "12306", "铁路", "加油", "停车", "出租车", "打车", "单车", "骑行", "地铁", "航空", "航班")),
+    ("groceries", 10, ("超市", "便利店", "生鲜", "永辉", "盒马", "沃尔玛", "家乐福")),
+    ("shopping", 10, ("淘宝", "天猫", "京东", "拼多多", "唯品会", "苏宁")),
+    ("housing", 20, ("房租", "租金")),
+    ("housing", 10, ("物业",)),
+    ("utilities", 10, ("电费", "水费", "燃气", "天然气", "网上国网", "国家电网")),
+    ("communication", 10, ("中国移动", "中国联通", "中国电信", "话费", "流量")),
+    ("entertainment", 10, ("电影", "影院", "腾讯视频", "爱奇艺", "优酷", "哔哩哔哩", "steam", "游戏")),
+    ("medical", 10, ("医院", "药房", "药店", "诊所", "体检", "胶囊", "医保", "门诊")),
+    ("education", 10, ("学费", "培训", "教育", "书店", "图书")),
+    ("clothing", 10, ("服饰", "服装", "优衣库", "耐克", "阿迪达斯")),
+    ("travel", 10, ("携程", "去哪儿", "酒店", "民宿", "机票")),
+    ("digital", 10, ("苹果", "华为", "小米")),
+    ("express", 10, ("快递", "寄件", "物流", "菜鸟")),
+    ("pet", 10, ("宠物", "猫", "狗")),
+    ("fees", 30, ("手续费", "服务费", "逾期费", "违约金")),
+    ("salary", 25, ("工资", "薪资")),
+    ("bonus", 25, ("奖金", "年终奖")),
+    ("investment-income", 25, ("利息", "结息", "收益")),
 ]
+# rules of these categories are numbered together, as r-income-1 and on
+RULE_NUMBERING = {"salary": "income", "bonus": "income", "investment-income": "income"}
 
 # category -> (label, what it applies to)
 CATEGORIES = {

@@ -53,7 +53,7 @@ KIND = f"""CASE WHEN {DISCLOSED} IS NULL AND ({has('status', L.REFUND_STATUS)} O
  WHEN excluded AND {has('hay', L.INVESTMENT_BY_FLAG)} THEN 'transfer-investment'
  WHEN excluded THEN 'transfer-internal' WHEN direction = 'in' THEN 'income' ELSE 'expense' END"""
 CLOSED = f"({has('status', L.CLOSED_STATUS)} OR {has('description', L.CLOSED_TEXT)})"
-CATEGORY = "CASE " + " ".join(f"WHEN {has('fields', '|'.join(w.lower() for w in words.split()))} THEN '{name}'" for _, name, words in sorted(L.RULES, key=lambda r: -r[0])) + " END"
+CATEGORY = "CASE " + " ".join(f"WHEN {has('fields', '|'.join(w.lower() for w in words))} THEN '{name}'" for name, _, words in sorted(L.RULES, key=lambda r: -r[1])) + " END"
 K = f"""h AS (SELECT *, lower(counterparty || ' ' || description || ' ' || tx_type || '  ' || method) AS hay, lower(counterparty || '|' || description || '|' || tx_type || '|' || method) AS fields FROM d WHERE NOT {CLOSED}),
  k AS (SELECT *, {KIND} AS kind, {DISCLOSED} AS netted FROM h),
  led AS (SELECT * REPLACE (amount_minor - coalesce(netted, 0) AS amount_minor), CASE WHEN kind IN ('expense', 'income', 'refund') THEN {CATEGORY} END AS category, strftime(make_timestamp((epoch + 28800) * 1000000), '%Y-%m') AS month FROM k)"""
