@@ -463,8 +463,38 @@ def pdf_median_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH s AS (SELECT * FROM (VALUES (0, -1e308, 3000.0), (1, 3000.0, 9000.0), (2, 9000.0, 1e308)) t(col, lo, hi)), r AS (SELECT o_orderkey AS k, CAST(o_orderkey % 12000 AS DOUBLE) AS x, CAST(o_custkey AS DOUBLE) AS width FROM orders) SELECT k, x, width, arg_max(col, least(x + width, hi) - greatest(x, lo) - col * 1e-9) AS col FROM r, s GROUP BY k, x, width")
 def pdf_column_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 12000).cast("double").alias("x"), F.col("o_custkey").cast("double").alias("width"))
-    spans = spark.createDataFrame([(0, -1e308, 3000.0), (1, 3000.0, 9000.0), (2, 9000.0, 1e308)], "col int, lo double, hi double")
-    return glyphs.assign_column(o, spans)
+    spans = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo, hi in ((-1e308, 3000.0), (3000.0, 9000.0), (9000.0, 1e308))])
+    return o.distinct().withColumn("col", glyphs.column_of(F.col("x"), F.col("width"), spans))
+
+
+#: Statements as positioned text: a file a customer, twenty orders a page.  r: an order's place in its file.
+SHEET = """SELECT o_custkey AS file, CAST((r - 1) {div} 20 AS INT) AS page, CAST((r - 1) % 20 AS INT) AS line, r, k, day, amount, note FROM (
+ SELECT o_custkey, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderdate, o_totalprice) AS r, substring(CAST(o_orderdate AS VARCHAR(10)), 1, 10) AS day,
+ CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR(20)) AS amount, CASE o_orderkey % 3 WHEN 0 THEN '午餐' WHEN 1 THEN 'bus fare' ELSE '' END AS note FROM {orders})"""
+
+
+@query(f"""WITH s AS ({SHEET.format(div='//', orders='orders')})
+SELECT file, CAST(0 AS INTEGER) AS row, '交易日期|金额|附言' AS cells FROM (SELECT DISTINCT file FROM s)
+UNION ALL SELECT file, CAST(r AS INTEGER), day || '|' || amount || '|' || CASE WHEN k % 5 = 0 AND note <> '' THEN note || CASE WHEN k % 3 = 0 THEN '外卖' ELSE ' home' END ELSE note END FROM s""")
+def glyph_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements laid out as positioned text and rebuilt: notes that wrap, dashes for nothing, a run across two columns, page numbers, headers on each page
+    of every other file and on the first page only of the others."""
+    s = spark.sql(SHEET.replace("{div}", "div"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    k, top = F.col("k"), F.lit(700.0) - 18.0 * (F.col("line") + 1)
+    run = lambda t, x, y, w, when=F.lit(True): F.when(when, F.struct(t.alias("text"), F.lit(x).alias("x"), y.alias("y"), F.lit(w).alias("width")))
+    wide, wraps = k % 7 == 0, (k % 5 == 0) & (F.col("note") != "")
+    rows = s.select("file", "page", F.explode(F.array_compact(F.array(
+        run(F.col("day"), 40.0, top + k % 3 - 1, 50.0, ~wide),
+        run(F.col("amount"), 150.0, top, 30.0, ~wide),
+        run(F.concat_ws("    ", "day", "amount"), 40.0, top, 170.0, wide),
+        run(F.when(F.col("note") == "", "----").otherwise(F.col("note")), 250.0, top, 40.0),
+        run(F.when(k % 3 == 0, "外卖").otherwise("home"), 250.0, top - 8, 20.0, wraps),
+    ))).alias("g"))
+    heads = s.groupBy("file", "page").agg(F.max("line").alias("last")).where("page = 0 or file % 2 = 0")
+    heads = heads.select("file", "page", F.explode(F.array(*[run(F.lit(t), x, F.lit(700.0), 36.0) for t, x in (("交易日期", 40.0), ("金额", 150.0), ("附言", 250.0))])).alias("g"))
+    feet = s.groupBy("file", "page").agg(F.max("line").alias("line")).where("line > 1").select("file", "page", run(F.lit("第1页"), 40.0, top - 60.0, 30.0).alias("g"))
+    grid = glyphs.read_glyphs(rows.unionByName(heads).unionByName(feet).select("file", "page", "g.*"))
+    return grid.select("file", "row", F.array_join("cells", "|").alias("cells"))
 
 
 FEE_NOTES = "SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN '服务费 ¥0.50，已扣' WHEN 1 THEN '备注；手续费：12.3' WHEN 2 THEN '/' ELSE '利息' END AS note FROM {orders}"

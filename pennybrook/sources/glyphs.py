@@ -1,199 +1,106 @@
-"""Tables from positioned text: glyph runs (page, text, x, y, width) to rows, by geometry alone.
+"""Tables from positioned text: glyph runs (file, page, text, x, y, width) to rows, by geometry alone, as joins, aggregates and windows over the runs of all files at once.
 
 Per page: runs cluster into lines; the line with the most header words gives the columns (or a page before it did); runs are dealt to columns by overlap;
-wrapped lines are joined to the row above; what follows a gap of 1.5 row pitches is not the table any more.  Pages of a file depend on each
-other only through the columns they inherit, so a file is a group.
+wrapped lines are joined to the row above; what follows a gap of 1.5 row pitches is not the table any more.  The largest group is a page's runs, and a
+file's pages where they inherit columns and number their rows; a file has at most ``MAX_PAGES`` pages, as the limit is part of the result.
+
+Defined cases: runs without text are left out, null positions are 0; runs of one place are taken in the order of their text.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
-from statistics import median
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import CJK, join_text
 from ..operators.lexicon import HEADER_KEYWORDS
-from .containers import find_header
+from ..session import cut
+from . import containers
 
 # fixed values: geometry in points
 ROW_TOLERANCE, COLUMN_GAP, MIN_HEADER_WORDS, TABLE_GAP, MAX_PAGES = 3.0, 12.0, 2, 1.5, 200
-FAR = float("inf")
 
+BLANK = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PAGE = ["file", "page"]
 
-@dataclass
-class Run:
-    text: str
-    x: float
-    y: float
-    width: float
 
-    @property
-    def right(self) -> float:
-        return self.x + max(self.width, 0.0)
-
-
-def is_cjk(c: str) -> bool:
-    return 0x2E80 <= ord(c) <= 0x9FFF or 0xF900 <= ord(c) <= 0xFAFF or 0xFF00 <= ord(c) <= 0xFFEF
-
-
-def join_text(a: str, b: str) -> str:
-    if not a or not b:
-        return a or b
-    return a + b if is_cjk(a[-1]) or is_cjk(b[0]) else f"{a} {b}"
-
-
-def lines_of(runs: list[Run], tolerance: float = ROW_TOLERANCE) -> list[list[Run]]:
-    """Visual lines from the top; a line's anchor is its first baseline."""
-    out: list[list[Run]] = []
-    for r in sorted((r for r in runs if r.text.strip()), key=lambda r: (-r.y, r.x)):
-        if out and abs(r.y - out[-1][0].y) <= tolerance:
-            out[-1].append(r)
-        else:
-            out.append([r])
-    return out
-
-
-def header_line(lines: list[list[Run]]) -> int:
-    hits = [sum(w in t for w in HEADER_KEYWORDS) for t in (" ".join(r.text for r in sorted(x, key=lambda r: r.x)) for x in lines)]
-    best = max(range(len(hits)), key=lambda i: (hits[i], -i), default=-1)
-    return best if best >= 0 and hits[best] >= MIN_HEADER_WORDS else -1
-
-
-def columns_of(line: list[Run], gap: float = COLUMN_GAP) -> list[tuple[float, float]] | None:
-    """A partition of the page at the middles between header cells."""
-    cells: list[list[float]] = []
-    for r in sorted(line, key=lambda r: r.x):
-        if cells and r.x - cells[-1][1] <= gap:
-            cells[-1][1] = max(cells[-1][1], r.right)
-        else:
-            cells.append([r.x, r.right])
-    if len(cells) < 2:
-        return None
-    cuts = [-FAR, *((a[1] + b[0]) / 2 for a, b in zip(cells, cells[1:])), FAR]
-    return list(zip(cuts, cuts[1:]))
-
-
-def overlap(a: Run, span: tuple[float, float]) -> float:
-    return min(a.right, span[1]) - max(a.x, span[0])
-
-
-def column_for(r: Run, spans: list[tuple[float, float]]) -> int:
-    """The column that a run overlaps most, the leftmost on ties."""
-    return max(range(len(spans)), key=lambda i: (overlap(r, spans[i]), -i))
-
-
-def split_run(r: Run, spans: list[tuple[float, float]]) -> list[Run]:
-    """A run across several columns, cut at its blanks; widths by characters, CJK ones count double."""
-    words = list(re.finditer(r"\S+", r.text))
-    if r.width <= 0 or len(words) < 2 or sum(overlap(r, s) > 0 for s in spans) < 2:
-        return [r]
-    weight = [0]
-    for c in r.text:
-        weight.append(weight[-1] + (2 if is_cjk(c) else 1) * (2 if ord(c) > 0xFFFF else 1))
-    unit = r.width / weight[-1]
-    return [Run(w[0], r.x + weight[w.start()] * unit, r.y, (weight[w.end()] - weight[w.start()]) * unit) for w in words]
-
-
-def cells_of(line: list[Run], spans: list[tuple[float, float]]) -> list[str]:
-    out = [""] * len(spans)
-    for r in sorted((p for r in line for p in split_run(r, spans)), key=lambda r: r.x):
-        i = column_for(r, spans)
-        out[i] = join_text(out[i], r.text.strip())
-    return ["" if re.fullmatch("[-\u2010-\u2015\u2212]+", c.strip()) else c.strip() for c in out]
-
-
-def row_pitch(ys: list[float], rowlike: list[bool]) -> float | None:
-    at = [y for y, k in zip(ys, rowlike) if k]
-    return median(a - b for a, b in zip(at, at[1:])) if len(at) > 1 else None
-
-
-def rows_by_columns(lines: list[list[Run]], spans: list[tuple[float, float]], header: int) -> list[list[str]]:
-    band = lines[max(header, 0) :]
-    cells, ys = [cells_of(x, spans) for x in band], [x[0].y for x in band]
-    pitch = row_pitch(ys, [c[0] != "" and sum(v != "" for v in c) >= 2 for c in cells])
-    end = len(band)
-    if pitch is not None:
-        far = next((i for i in range(1, len(band)) if ys[i - 1] - ys[i] > TABLE_GAP * pitch), len(band))
-        end = far if far > 1 else len(band)
-    out: list[list[str]] = []
-    for i in range(end):
-        if cells[i][0] or not out:
-            out.append(cells[i])
-        elif pitch is None or ys[i - 1] - ys[i] < pitch:
-            out[-1] = [join_text(a, b) for a, b in zip(out[-1], cells[i])]
-    return out
-
-
-def rows_by_gaps(lines: list[list[Run]], gap: float = COLUMN_GAP) -> list[list[str]]:
-    out = []
-    for line in lines:
-        cells: list[str] = []
-        last: Run | None = None
-        for r in sorted(line, key=lambda r: r.x):
-            if last is None or r.x - last.right > gap:
-                cells.append(r.text)
-            else:
-                cells[-1] = join_text(cells[-1], r.text)
-            last = r
-        if any(c.strip() for c in cells):
-            out.append([c.strip() for c in cells])
-    return out
-
-
-def without_repeated_headers(rows: list[list[str]]) -> list[list[str]]:
-    at = find_header(rows)
-    same = lambda r: [c.strip() for c in r] == [c.strip() for c in rows[at]]
-    return rows if at < 0 else [r for i, r in enumerate(rows) if i == at or not same(r)]
-
-
-@dataclass
-class Rebuilt:
-    rows: list[list[str]]
-    consistency: float
-    anchored: bool
-    columns: int
-
-
-def rebuild(pages: dict[int, list[Run]]) -> Rebuilt:
-    """All pages of a file, in order; at most MAX_PAGES, as the limit is part of the result."""
-    spans, rows, width = None, [], 0
-    for page in sorted(pages)[:MAX_PAGES]:
-        lines = lines_of(pages[page])
-        header = header_line(lines)
-        spans = (columns_of(lines[header]) if header >= 0 else None) or spans
-        if lines:
-            rows += rows_by_columns(lines, spans, header) if spans else rows_by_gaps(lines)
-        width = max(width, len(spans or ()))
-    rows = without_repeated_headers(rows)
-    sizes = [len(r) for r in rows]
-    return Rebuilt(rows, max((sizes.count(s) for s in set(sizes)), default=0) / len(rows) if rows else 0.0, spans is not None, width)
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, f"^[{BLANK}]+|[{BLANK}]+$", "")
 
 
-def read_glyphs(glyphs: DataFrame) -> DataFrame:
-    """(file, row, cells) from (file, page, text, x, y, width)."""
+def lines_of(runs: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
+    """Runs with their visual line, counted from the top, and its baseline, that of its first run: a page's distinct heights are walked from the top."""
+    heights = runs.groupBy(*PAGE).agg(F.sort_array(F.collect_set("y"), asc=False).alias("ys"))
+    anchors = F.aggregate("ys", F.array().cast("array<double>"), lambda a, y: F.when((F.size(a) == 0) | (F.element_at(a, -1) - y > tolerance), F.concat(a, F.array(y))).otherwise(a))
+    out = runs.join(heights.select(*PAGE, anchors.alias("anchors")), PAGE).withColumn("line", F.size(F.filter("anchors", lambda a: a >= F.col("y"))) - 1)
+    return out.withColumn("line_y", F.get("anchors", F.col("line"))).drop("anchors")
+
+
+def in_order(*columns: str) -> Column:
+    """Runs of a group from the left, as structs of x, -y and text, and what is named besides."""
+    return F.sort_array(F.collect_list(F.struct("x", (-F.col("y")).alias("up"), "text", *columns)))
+
+
+def header_lines(runs: DataFrame) -> DataFrame:
+    """(file, page, header): the line with the most header words, the topmost of equals, if it has enough of them."""
+    lines = runs.groupBy(*PAGE, "line").agg(F.array_join(in_order()["text"], " ").alias("whole"))
+    hits = sum((F.col("whole").contains(w).cast("int") for w in HEADER_KEYWORDS), F.lit(0))
+    return lines.withColumn("hits", hits).where(F.col("hits") >= MIN_HEADER_WORDS).groupBy(*PAGE).agg(F.max_by("line", F.struct("hits", -F.col("line"))).alias("header"))
+
+
+def spans_of(runs: DataFrame, headers: DataFrame, gap: float = COLUMN_GAP) -> DataFrame:
+    """(file, page, spans): a partition of the page at the middles between header cells, where there are two cells or more."""
+    line = runs.join(headers, PAGE).where("line = header").withColumn("right", F.col("x") + F.greatest("width", F.lit(0.0)))
+    order = Window.partitionBy(*PAGE).orderBy("x", "right")
+    before = F.max("right").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    line = line.withColumn("new", F.when(F.col("x") - before <= gap, 0).otherwise(1)).withColumn("cell", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    cells = line.groupBy(*PAGE, "cell").agg(F.min("x").alias("x"), F.max("right").alias("right")).groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("cell", "x", "right"))).alias("c")).where("size(c) > 1")
+    cuts = F.expr("transform(sequence(1, size(c) - 1), i -> (c[i - 1].right + c[i].x) / 2)")
+    ends = lambda v: F.array(F.lit(v).cast("double"))
+    return cells.withColumn("cuts", cuts).select(*PAGE, F.arrays_zip(F.concat(ends("-inf"), "cuts").alias("lo"), F.concat("cuts", ends("inf")).alias("hi")).alias("spans"))
+
+
+def overlap(x: Column, width: Column, span: Column) -> Column:
+    return F.least(x + F.greatest(width, F.lit(0.0)), span["hi"]) - F.greatest(x, span["lo"])
+
+
+def column_of(x: Column, width: Column, spans: Column) -> Column:
+    """The number of the column that a run overlaps most, the leftmost on ties."""
+    return -F.array_max(F.transform(spans, lambda s, i: F.struct(overlap(x, width, s).alias("o"), (-i).alias("i"))))["i"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pages: dict[int, list[Run]] = {}
-        for r in pdf.itertuples():
-            if r.text:
-                pages.setdefault(r.page, []).append(Run(r.text, r.x or 0.0, r.y or 0.0, r.width or 0.0))
-        rows = rebuild(pages).rows
-        return pd.DataFrame({"file": [pdf["file"].iloc[0]] * len(rows), "row": range(len(rows)), "cells": rows})
 
-    return glyphs.select("file", "page", "text", "x", "y", "width").groupBy("file").applyInPandas(run, "file int, row int, cells array<string>")
+def weight(c: Column) -> Column:
+    """Width of a text in characters: those of CJK, and those beyond the basic plane, count double."""
+    return F.length(c) + F.length(F.regexp_replace(c, f"[^{CJK[1:-1]}\\x{{10000}}-\\x{{10ffff}}]", ""))
 
 
-# ---- the same geometry as column expressions, for tables of runs that are lines already
+def split_runs(runs: DataFrame) -> DataFrame:
+    """A run across several columns cut at its blanks, with ``col``; a word's place and width follow from its characters."""
+    word = F.regexp_extract_all("text", F.lit(f"[{BLANK}]*[^{BLANK}]+"), F.lit(0))
+    wide = (F.col("width") > 0) & (F.size("words") > 1) & (F.size(F.filter("spans", lambda s: overlap(F.col("x"), F.col("width"), s) > 0)) > 1)
+    lead = lambda w: F.regexp_extract(w, f"^[{BLANK}]*", 0)
 
+    def place(w: Column, i: Column) -> Column:
+        before = F.concat(F.array_join(F.slice("words", F.lit(1), i), ""), lead(w))
+        return F.struct(strip(w).alias("text"), (F.col("x") + weight(before) * F.col("unit")).alias("x"), (weight(strip(w)) * F.col("unit")).alias("width"))
 
-def assign_column(runs: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:
-    """Runs (keys, x, width) with ``col``: a range join with the spans (keys, col, lo, hi) and an argmax of the overlap."""
-    both = runs.join(spans, list(keys)) if keys else runs.crossJoin(F.broadcast(spans))
-    shared = F.least(F.col("x") + F.greatest("width", F.lit(0.0)), "hi") - F.greatest("x", "lo")
-    return both.groupBy(*runs.columns).agg(F.max_by("col", F.struct(shared.alias("o"), -F.col("col"))).alias("col"))
+    whole = F.array(F.struct(F.col("text"), F.col("x"), F.col("width")))
+    parts = runs.withColumn("words", word).withColumn("unit", F.col("width") / weight(F.col("text"))).withColumn("p", F.explode(F.when(wide, F.transform("words", place)).otherwise(whole)))
+    return parts.drop("text", "x", "width", "words", "unit").select("*", "p.*").drop("p").withColumn("col", column_of(F.col("x"), F.col("width"), F.col("spans")))
+
+
+def joined(pieces: Column) -> Column:
+    return F.aggregate(pieces, F.lit(""), lambda a, t: join_text(a, t))
+
+
+def cells_of(runs: DataFrame) -> DataFrame:
+    """(file, page, line, line_y, cells) of runs with line and spans; dashes alone stand for nothing."""
+    placed = split_runs(runs).withColumn("text", strip(F.col("text")))
+    cells = placed.groupBy(*PAGE, "line", "line_y", "col").agg(joined(in_order()["text"]).alias("text"), F.first(F.size("spans")).alias("n"))
+    shown = strip(F.col("text"))
+    cells = cells.withColumn("text", F.when(shown.rlike("^[-\u2010-\u2015\u2212]+$"), "").otherwise(shown))
+    lines = cells.groupBy(*PAGE, "line", "line_y").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m"), F.first("n").alias("n"))
+    return lines.select(*PAGE, "line", "line_y", F.expr("transform(sequence(0, n - 1), i -> coalesce(try_element_at(m, i), ''))").alias("cells"))
 
 
 def pitch(lines: DataFrame, *page: str) -> DataFrame:
@@ -202,6 +109,54 @@ def pitch(lines: DataFrame, *page: str) -> DataFrame:
     return lines.where("rowlike").withColumn("gap", gap).groupBy(*page).agg(F.median("gap").alias("pitch"))
 
 
+def rows_by_columns(lines: DataFrame) -> DataFrame:
+    """(file, page, at, cells): lines from the header on, up to the first wide gap, wrapped ones joined to the row above."""
+    rowlike = (F.col("cells")[0] != "") & (F.size(F.filter("cells", lambda c: c != "")) >= 2)
+    lines = cut(lines.withColumnRenamed("line_y", "y").withColumn("rowlike", rowlike))
+    page, order = Window.partitionBy(*PAGE), Window.partitionBy(*PAGE).orderBy("line")
+    lines = lines.join(pitch(lines, *PAGE), PAGE, "left").withColumns({"nth": F.row_number().over(order), "gap": F.lag("y").over(order) - F.col("y")})
+    far = F.min(F.when(F.col("gap") > TABLE_GAP * F.col("pitch"), F.col("nth"))).over(page)
+    lines = lines.withColumn("far", far).where("far is null or far < 3 or nth < far")  # a gap right below the header says nothing
+    starts = (F.col("cells")[0] != "") | (F.col("nth") == 1)
+    lines = lines.withColumn("at", F.sum(starts.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(starts | F.col("pitch").isNull() | (F.col("gap") < F.col("pitch")))
+    rows = lines.groupBy(*PAGE, "at").agg(F.sort_array(F.collect_list(F.struct("line", "cells")))["cells"].alias("parts"))
+    return rows.select(*PAGE, "at", F.aggregate(F.slice("parts", F.lit(2), F.size("parts")), F.col("parts")[0], lambda a, b: F.zip_with(a, b, join_text)).alias("cells"))
+
+
+def rows_by_gaps(runs: DataFrame, gap: float = COLUMN_GAP) -> DataFrame:
+    """(file, page, at, cells): a row for each line, cut where a run begins more than a gap after the one before it ends."""
+    order = Window.partitionBy(*PAGE, "line").orderBy("x", F.desc("y"), "text")
+    new = F.when(F.col("x") - F.lag(F.col("x") + F.greatest("width", F.lit(0.0))).over(order) <= gap, 0).otherwise(1)
+    runs = runs.withColumn("new", new).withColumn("cell", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    cells = runs.groupBy(*PAGE, "line", "cell").agg(strip(joined(in_order()["text"])).alias("text"))
+    rows = cells.groupBy(*PAGE, "line").agg(F.sort_array(F.collect_list(F.struct("cell", "text")))["text"].alias("cells"))
+    return rows.where(F.exists("cells", lambda c: c != "")).select(*PAGE, F.col("line").alias("at"), "cells")
+
+
+def without_repeated_headers(grid: DataFrame) -> DataFrame:
+    """A grid (file, row, cells) without the rows that repeat its header row, numbered anew."""
+    same = lambda a: F.transform(a, lambda c: strip(c))
+    grid = grid.join(containers.detect_header(grid), "file", "left").where(F.col("header").isNull() | (F.col("row") == F.col("header_row")) | (same(F.col("cells")) != same(F.col("header"))))
+    return grid.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("row")) - 1).alias("row"), "cells")
+
+
+def read_glyphs(glyphs: DataFrame) -> DataFrame:
+    """(file, row, cells) from (file, page, text, x, y, width)."""
+    at = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("x", "y", "width")}
+    runs = glyphs.where("text <> ''").select(*PAGE, "text", *[v.alias(c) for c, v in at.items()])
+    pages = runs.select(*PAGE).distinct().withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("page"))).where(F.col("nth") <= MAX_PAGES).drop("nth")
+    runs = cut(lines_of(runs.join(pages, PAGE, "left_semi").where(strip(F.col("text")) != "")))
+    headers = header_lines(runs)
+    own = pages.join(headers, PAGE, "left").join(spans_of(runs, headers), PAGE, "left")
+    # a page without columns of its own has those of the last page before it that has some
+    held = cut(own).withColumn("spans", F.last("spans", ignorenulls=True).over(Window.partitionBy("file").orderBy("page")))
+    placed = runs.join(held, PAGE)
+    band = placed.where(F.col("spans").isNotNull() & (F.col("line") >= F.coalesce("header", F.lit(0))))
+    rows = rows_by_columns(cells_of(band)).unionByName(rows_by_gaps(placed.where("spans is null")))
+    grid = rows.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("page", "at")) - 1).alias("row"), "cells")
+    return without_repeated_headers(cut(grid))
+
+
 def modal_width(grid: DataFrame) -> DataFrame:
     """(file, width, ratio): the commonest number of cells and its share."""
     n = grid.groupBy("file", F.size("cells").alias("width")).agg(F.count(F.lit(1)).alias("c"), F.min("row").alias("at"))

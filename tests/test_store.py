@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pennybrook.operators import guard, reconcile, transfers
 from pennybrook.plans import reports
 from pennybrook.schema import BATCH, TRANSACTION
-from pennybrook.sources import glyphs, key_index, snapshot
+from pennybrook.sources import key_index, snapshot
 from pennybrook.sources import store as store_module
 from pennybrook.sources.store import Conflict, LedgerStore, UniqueViolation
 
@@ -246,14 +246,3 @@ def test_exact_pairs_model():
                 used.add(min(near)[2])
                 want.append((o["id"], min(near)[2], 5))
         assert [(*o, *i, m) for _, o, i, m in transfers.nearest_pairs(rows, 6)] == want
-
-
-def test_glyph_table():
-    heads = [("交易日期", 40.0), ("金额", 150.0), ("附言", 250.0)]
-    runs = [glyphs.Run(t, x, 400.0, 36.0) for t, x in heads]
-    for k, (day, amount, note) in enumerate([("2026-05-01", "-5.00", "午餐"), ("2026-05-02", "7.00", "----")]):
-        y = 380.0 - 18 * k
-        runs += [glyphs.Run(day, 40.0, y, 50.0), glyphs.Run(amount, 150.0, y, 30.0), glyphs.Run(note, 250.0, y, 30.0)]
-    runs += [glyphs.Run("外卖", 250.0, 372.0, 20.0), glyphs.Run("第1页", 40.0, 200.0, 30.0)]
-    got = glyphs.rebuild({1: runs, 2: runs})
-    assert got.anchored and got.columns == 3 and got.rows == [["交易日期", "金额", "附言"], *[["2026-05-01", "-5.00", "午餐外卖"], ["2026-05-02", "7.00", ""]] * 2]
