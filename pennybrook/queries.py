@@ -507,6 +507,39 @@ def service_fee(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("k", fee.cast("int").alias("fee"), F.when(fee.isNotNull(), rest).alias("rest"))
 
 
+#: Statements of four layouts, a file a customer: what stands in each line, and what it says.
+LINES = """SELECT o_custkey AS file, o_orderkey AS k, CAST(o_custkey % 4 AS INT) AS layout, CASE WHEN o_orderkey % 3 = 0 THEN 'in' ELSE 'out' END AS direction, CAST(round(o_totalprice * 100) AS BIGINT) AS minor,
+ substring(CAST(o_orderdate AS VARCHAR(10)), 1, 10) AS day, EPOCH(o_orderdate) AS epoch, CASE WHEN o_custkey % 4 < 2 AND o_orderkey % 5 = 0 THEN 'a, "b" ' WHEN o_custkey % 4 = 3 AND o_orderkey % 5 = 0 THEN 'x & y ' ELSE 'item ' END || CAST(o_orderkey AS VARCHAR(20)) AS what FROM {orders}"""
+
+
+@query(f"""WITH l AS ({derived.duck(LINES)}) SELECT CAST(file AS INTEGER) AS file, CASE layout WHEN 1 THEN 'wechat' WHEN 2 THEN 'generic:demo-bank@2026-09' ELSE 'alipay' END AS source, what AS description, direction, minor AS amount_minor,
+epoch + CASE layout WHEN 1 THEN 5400 WHEN 2 THEN -28800 ELSE 0 END AS epoch, 'shop' AS counterparty, CASE WHEN layout <> 2 THEN CAST(k AS VARCHAR) END AS order_id FROM l""")
+def import_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statement files of four layouts (two platforms' delimited text, a bank's with semicolons, an HTML table) from bytes to drafts: containers, delimiters,
+    quotes, tabs, header rows, platforms and templates."""
+    d = derived.frame(spark, sf_dir, LINES)
+    money_ = money.decimal_string(F.col("minor"))
+    side = F.when(F.col("direction") == "in", "收入").otherwise("支出")
+    quoted = F.when(F.col("what").contains('"'), F.concat(F.lit('"'), F.replace(F.col("what"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("what"))
+    cells = [F.concat(F.col("day"), F.lit(" 08:00:00")), F.lit("消费"), F.lit("shop"), F.lit("a@x.test"), F.replace(F.col("what"), F.lit("&"), F.lit("&amp;")), side, money_, F.lit("余额"), F.lit("交易成功"), F.col("k").cast("string"), F.lit("")]
+    head = ["交易时间", "交易分类", "交易对方", "对方账号", "商品说明", "收/支", "金额", "收/付款方式", "交易状态", "交易订单号", "商家订单号"]
+    line = (
+        F.when(F.col("layout") == 0, F.concat_ws(",", *cells[:4], quoted, *cells[5:]))
+        .when(F.col("layout") == 1, F.concat_ws(",", F.concat(F.col("day"), F.lit(" 09:30:00")), F.lit("商户消费"), F.lit("shop"), quoted, side, F.concat(F.lit("¥"), money_), F.lit("零钱"), F.lit("支付成功"), F.concat(F.lit("\t"), F.col("k")), F.lit("m"), F.lit("/")))
+        .when(F.col("layout") == 2, F.concat_ws(";", "day", "what", F.lit("shop"), F.when(F.col("direction") == "in", money_).otherwise(""), F.when(F.col("direction") == "in", "").otherwise(money_), F.lit(""), F.lit("成功")))
+        .otherwise(F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *cells), F.lit("</td></tr>")))
+    )
+    body = F.array_join(F.sort_array(F.collect_list(F.struct("k", line.alias("line"))))["line"], "\n")
+    files = d.groupBy("file", "layout").agg(body.alias("body"))
+    lead = F.when(F.col("layout") == 0, "明细查询\r\n账号:[x]\n\n" + ",".join(head) + "\r\n").when(F.col("layout") == 1, "标题\n交易时间,交易类型,交易对方,商品,收/支,金额(元),支付方式,当前状态,交易单号,商户单号,备注\n").when(F.col("layout") == 2, "交易日期;摘要;对方户名;收入;支出;余额;交易状态\n").otherwise("<html><table><tr><th>" + "</th><th>".join(head) + "</th></tr>")
+    content = F.encode(F.concat(lead, "body", F.when(F.col("layout") == 3, "</table></html>").otherwise("")), "UTF-8")
+    whole = cut(containers.parsed(files.select(F.col("file").cast("int").alias("file"), F.concat_ws("/", F.lit("in"), "file").alias("path"), content.alias("content"))))
+    grid = containers.grids_of(whole)
+    bank = next(t for t in platforms.STARTER_TEMPLATES if t.id == "demo-bank@2026-09")
+    drafts = platforms.parse(grid.where("platform = 'alipay'"), "alipay", "acc")[0].unionByName(platforms.parse(grid.where("platform = 'wechat'"), "wechat", "acc")[0]).unionByName(platforms.parse(grid.where("platform is null"), None, "acc", bank)[0])
+    return drafts.select(F.col("seq.file").alias("file"), "source", "description", "direction", "amount_minor", dates.epoch_seconds(F.col("occurred_at")).alias("epoch"), "counterparty", "order_id")
+
+
 # ---- whole operators that SQL can't express
 
 

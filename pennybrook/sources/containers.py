@@ -1,27 +1,24 @@
 """Files to grids: containers by magic bytes, archives, delimited text, HTML tables and workbooks.
 
-A grid is (file, row, cells): ragged rows in file order.  Files are read by Spark as (path, content) and parsed a file at a time inside
-``mapInPandas``; a file that can't be read becomes a row of the error output, never a failed job.
+A grid is (file, row, cells): ragged rows in file order.  Files are read by Spark as (path, content).  A small Python step opens what only bytes can tell
+(archives, workbooks, encodings); delimiters, records, cells, header rows and platforms are column expressions over the texts.
+A file that can't be read becomes a row of the error output, never a failed job.
 """
 
 from __future__ import annotations
 
-import csv
 import datetime as dt
-import html
 import io
 import re
 import zipfile
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from statistics import pvariance
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import cell_text
+from ..functions.text import cell_text, let, trim_cell
 from ..operators.lexicon import HEADER_KEYWORDS
 
 # fixed values: signatures, limits and preferences
@@ -36,18 +33,6 @@ class ImportProblem(Exception):
     """A file that is refused, with the reason."""
 
 
-@dataclass
-class Inspected:
-    container: str
-    rows: list[list[str]]
-    header_row: int
-    platform: str | None
-    encoding: str = "n/a"
-    delimiter: str = ""
-    steps: list[str] = field(default_factory=list)
-    notes: list[str] = field(default_factory=list)
-
-
 # ---- column forms, for tables of (path, content)
 
 
@@ -75,12 +60,64 @@ def decode_text(content: Column) -> Column:
     return F.regexp_replace(s, "^\\ufeff", "")
 
 
+#: In the order in which ties are decided.
+DELIMITERS = (",", "\t", "|", ";")
+
+
+def _field(d: str) -> str:
+    """A field up to a delimiter or line end: quoted (quotes inside doubled, line ends kept, what follows the closing quote kept too) or not."""
+    return rf'(?:"[^"]*+(?:""[^"]*+)*+(?:"[^{d}\n]*+)?|[^{d}\n]*+)'
+
+
+def records(text: Column, d: str) -> Column:
+    """The records of a text with line ends \\n, each with the cells as they stand there."""
+    e = "\\|" if d == "|" else d
+    whole = F.regexp_extract_all(text, F.lit(rf"({_field(d)}(?:{e}{_field(d)})*+)(?:\n|\z)"), F.lit(1))
+    # a delimiter before each cell, so that an empty one isn't an empty match
+    return F.transform(F.filter(whole, lambda r: r != ""), lambda r: F.regexp_extract_all(F.concat(F.lit(d), r), F.lit(rf"{e}({_field(d)})"), F.lit(1)))
+
+
+def unquoted(cell: Column) -> Column:
+    body = F.regexp_extract(cell, r'^"([^"]*+(?:""[^"]*+)*+)"?', 1)
+    rest = F.regexp_extract(cell, r'^"[^"]*+(?:""[^"]*+)*+"([\s\S]*)$', 1)
+    return trim_cell(F.when(cell.startswith('"'), F.concat(F.replace(body, F.lit('""'), F.lit('"')), rest)).otherwise(cell))
+
+
 def guess_delimiter(text: Column) -> Column:
-    """',', TAB or ';' by their number in the first lines; ties stay with ','."""
-    lines = F.slice(F.filter(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(x) != ""), 1, DELIMITER_LINES)
-    head = F.array_join(lines, "\n")
-    n = {k: F.regexp_count(head, F.lit(v)) for k, v in {",": ",", "\t": "\t", ";": ";"}.items()}
-    return F.when((n["\t"] > n[","]) & (n["\t"] >= n[";"]), "\t").when(n[";"] > n[","], ";").otherwise(",")
+    """The delimiter whose number of fields varies least, for its mean, over the first lines, with two fields a line or more."""
+    lines = F.array_join(F.slice(F.filter(F.split(text, "\n"), lambda x: trim_cell(x) != ""), 1, DELIMITER_LINES), "\n")
+
+    def spread(d: str) -> Column:
+        counts = F.transform(records(lines, d), F.size)
+        n, total = F.size(counts), F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+        squares = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x * x)
+        return F.when((n > 0) & (total > 1.99 * n), (n * squares - total * total) / (n * total))  # of whole numbers, so equal spreads are equal
+
+    def least(spreads: Column) -> Column:
+        # get, as element_at takes the element of a null place for one that can't be null
+        return F.coalesce(F.get(F.array(*[F.lit(d) for d in DELIMITERS]), (F.nullif(F.array_position(spreads, F.array_min(spreads)), F.lit(0)) - 1).cast("int")), F.lit(","))
+
+    return let(F.array(*[spread(d) for d in DELIMITERS]), least)
+
+
+def text_rows(text: Column) -> Column:
+    """The rows of a delimited text: blank ones vanish, cells are trimmed.  Tabs that aren't the delimiter are no part of a cell."""
+
+    def told(t: Column) -> Column:
+        return F.struct(t.alias("t"), guess_delimiter(t).alias("d"))
+
+    def once_more(x: Column) -> Column:
+        return F.when((x["d"] == "\t") | ~x["t"].contains("\t"), x).otherwise(told(F.translate(x["t"], "\t", "")))
+
+    def rows(x: Column) -> Column:
+        out = None
+        for d in DELIMITERS:
+            found = records(x["t"], d)
+            out = F.when(x["d"] == d, found) if out is None else out.when(x["d"] == d, found)
+        return out
+
+    cells = let(let(told(F.regexp_replace(text, r"\r\n?", "\n")), once_more), rows)
+    return F.filter(F.transform(cells, lambda r: F.transform(r, unquoted)), lambda r: F.exists(r, lambda c: c != ""))
 
 
 def html_rows(page: Column) -> Column:
@@ -97,6 +134,12 @@ def header_score(cells: Column) -> Column:
     return F.when(F.size(filled) >= 2, F.size(words) * 10 + F.size(filled))
 
 
+def header_row(rows: Column) -> Column:
+    """The number of the best-scoring of the first rows, the first on ties; -1 if none scores."""
+    scores = F.transform(F.slice(rows, 1, HEADER_ROWS), header_score)
+    return let(scores, lambda s: F.coalesce(F.array_position(s, F.array_max(s)), F.lit(0)) - 1).cast("int")
+
+
 def detect_header(grid: DataFrame) -> DataFrame:
     """(file, header_row, header): the best-scoring of each file's first rows, the first on ties."""
     scored = grid.where(F.col("row") < HEADER_ROWS).withColumn("score", header_score(F.col("cells"))).where("score is not null")
@@ -153,49 +196,6 @@ def text_of(data: bytes) -> tuple[str, str]:
         return data.decode("gb18030", "replace").removeprefix("\ufeff"), "gbk"
 
 
-def clean(value: str | None) -> str:
-    return (value or "").replace("\u00a0", " ").strip().strip("\ufeff")
-
-
-def likely_delimiter(text: str) -> str:
-    """The delimiter whose number of fields varies least over the first lines, with two fields a line or more."""
-    lines = [x for x in text.split("\n") if x.strip()][:DELIMITER_LINES]
-    best, least = ",", None
-    for d in (",", "\t", "|", ";"):
-        fields = [len(r) for r in csv.reader(lines, delimiter=d)]
-        if fields and sum(fields) / len(fields) > 1.99:
-            spread = pvariance(fields) / (sum(fields) / len(fields))
-            if least is None or spread < least:
-                best, least = d, spread
-    return best
-
-
-def delimited(text: str, delimiter: str | None = None, strip_tabs: bool = False) -> tuple[list[list[str]], str]:
-    """Rows of a delimited text with mixed line ends; blank lines vanish, cells are trimmed."""
-    if strip_tabs:
-        if delimiter == "\t":
-            raise ImportProblem("tabs can't be stripped from a tab-separated file")
-        text = text.replace("\t", "")
-    text = re.sub(r"\r\n?", "\n", text)
-    delimiter = delimiter or likely_delimiter(text)
-    rows = [[clean(c) for c in r] for r in csv.reader(io.StringIO(text), delimiter=delimiter)]
-    return [r for r in rows if any(r)], delimiter
-
-
-def table_of_text(text: str) -> tuple[list[list[str]], str]:
-    """Read once; if tabs aren't the delimiter but occur, read again without them."""
-    rows, delimiter = delimited(text)
-    return (rows, delimiter) if delimiter == "\t" or "\t" not in text else delimited(text, strip_tabs=True)
-
-
-def table_of_html(page: str) -> list[list[str]]:
-    known = {"amp", "lt", "gt", "quot", "apos", "nbsp"}
-    entity = lambda m: html.unescape(m[0]) if m[1].startswith("#") or m[1].lower() in known else m[0]
-    plain = lambda x: clean(re.sub(r"&(#[xX][0-9a-fA-F]+|#\d+|\w+);", entity, re.sub(r"<[^>]*>", " ", re.sub(r"(?i)<br\s*/?>", " ", x))))
-    rows = [[plain(c) for c in re.findall(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>", r)] for r in re.findall(r"(?is)<tr\b[^>]*>(.*?)</tr>", page)]
-    return [r for r in rows if r]
-
-
 def excel_wall_clock(serial: float, date1904: bool = False) -> str:
     """A date serial as printed: the time only when it isn't midnight."""
     at = (dt.datetime(1904, 1, 1) if date1904 else dt.datetime(1899, 12, 30)) + dt.timedelta(seconds=round(serial * 86_400))
@@ -281,61 +281,40 @@ def unwrap(data: bytes) -> tuple[str, bytes]:
         return best, z.read(best)
 
 
-def find_header(rows: list[list[str]]) -> int:
-    best, top = -1, 0
-    for i, r in enumerate(rows[:HEADER_ROWS]):
-        filled = [c for c in r if c.strip()]
-        score = 10 * sum(any(w in c for w in HEADER_KEYWORDS) for c in filled) + len(filled)
-        if len(filled) >= 2 and score > top:
-            best, top = i, score
-    return best
-
+OPENED = "file int, path string, container string, text string, rows array<array<string>>, message string"
 
-def platform_of(header: list[str]) -> str | None:
-    h = {c.strip() for c in header}
-    if h & set(ALIPAY_MARKS):
-        return "alipay"
-    if h & set(WECHAT_MARKS):
-        return "wechat"
-    if {"交易时间", "收/支"} <= h:
-        return "alipay" if h & {"商品说明", "对方账号"} else "wechat" if h & {"商品", "商户单号"} else None
-    return None
 
-
-def inspect(data: bytes, name: str = "") -> Inspected:
-    """Container, grid, header row and platform of a file.  PDF bytes are refused: their glyph runs are a source of their own."""
-    steps, notes, encoding, delimiter = [], [], "n/a", ""
+def opened(data: bytes, name: str = "") -> tuple[str, str | None, list[list[str]] | None]:
+    """(container, text or None, rows or None): archives unwrapped, workbooks read, bytes decoded.  PDF bytes are refused: their glyph runs are a source of their own."""
     kind = kind_of(data)
     if kind == "zip":
         name, data = unwrap(data)
-        steps.append(f"archive: {name}")
         kind = kind_of(data)
         if kind in ("zip", "empty"):
             raise ImportProblem("archive holds no statement")
-    steps.append(kind)
     if kind == "empty":
         raise ImportProblem("file is empty")
     if kind == "ole-xls":
         raise ImportProblem("legacy workbooks can't be read; save the file as xlsx or csv")
     if kind == "pdf":
         raise ImportProblem("positioned text must be extracted first; see sources.glyphs")
-    if kind == "zip-ooxml":
-        rows, sheets = table_of_workbook(data)
-        delimiter = "(xlsx)"
-        if len(sheets) > 1:
-            notes.append(f"workbook has {len(sheets)} sheets")
-    else:
-        text, encoding = text_of(data)
-        if kind == "html":
-            rows, delimiter = table_of_html(text), "(html)"
-            if not rows:
-                raise ImportProblem("no table rows in the page")
-        else:
-            rows, delimiter = table_of_text(text)
-    header = find_header(rows)
-    if header < 0 and kind == "text":
-        raise ImportProblem("no header row found; first rows: " + " / ".join(" | ".join(r) for r in rows[:3]))
-    return Inspected(kind, rows, header, platform_of(rows[header]) if header >= 0 else None, encoding, delimiter, steps, notes)
+    return (kind, None, table_of_workbook(data)[0]) if kind == "zip-ooxml" else (kind, text_of(data)[0], None)
+
+
+def open_files(files: DataFrame) -> DataFrame:
+    """``OPENED`` rows of (file, path, content), one a file: what only bytes can tell."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for file, path, data in zip(part["file"], part["path"], part["content"]):
+                try:
+                    out.append((file, path, *opened(bytes(data) if data is not None else b"", path or ""), None))
+                except (ImportProblem, zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError) as problem:
+                    out.append((file, path, None, None, None, str(problem)))
+            yield pd.DataFrame(out, columns=["file", "path", "container", "text", "rows", "message"])
+
+    return files.select("file", "path", "content").mapInPandas(run, OPENED)
 
 
 def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
@@ -344,19 +323,22 @@ def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """(file, path, row, cells, header_row, platform, container, message) of (file, path, content): the rows of each file, or one row with what is wrong with it."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["file", "path", "row", "cells", "header_row", "platform", "container", "message"]
-        for part in parts:
-            for file, path, data in zip(part["file"], part["path"], part["content"]):
-                try:
-                    got = inspect(bytes(data) if data is not None else b"", path or "")
-                    yield pd.DataFrame([(file, path, i, r, got.header_row, got.platform, got.container, None) for i, r in enumerate(got.rows)], columns=names)
-                except (ImportProblem, zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, csv.Error) as problem:
-                    yield pd.DataFrame([(file, path, None, None, None, None, None, str(problem))], columns=names).astype({"row": "Int32", "header_row": "Int32"})
+    """(file, path, row, cells, header_row, platform, container, message) of (file, path, content): the rows of each file, or one row with what is wrong with it.
+
+    Bytes are opened a file at a time; delimiters, records, cells, header rows and platforms are expressions over the texts.
+    """
+    files = open_files(files)
+    rows = F.when(F.col("container") == "html", html_rows(F.col("text"))).when(F.col("container") == "text", text_rows(F.col("text"))).otherwise(F.col("rows"))
+    files = files.select("file", "path", "container", "message", let(rows, lambda r: F.struct(r.alias("rows"), header_row(r).alias("header_row"))).alias("t"))
+    # what follows reads the parsed rows, so they are computed once below this
+    files = files.select("file", "path", "container", "message", "t.rows", "t.header_row")
+    shown = F.array_join(F.transform(F.slice("rows", 1, 3), lambda r: F.array_join(r, " | ")), " / ")
+    problem = F.when((F.col("container") == "html") & (F.size("rows") == 0), "no table rows in the page").when((F.col("container") == "text") & (F.col("header_row") < 0), F.concat(F.lit("no header row found; first rows: "), shown))
+    files = files.withColumn("message", F.coalesce("message", problem)).withColumn("platform", detect_platform(F.get("rows", F.col("header_row"))))
+    row = F.posexplode_outer(F.when(F.col("message").isNull(), F.col("rows"))).alias("row", "cells")
+    out = files.select("file", "path", row, "header_row", "platform", "container", "message")
+    return out.where("cells is not null or message is not null").select("file", "path", "row", "cells", "header_row", "platform", "container", "message")
 
-    return files.select("file", "path", "content").mapInPandas(run, "file int, path string, row int, cells array<string>, header_row int, platform string, container string, message string")
 
 def grids_of(whole: DataFrame) -> DataFrame:
     """(file, row, cells, header_row, platform, container) of what ``parsed`` gives."""

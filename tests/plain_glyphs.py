@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from statistics import median
 
 from pennybrook.operators.lexicon import HEADER_KEYWORDS
-from pennybrook.sources.containers import find_header
 from pennybrook.sources.glyphs import COLUMN_GAP, MAX_PAGES, MIN_HEADER_WORDS, ROW_TOLERANCE, TABLE_GAP
 
+from .plain_containers import find_header
+
 FAR = float("inf")
 
 

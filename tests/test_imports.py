@@ -1,6 +1,7 @@
 """Statements from bytes to outcome, on invented rows."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -10,6 +11,8 @@ from pennybrook.plans import build, imports, reports
 from pennybrook.sources import containers as C
 from pennybrook.sources import platforms as P
 
+from . import plain_containers as plain
+
 HEAD = "交易时间,交易分类,交易对方,对方账号,商品说明,收/支,金额,收/付款方式,交易状态,交易订单号,商家订单号"
 ROWS = [
     "2026-05-01 08:12:33,餐饮美食,小店,a@x.test,午餐,支出,28.50,余额,交易成功,70001,",
@@ -135,13 +138,37 @@ def test_containers(spark):
         z.writestr("readme.txt", "hello")
         z.writestr("__MACOSX/a.csv", "junk")
         z.writestr("out/alipay.csv", CSV)
-    got = C.inspect(buffer.getvalue())
-    assert got.platform == "alipay" and got.header_row == 2
+    got, _ = grid(spark, buffer.getvalue())
+    assert (got.first()["platform"], got.first()["header_row"]) == ("alipay", 2)
+    assert grid(spark, workbook())[0].where("row = 0").first()["cells"] == ["交易时间", "金额"]
     _, errors = grid(spark, b"just words")
     assert errors.count() == 1
     page = spark.createDataFrame([("<table><tr><th>A&amp;B</th><td>1<br>2</td></tr><tr></tr></table>",)], "h string")
     assert page.select(C.html_rows(F.col("h"))).first()[0] == [["A&B", "1 2"]]
-    assert C.delimited("a,b\rc,d\r\n\n e ,f")[0] == [["a", "b"], ["c", "d"], ["e", "f"]]
+
+
+def test_texts_are_parsed_as_plain_python_does(spark):
+    rng = random.Random(7)
+    bits = ["a", "b c", "1.5", '"', '""', ",", ",", ";", "|", "\t", "\n", "\n", "\r\n", "\r", " ", "é", "交易时间", "金额", "\u00a0", '"x, y"', '"l1\nl2"', "收/支"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    texts += ["a,b\rc,d\r\n\n e ,f", CSV, "a;b;c\n1;2;3\n", "a\tb\n1\t2", "x|y\n1|2", '"open to the end, and\nmore', "", "\n", "one", "a,\tb\n\t1,2", "," * 50, 'q,"' + "long " * 20_000 + '",z\n' * 2, '"' * 5001]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    got = {r["i"]: r["rows"] for r in df.select("i", C.text_rows(F.col("t")).alias("rows")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == plain.table_of_text(t)[0], t[:200]
+    heads = {r["i"]: (r["h"], r["p"]) for r in df.select("i", C.text_rows(F.col("t")).alias("rows")).select("i", C.header_row(F.col("rows")).alias("h"), "rows").select("i", "h", C.detect_platform(F.get("rows", F.col("h"))).alias("p")).collect()}
+    for i in got:
+        h = plain.find_header(got[i])
+        assert heads[i] == (h, plain.platform_of(got[i][h]) if h >= 0 else None)
+
+
+def test_html_tables_are_parsed_as_plain_python_does(spark):
+    rng = random.Random(8)
+    bits = ["<tr>", "</tr>", "<td>", "</td>", "<th class=x>", "</th>", "x", " &amp; ", "&#65;", "<br>", "<b>y</b>", "&nbsp;", "&unknown;", "\n"]
+    pages = ["<table>" + "".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) + "</table>" for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, t string")
+    got = {r["i"]: r["rows"] for r in df.select("i", C.html_rows(F.col("t")).alias("rows")).collect()}
+    assert got == {i: plain.table_of_html(t) for i, t in enumerate(pages)}
 
 
 def test_folder(spark, tmp_path):
@@ -162,3 +189,9 @@ def test_printed_totals(spark):
     rows = spark.createDataFrame([(1, "out", 250), (1, "in", 100), (1, "out", 50), (2, "out", 70)], "file int, direction string, amount_minor long")
     printed = spark.createDataFrame([(1, 300, 100), (2, 71, 0), (3, 0, 0)], "file int, printed_debit_minor long, printed_credit_minor long")
     assert sorted((r["file"], r["debit_minor"], r["credit_minor"], r["agrees"]) for r in reports.printed_totals(rows, printed, "file").collect()) == [(1, 300, 100, True), (2, 70, 0, False), (3, 0, 0, True)]
+
+
+def test_archive_scores_agree(spark):
+    names = ["a.csv", "x/alipay.csv", "__MACOSX/a.csv", "._a.csv", "dir/", "支付宝.xlsx", "readme.txt", "微信说明.csv", "note.md", "wechat.PDF", ""]
+    df = spark.createDataFrame(list(enumerate(names)), "i int, n string")
+    assert {r["i"]: -1 if r["s"] is None else r["s"] for r in df.select("i", C.archive_score(F.col("n")).alias("s")).collect()} == {i: C.entry_score(n) for i, n in enumerate(names)}
