@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+import subprocess
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: what is looked for and where not
@@ -44,3 +47,23 @@ def scan_files(files: DataFrame, allowed: str = r"^$", skipped: str = r"^$") ->
     rest = f.where((~F.col("ext").isin(*FORBIDDEN) | F.col("ok")) & (F.octet_length("content") <= MAX_BYTES) & ~binary).withColumn("text", F.decode("content", "UTF-8"))
     found = scan_texts(rest.select("path", "text", "ext", "ok"), "path").join(rest.select("path", F.col("ok"), F.col("ext")), "path")
     return banned.unionByName(found.where("rule <> 'statement-like' or not ok").where((F.col("rule") != "statement-like") | ~F.col("ext").isin(*CODE)).select("path", "rule", "detail"))
+
+
+def git_listing(spark: SparkSession, root: str) -> DataFrame | None:
+    """(path) of the files that git tracks or has staged below a local folder, each once; None where it is no repository.  Ignored files are in neither list."""
+    lists = []
+    for args in (["diff", "--cached", "--name-only", "-z"], ["ls-files", "-z"]):
+        got = subprocess.run(["git", "-C", root, *args], capture_output=True, check=False)
+        if got.returncode == 0:
+            lists.append(spark.createDataFrame([(x,) for x in got.stdout.decode("utf-8", "surrogateescape").split("\0") if x], "path string"))
+    if not lists:
+        return None
+    return (lists[0].unionByName(lists[1]) if len(lists) > 1 else lists[0]).distinct()
+
+
+def guarded_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of what a guard looks at below a local folder, paths relative to it: git's own view if there is one, else all files."""
+    root = os.path.realpath(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{root}").select(F.expr(f"substring(regexp_replace(path, '^file:/+', '/'), {len(root) + 2})").alias("path"), "content")
+    named = git_listing(spark, root)
+    return files if named is None else files.join(named, "path", "left_semi")

@@ -140,6 +140,24 @@ def fingerprint_win(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prints(spark, sf_dir, "order_id is null and balance_after_minor is null")
 
 
+PARTS = """SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN day WHEN 1 THEN day || ' 07:08' WHEN 2 THEN '' ELSE ' ' || day || ' ' END AS d, CASE o_orderkey % 3 WHEN 0 THEN '09:10:11' WHEN 1 THEN '' ELSE ' 21:00 ' END AS t,
+ EPOCH(o_orderdate) + (o_orderkey * 7919) % 86400 AS epoch FROM (SELECT *, substring(CAST(o_orderdate AS VARCHAR(10)), 1, 10) AS day FROM {orders})"""
+
+
+@query(f"WITH p AS ({derived.duck(PARTS)}) SELECT k, CASE WHEN trim(t) = '' OR k % 4 = 1 THEN trim(d) WHEN d = '' THEN trim(t) ELSE trim(d) || ' ' || trim(t) END AS whole, (epoch + 28800) // 86400 * 86400 - 28800 AS day_start FROM p")
+def date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = derived.frame(spark, sf_dir, PARTS)
+    return d.select("k", dates.combine_date_time(F.col("d"), F.col("t")).alias("whole"), F.unix_seconds(dates.local_day_start(F.timestamp_seconds("epoch"))).alias("day_start"))
+
+
+PIECES = "SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN '午餐' WHEN 1 THEN 'bus' WHEN 2 THEN '' ELSE 'a费' END AS a, CASE o_orderkey % 3 WHEN 0 THEN 'home' WHEN 1 THEN '外卖' ELSE '' END AS b FROM {orders}"
+
+
+@query(f"WITH p AS ({derived.duck(PIECES)}) SELECT k, CASE WHEN a = '' THEN b WHEN b = '' THEN a WHEN k % 4 = 1 AND k % 3 = 0 THEN a || ' ' || b ELSE a || b END AS whole, k % 4 = 0 AS cjk FROM p")
+def join_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.frame(spark, sf_dir, PIECES).select("k", text.join_text(F.col("a"), F.col("b")).alias("whole"), text.is_cjk(F.col("a")).alias("cjk"))
+
+
 # ---- predicates and classification
 
 
@@ -272,6 +290,14 @@ def union_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.saved_rows(out, "b-new").select(F.col("seq.row").cast("long").alias("k"), F.col("imported_batch_id").alias("batch"))
 
 
+@query(f"WITH {D}, {K} SELECT k, 'amount ¥' || format('{{:,}}', (amount_minor + 5) // 100) || '.' || lpad(CAST((amount_minor + 5) % 100 AS VARCHAR), 2, '0') || ' -> ¥' || format('{{:,}}', amount_minor // 100) || '.' || lpad(CAST(amount_minor % 100 AS VARCHAR), 2, '0') AS changes FROM led WHERE k % 3 <> 1 AND k % 11 = 0")
+def correction_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What corrections change, in words; a category set by hand is no change."""
+    old, new = _two_imports(spark, sf_dir)
+    out = rec.reconcile(new, old).updated
+    return out.select(F.col("after.seq.row").cast("long").alias("k"), F.array_join("changes", "; ").alias("changes"))
+
+
 def _stored(spark: SparkSession, rows: DataFrame) -> LedgerStore:
     """A store that holds the rows."""
     store = LedgerStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
