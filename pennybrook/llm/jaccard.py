@@ -178,24 +178,40 @@ def prefix_index(chosen: DataFrame, tokens: np.ndarray, counts: np.ndarray, widt
     return chosen.select("text", "sid").mapInArrow(run, "token long, sid long, level int, n int")
 
 
-def whole_sets(chosen: DataFrame, width: int) -> DataFrame:
-    """(sid, n, shingles, w0, w1, ...) of the documents (text, sid): whole sets, and the parities of their shingles."""
+def own_sets(batch: pa.RecordBatch, width: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """[(sid, set)] of a batch (text, sid), a few documents at a time; other texts of a repeated doc_id are left out."""
+    sids = batch.column(1).to_pylist()
+    for a, b, data, offs in text_parts(batch, "text"):
+        kept = [(sid, s) for sid, s in zip(sids[a:b], sets_of(data, offs, width)) if set_id(s) == sid]
+        if kept:
+            yield kept
+
+
+def parities(chosen: DataFrame, width: int) -> DataFrame:
+    """(sid, n, w0, w1, ...) of the documents (text, sid): whether an odd number of a set's shingles falls in each bucket."""
     bits = 64 * WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids = batch.column(1).to_pylist()
-            for a, b, data, offs in text_parts(batch, "text"):
-                kept = [(sid, s) for sid, s in zip(sids[a:b], sets_of(data, offs, width)) if set_id(s) == sid]
-                if not kept:
-                    continue
+            for kept in own_sets(batch, width):
                 odd = np.array([np.packbits((np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)) for _, s in kept]).view(np.int64)
-                offsets = np.cumsum([0, *(len(s) for _, s in kept)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([s for _, s in kept]).view(np.int64)))
-                columns = [pa.array([sid for sid, _ in kept], pa.int64()), pa.array(np.diff(offsets)), lists, *(pa.array(odd[:, w]) for w in range(WORDS))]
-                yield pa.RecordBatch.from_arrays(columns, ["sid", "n", "shingles", *(f"w{w}" for w in range(WORDS))])
+                columns = [pa.array([sid for sid, _ in kept], pa.int64()), pa.array([len(s) for _, s in kept], pa.int32()), *(pa.array(odd[:, w]) for w in range(WORDS))]
+                yield pa.RecordBatch.from_arrays(columns, ["sid", "n", *(f"w{w}" for w in range(WORDS))])
+
+    return chosen.select("text", "sid").mapInArrow(run, "sid long, n int, " + ", ".join(f"w{w} long" for w in range(WORDS)))
 
-    return chosen.select("text", "sid").mapInArrow(run, "sid long, n int, shingles array<bigint>, " + ", ".join(f"w{w} long" for w in range(WORDS)))
+
+def whole_sets(chosen: DataFrame, width: int) -> DataFrame:
+    """(sid, shingles) of the documents (text, sid)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kept in own_sets(batch, width):
+                offsets = pa.array(np.cumsum([0, *(len(s) for _, s in kept)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([s for _, s in kept]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([sid for sid, _ in kept], pa.int64()), lists], ["sid", "shingles"])
+
+    return chosen.select("text", "sid").mapInArrow(run, "sid long, shingles array<bigint>")
 
 
 def possible(x: str, y: str, percent: int) -> str:
@@ -205,7 +221,7 @@ def possible(x: str, y: str, percent: int) -> str:
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
+    """The pairs (a, b) that link, by their whole sets (sid, shingles)."""
     left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", F.expr("size(sa) + size(sb)").alias("s"), F.expr("size(array_intersect(sa, sb))").alias("c"))
@@ -245,19 +261,30 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, longest: int
     index = materialize(prefix_index(texts_of(classes.select(F.col("least").alias("doc_id"), "sid")), tokens, counts, width, percent, longest), "jaccard-index")
     close = near(index, longest)
     discard(index)
-    nodes = close.select("sid").distinct()
-    holders = materialize(classes.join(nodes, "sid").select(F.col("least").alias("doc_id"), "sid"), "jaccard-holders")
-    # rows repeated with one doc_id give a set each: its pairs come twice then, which changes no component
-    sets = materialize(whole_sets(texts_of(holders), width), "jaccard-sets")
-    prints = sets.drop("shingles")
-    discard(holders)
+
+    def holders(sids: DataFrame) -> DataFrame:
+        return materialize(classes.join(sids.distinct(), "sid").select(F.col("least").alias("doc_id"), "sid"), "jaccard-holders")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The links among pairs; only the sets that stand in a pair are made and moved."""
+        pairs = materialize(pairs, "jaccard-pairs")
+        asked = holders(pairs.select(F.explode(F.array("a", "b")).alias("sid")))
+        # rows repeated with one doc_id give a set each: its pairs come twice then, which changes no component
+        sets = materialize(whole_sets(texts_of(asked), width), "jaccard-sets")
+        out = materialize(linked(pairs, sets, percent), "jaccard-links")
+        discard(pairs, asked, sets)
+        return out
+
+    asked = holders(close.select("sid"))
+    prints = materialize(parities(texts_of(asked), width), "jaccard-parities")
+    discard(asked)
 
     # each set meets the hub that it shares the most lists with
     hubs = close.groupBy("token").agg(F.max(F.struct("weight", "sid")).alias("top")).select("token", F.col("top.sid").alias("hub"))
     spokes = close.join(hubs, "token").where("sid <> hub").groupBy("sid", "hub").agg(F.count(F.lit(1)).alias("c"))
     spokes = spokes.groupBy("sid").agg(F.max(F.struct("c", "hub"))["hub"].alias("hub")).select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
     spokes = spokes.join(prints.alias("x"), F.expr("a = x.sid")).join(prints.alias("y"), F.expr(f"b = y.sid AND {possible('x', 'y', percent)}")).select("a", "b").distinct()
-    links = materialize(linked(materialize(spokes, "jaccard-spokes"), sets, percent), "jaccard-links")
+    links = verified(spokes)
     joined = materialize(connected_components(links, "jaccard"), "jaccard-joined")
 
     # lists whose sets aren't in one component yet
@@ -268,8 +295,8 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, longest: int
     minor = left.where("component <> main").alias("x")
     met = minor.join(left.alias("y"), F.expr(f"x.token = y.token AND x.component <> y.component AND (y.component = y.main OR x.sid < y.sid) AND {possible('x', 'y', percent)}"))
     met = met.groupBy(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("x.l", "y.l")).alias("l"))
-    more = materialize(linked(materialize(met.where("c >= l").select("a", "b"), "jaccard-open"), sets, percent), "jaccard-links")
-    discard(close, sets, left)
+    more = verified(met.where("c >= l").select("a", "b"))
+    discard(close, prints, left)
 
     known = joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = connected_components(known.unionByName(more), "jaccard")
