@@ -242,7 +242,9 @@ def blocks_of(docs: DataFrame, block_bytes: int, buckets: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, "block long, ids binary, offs binary, data binary")
     name = f"blocks_{uuid.uuid4().hex}"
     rows.write.bucketBy(buckets, "block").option("path", f"{scratch_dir(spark)}/pennybrook/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    held = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog forgets it; the files stay, as the table is external
+    return held
 
 
 def _pieces(row_ids: bytes, row_offs: bytes, row_data: bytes, piece: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
