@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.build import build_transactions
+from ..plans.build import build_transactions, saved_rows
+from ..operators.reconcile import Overlap
+from ..session import cut
 from ..sources.store import LedgerStore
 
 
-def upsert_batch(store: LedgerStore, rules=None) -> Callable[[DataFrame, int], None]:
-    """For ``writeStream.foreachBatch``: drafts of a micro-batch become an import that corrects what is stored."""
+def upsert_batch(store: LedgerStore, rules=None, scope: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
+    """For ``writeStream.foreachBatch``: drafts of a micro-batch become an import that corrects what is stored; the store's key index tells which months it meets.
+
+    A micro-batch that is played again after a failure finds its rows stored and changes none of them.
+    """
 
     def run(drafts: DataFrame, epoch: int) -> None:
-        drafts = drafts.persist()
-        try:
-            batch_id = f"stream-{epoch}"
-            out = build_transactions(drafts, batch_id, rules, existing_records=store.transactions().drop("month"))
-            fixed = out.updated.select("after.*").withColumn("imported_batch_id", F.lit(batch_id))
-            batch = drafts.sparkSession.range(1).select(F.lit(batch_id).alias("id"), F.lit("stream").alias("file_name"), F.lit("stream").alias("source_label"), F.current_timestamp().alias("imported_at"), *[F.lit(0).cast("long").alias(c) for c in ("inserted", "updated", "duplicates", "dropped")], F.array().cast("array<string>").alias("notes"))
-            store.save_import(batch, out.transactions.unionByName(fixed))
-        finally:
-            drafts.unpersist()
+        batch_id = f"stream-{epoch}"
+        out = build_transactions(cut(drafts), batch_id, rules, existing_records=store.records, scope=scope)
+        saved = cut(saved_rows(Overlap(out.transactions, out.duplicates, out.updated), batch_id))
+        if saved.isEmpty():
+            return
+        n = {"inserted": out.transactions.count(), "updated": out.updated.count(), "duplicates": out.duplicates.count(), "dropped": out.dropped.count()}
+        batch = drafts.sparkSession.range(1).select(F.lit(batch_id).alias("id"), F.lit("stream").alias("file_name"), F.lit("stream").alias("source_label"), F.current_timestamp().alias("imported_at"), *[F.lit(v).cast("long").alias(k) for k, v in n.items()], F.array().cast("array<string>").alias("notes"))
+        store.save_import(batch, saved)
 
     return run
 
