@@ -9,7 +9,7 @@ the start, so that a group of copies weighs as one document.
     common (l <= t).  An index holds these for l up to ``longest``.
 3.  Each document picks its own l: the sizes of the index lists along its prefix bound the candidates with l matches by (sum of the lists) / l, and
     the l with the least cost of lists plus verifications is taken.  A longer prefix makes more list entries, and asks for as many more matches.
-    Two documents are candidates if they share as many prefix shingles as the smaller l of both.
+    Two documents are candidates if they share as many prefix shingles as the smaller l of both; list entries that can't be part of so many are dropped.
 4.  Components need no pair within a group of near copies that is joined already.  First each document meets one hub, the document with the largest
     lists of those it shares its lists with.  After a union-find only pairs of different components meet, whose sizes and parities
     (an odd difference in one of ``64 * WORDS`` buckets is a shingle of one set only) allow a link, and only those with enough matches are verified.
@@ -233,16 +233,23 @@ def bounded(df: DataFrame, n: int, limit: int) -> DataFrame:
     return F.broadcast(df) if n <= limit else df
 
 
-def near(index: DataFrame, longest: int) -> DataFrame:
-    """(token, sid, n, l, weight): the prefix shingles that at least two sets hold, up to the l that each set picks; weight: the sum of its lists."""
+def near(index: DataFrame, longest: int, percent: int) -> DataFrame:
+    """(token, sid, n, l, weight): the prefix shingles that at least two sets hold, up to the l that each set picks, but for those that make no candidates; weight: the
+    sum of a set's lists."""
     lists = index.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     shared = materialize(index.join(lists, "token"), "jaccard-shared")
     sums = [F.sum(F.when(F.col("level") <= k, F.col("f") - 1).otherwise(0)).alias(f"s{k}") for k in range(1, longest + 1)]
+    held = [F.count_if(F.col("level") <= k).alias(f"m{k}") for k in range(1, longest + 1)]
     # a list entry costs 1, a candidate's verification its set's shingles to move and compare; l above the least overlap is no choice
-    cost = [F.expr(f"CASE WHEN {k} = 1 OR 5 * {k} <= 4 * n THEN struct(s{k} * (1D + (16 + n / 16D) / {k}) AS cost, {k} AS l) END") for k in range(1, longest + 1)]
-    picked = shared.groupBy("sid").agg(F.first("n").alias("n"), *sums).select("sid", F.array_min(F.array_compact(F.array(*cost)))["l"].alias("l"), F.col("s1").alias("weight"))
-    out = materialize(shared.join(picked, "sid").where("level <= l").select("token", "sid", "n", "l", "weight"), "jaccard-near")
-    discard(shared)
+    cost = [F.expr(f"CASE WHEN {k} = 1 OR 100 * {k} <= {percent} * n THEN struct(s{k} * (1D + (16 + n / 16D) / {k}) AS cost, {k} AS l, m{k} AS m) END") for k in range(1, longest + 1)]
+    best = F.array_min(F.array_compact(F.array(*cost)))
+    picked = shared.groupBy("sid").agg(F.first("n").alias("n"), *sums, *held).select("sid", best["l"].alias("l"), best["m"].alias("m"), F.col("s1").alias("weight"))
+    cut = materialize(shared.join(picked, "sid").where("level <= l").select("token", "sid", "n", "l", "m", "weight"), "jaccard-cut")
+    # of two candidates, the one with the smaller l has at least l shingles in lists at all (m), and the other has as many: a list without such a
+    # member makes no candidates, nor does a member with fewer than the least l of those
+    least = cut.where("m >= l").groupBy("token").agg(F.min("l").alias("needed"))
+    out = materialize(cut.join(least, "token").where("m >= needed").select("token", "sid", "n", "l", "weight"), "jaccard-near")
+    discard(shared, cut)
     return out
 
 
@@ -259,7 +266,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, longest: int
         return texts.join(bounded(holders, holders.count(), broadcast_rows), "doc_id").select("text", "sid")
 
     index = materialize(prefix_index(texts_of(classes.select(F.col("least").alias("doc_id"), "sid")), tokens, counts, width, percent, longest), "jaccard-index")
-    close = near(index, longest)
+    close = near(index, longest, percent)
     discard(index)
 
     def holders(sids: DataFrame) -> DataFrame:
