@@ -85,19 +85,19 @@ def unquoted(cell: Column) -> Column:
 
 def guess_delimiter(text: Column) -> Column:
     """The delimiter whose number of fields varies least, for its mean, over the first lines, with two fields a line or more."""
-    lines = F.array_join(F.slice(F.filter(F.split(text, "\n"), lambda x: trim_cell(x) != ""), 1, DELIMITER_LINES), "\n")
+    first = F.array_join(F.slice(F.filter(F.split(text, "\n"), lambda x: trim_cell(x) != ""), 1, DELIMITER_LINES), "\n")
 
-    def spread(d: str) -> Column:
-        counts = F.transform(records(lines, d), F.size)
-        n, total = F.size(counts), F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-        squares = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x * x)
-        return F.when((n > 0) & (total > 1.99 * n), (n * squares - total * total) / (n * total))  # of whole numbers, so equal spreads are equal
+    def spread(lines: Column, d: str) -> Column:
+        # each sum by one fold, bound before it is used: written out at each use, the records would be found a dozen times over
+        sums = F.aggregate(records(lines, d), F.struct(*[F.lit(0).cast("long").alias(x) for x in ("n", "total", "squares")]), lambda a, r: F.struct((a["n"] + 1).alias("n"), (a["total"] + F.size(r)).alias("total"), (a["squares"] + F.size(r).cast("long") * F.size(r)).alias("squares")))
+        # of whole numbers, so equal spreads are equal
+        return let(sums, lambda a: F.when((a["n"] > 0) & (a["total"] > 1.99 * a["n"]), (a["n"] * a["squares"] - a["total"] * a["total"]) / (a["n"] * a["total"])))
 
     def least(spreads: Column) -> Column:
         # get, as element_at takes the element of a null place for one that can't be null
         return F.coalesce(F.get(F.array(*[F.lit(d) for d in DELIMITERS]), (F.nullif(F.array_position(spreads, F.array_min(spreads)), F.lit(0)) - 1).cast("int")), F.lit(","))
 
-    return let(F.array(*[spread(d) for d in DELIMITERS]), least)
+    return let(let(first, lambda lines: F.array(*[spread(lines, d) for d in DELIMITERS])), least)
 
 
 def text_rows(text: Column) -> Column:
@@ -129,9 +129,8 @@ def html_rows(page: Column) -> Column:
 
 def header_score(cells: Column) -> Column:
     """Ten for each cell with a header word, one for each that isn't blank; null under two filled cells."""
-    filled = F.filter(cells, lambda c: F.trim(c) != "")
-    words = F.filter(filled, lambda c: c.rlike("|".join(re.escape(w) for w in HEADER_KEYWORDS)))
-    return F.when(F.size(filled) >= 2, F.size(words) * 10 + F.size(filled))
+    words = lambda filled: F.filter(filled, lambda c: c.rlike("|".join(re.escape(w) for w in HEADER_KEYWORDS)))
+    return let(F.filter(cells, lambda c: F.trim(c) != ""), lambda filled: F.when(F.size(filled) >= 2, F.size(words(filled)) * 10 + F.size(filled)))
 
 
 def header_row(rows: Column) -> Column:
