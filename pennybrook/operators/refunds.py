@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import blank_to_null, text
-from ..session import cut
+from ..session import cut, cut_in_order
 from .classify import disclosed_refund, is_refund
 
 DECISION = "seq struct<file:int,row:int,part:int>, what string, minor long, other struct<file:int,row:int,part:int>"
@@ -45,7 +45,7 @@ def nested_prefixes(longer: DataFrame, shorter: DataFrame, scope: Sequence[str]
     whole = longer.where(some).select(*keys, "order_id", F.lit(1).alias("sought"), F.lit(0).alias("opens")).unionByName(shorter.where(some).select(*keys, "order_id", F.lit(0).alias("sought"), F.lit(1).alias("opens")))
     ids = whole.groupBy(*keys, "order_id").agg(F.max("sought").alias("sought"), F.max("opens").alias("opens"))
     order = [*keys, "order_id"]
-    ids = cut(ids.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    ids = cut_in_order(ids.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
     first = ids.groupBy("part").agg(F.min(F.struct(*order)).alias("at")).select("part", "at.*")
     heads = first.select("part", *keys, F.explode(F.expr("transform(sequence(1, length(order_id)), i -> substring(order_id, 1, i))")).alias("order_id"))
     same = [F.col(f"h.{k}").eqNullSafe(F.col(f"i.{k}")) for k in order]
@@ -114,12 +114,12 @@ def decisions(drafts: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     with_id = drafts.withColumn("order_id", blank_to_null(text("order_id"))).where("order_id is not null").select(*keys, "seq", "order_id", "amount_minor", is_refund().alias("is_refund"))
     with_id = cut(with_id)
     refunds, purchases = with_id.where("is_refund"), with_id.where("not is_refund")
-    pairs = prefix_matches(refunds, purchases, keys)
+    pairs = cut(prefix_matches(refunds, purchases, keys))
     of_refund = pairs.groupBy(*keys, "refund_seq").agg(F.min_by("order_id", F.length("order_id")).alias("root"))
     rooted = pairs.join(of_refund, [*keys, "refund_seq"])
     r = rooted.select(*keys, "root", F.col("refund_seq").alias("seq"), F.col("refund_id").alias("order_id"), F.col("refund_minor").alias("minor"), F.lit(True).alias("is_refund")).distinct()
     p = rooted.select(*keys, "root", F.col("purchase_seq").alias("seq"), "order_id", F.col("purchase_minor").alias("minor"), F.lit(False).alias("is_refund")).distinct()
-    both = r.unionByName(p)
+    both = cut(r.unionByName(p))
     group = Window.partitionBy(*keys, "root")
     both = both.withColumn("n", F.sum(F.when(F.col("is_refund"), 0).otherwise(1)).over(group))
 
