@@ -1,34 +1,45 @@
-"""Fingerprints of transactions: FNV-1a, 64 bits, over UTF-16 code units, as column expressions."""
+"""Fingerprints of transactions: FNV-1a, 64 bits, over UTF-16 code units."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .dates import bucket_seconds, epoch_seconds
-from .text import let, nfkc, normalize_counterparty, normalize_description, text, trim_all
+from .text import nfkc, normalize_counterparty, normalize_description, text, trim_all
 
 VERSION = 2
 WINDOW_MINUTES = 2
-# fixed values: the FNV-1a offset basis in two halves, and the low part of its prime 2^40 + 435
-BASIS_HIGH, BASIS_LOW, PRIME_LOW = 3421674724, 2216829733, 435
+# fixed values: the FNV-1a offset basis and prime
+BASIS, PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
+
+
+@F.pandas_udf(T.StringType())
+def _fnv1a64(texts: pd.Series) -> pd.Series:
+    """A batch at once: the states of all texts take the code unit of one place after another; the longest come first, so those still running stand in front."""
+    there = texts.notna().to_numpy()
+    raw = [x.encode("utf-16-le") for x in texts[there]]
+    sizes = np.fromiter((len(x) // 2 for x in raw), np.int64, len(raw))
+    units = np.frombuffer(b"".join(raw), np.uint16).astype(np.uint64)
+    order = np.argsort(-sizes, kind="stable")
+    starts, running = (np.cumsum(sizes) - sizes)[order], len(raw) - np.searchsorted(np.sort(sizes), np.arange(sizes.max(initial=0)), side="right")
+    state = np.full(len(raw), BASIS, np.uint64)
+    for at, n in enumerate(running):
+        state[:n] = (state[:n] ^ units[starts[:n] + at]) * PRIME  # modulo 2^64
+    done = np.empty(len(raw), np.uint64)
+    done[order] = state
+    out = np.full(len(texts), None, object)
+    out[there] = [f"{x:016x}" for x in done.tolist()]
+    return pd.Series(out)
 
 
 def fnv1a64(c: Column) -> Column:
-    """16 lower-case hex digits.  A 64-bit product overflows a long, so the state is two 32-bit halves, folded over the code units."""
-    mask = F.lit(0xFFFFFFFF).cast("long")
-    unit_at = lambda hexed: F.transform(F.sequence(F.lit(0), (F.length(hexed) / 4 - 1).cast("int")), lambda i: F.conv(F.substring(hexed, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
-    units = let(F.hex(F.encode(c, "UTF-16BE")), unit_at)
-
-    def step(acc: Column, unit: Column) -> Column:
-        low = acc["lo"].bitwiseXOR(unit)
-        product = low * PRIME_LOW
-        high = acc["hi"] * PRIME_LOW + F.shiftright(product, 32) + F.shiftleft(low.bitwiseAND(F.lit(0xFFFFFF).cast("long")), 8)
-        return F.struct(high.bitwiseAND(mask).alias("hi"), product.bitwiseAND(mask).alias("lo"))
-
-    start = F.struct(F.lit(BASIS_HIGH).cast("long").alias("hi"), F.lit(BASIS_LOW).cast("long").alias("lo"))
-    done = F.aggregate(units, start, step, lambda acc: F.lower(F.concat(F.lpad(F.hex(acc["hi"]), 8, "0"), F.lpad(F.hex(acc["lo"]), 8, "0"))))
-    return F.when(c == "", F.lit("cbf29ce484222325")).otherwise(done)
+    """16 lower-case hex digits.  One Arrow-batched function: a fold over the code units of each row, as an expression, isn't compiled and took half of a ledger's
+    time."""
+    return _fnv1a64(c)
 
 
 def preimage(occurred_at: Column, amount_minor: Column, direction: Column, counterparty: Column, balance_after_minor: Column, order_id: Column, description: Column, fold=nfkc) -> Column:
