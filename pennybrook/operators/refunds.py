@@ -114,12 +114,12 @@ def decisions(drafts: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     with_id = drafts.withColumn("order_id", blank_to_null(text("order_id"))).where("order_id is not null").select(*keys, "seq", "order_id", "amount_minor", is_refund().alias("is_refund"))
     with_id = cut(with_id)
     refunds, purchases = with_id.where("is_refund"), with_id.where("not is_refund")
-    pairs = cut(prefix_matches(refunds, purchases, keys))
+    pairs = cut(prefix_matches(refunds, purchases, keys), with_id)
     of_refund = pairs.groupBy(*keys, "refund_seq").agg(F.min_by("order_id", F.length("order_id")).alias("root"))
     rooted = pairs.join(of_refund, [*keys, "refund_seq"])
     r = rooted.select(*keys, "root", F.col("refund_seq").alias("seq"), F.col("refund_id").alias("order_id"), F.col("refund_minor").alias("minor"), F.lit(True).alias("is_refund")).distinct()
     p = rooted.select(*keys, "root", F.col("purchase_seq").alias("seq"), "order_id", F.col("purchase_minor").alias("minor"), F.lit(False).alias("is_refund")).distinct()
-    both = cut(r.unionByName(p))
+    both = cut(r.unionByName(p), pairs)
     group = Window.partitionBy(*keys, "root")
     both = both.withColumn("n", F.sum(F.when(F.col("is_refund"), 0).otherwise(1)).over(group))
 
@@ -140,7 +140,7 @@ def decisions(drafts: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     many = both.where("n > 1").select(*keys, "root", "seq", "order_id", "minor", "is_refund").groupBy(*keys, "root").applyInPandas(kernel, schema)
     alone = refunds.join(of_refund.withColumnRenamed("refund_seq", "seq"), [*keys, "seq"], "left_anti")
     alone = alone.select(*keys, "seq", F.lit("unmatched").alias("what"), F.lit(0).cast("long").alias("minor"), F.lit(None).cast("struct<file:int,row:int,part:int>").alias("other"))
-    return lone.unionByName(many).unionByName(alone)
+    return cut(lone.unionByName(many).unionByName(alone), with_id)
 
 
 def orphans(refunds: DataFrame, closed_ids: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -153,7 +153,7 @@ def orphans(refunds: DataFrame, closed_ids: DataFrame, scope: Sequence[str] = ()
 def pair_refunds(drafts: DataFrame, closed_ids: DataFrame, scope: Sequence[str] = ()) -> Refunds:
     """Cancel refunds against purchases, then net what rows disclose of themselves."""
     keys = list(scope)
-    decided = cut(decisions(drafts, keys))
+    decided = decisions(drafts, keys)
     gone = decided.where("what in ('paired', 'partial')").select(*keys, "seq", F.when(F.col("what") == "paired", "refund-paired").otherwise("refund-partial").alias("reason"))
     cancelled = decided.where("what in ('paired', 'exceeds')").select(*keys, F.col("other").alias("seq"), F.lit("refund-paired").alias("reason"))
     dropped = gone.unionByName(cancelled)

@@ -5,6 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
+from pennybrook import session
 from pennybrook.functions import fingerprints
 from pennybrook.operators import refunds, transfers
 from pennybrook.plans import derived
@@ -61,3 +62,13 @@ def test_shared_tables_are_made_once(spark):
     legs = cut(derived.leg_rows(spark, SMALL))
     assert "Window" not in plan(transfers.exact_pairs(legs, scope=("account",)))
     assert "MapInArrow" not in plan(refunds.decisions(derived.refund_drafts(spark, SMALL)))
+
+
+def test_shuffles_widen_with_what_they_read(spark, monkeypatch):
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    legs = cut(derived.leg_rows(spark, SMALL))
+    assert session.shuffle_tasks(legs) == int(held)
+    monkeypatch.setattr(session, "SHARE", 1024)
+    assert session.shuffle_tasks(legs) > 20
+    assert cut(legs.groupBy("id").count(), legs).count() == legs.select("id").distinct().count()
+    assert spark.conf.get("spark.sql.shuffle.partitions") == held
