@@ -143,7 +143,7 @@ def without_repeated_headers(grid: DataFrame) -> DataFrame:
 def read_glyphs(glyphs: DataFrame) -> DataFrame:
     """(file, row, cells) from (file, page, text, x, y, width)."""
     at = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("x", "y", "width")}
-    runs = glyphs.where("text <> ''").select(*PAGE, "text", *[v.alias(c) for c, v in at.items()])
+    runs = cut(glyphs.where("text <> ''").select(*PAGE, "text", *[v.alias(c) for c, v in at.items()]))  # pages, runs and places each read them
     pages = runs.select(*PAGE).distinct().withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("page"))).where(F.col("nth") <= MAX_PAGES).drop("nth")
     runs = cut(lines_of(runs.join(pages, PAGE, "left_semi").where(strip(F.col("text")) != "")))
     headers = header_lines(runs)
