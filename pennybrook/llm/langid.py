@@ -159,11 +159,11 @@ def train(docs: DataFrame, max_train: int = 3000, bits: int = 14, max_train_char
         if df[size]:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1, dtype=np.int32)), pa.array(df)], ["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(document_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # a row a bucket
+    rows = docs.select("text").mapInArrow(document_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # a row a bucket
     if not len(rows):
         return None
     df = np.zeros(size + 1)
-    df[rows["bucket"]] = rows["n"]
+    df[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     idf = (np.log((1 + df[size]) / (1 + df[:size])) + 1).astype(np.float32)
     # as many documents of each language, picked by a hash, so that the sample is the same however rows are dealt
     short = F.length("text") <= max_train_chars

@@ -14,8 +14,8 @@ Lines are compared trimmed and lower-cased; blank ones are always kept.  Equal l
 4.  Distributed union-find; of each component the first line of its smallest doc_id is kept.
 
 Only the banding and ``agreeing`` can miss a link: with the defaults a pair of similarity 0.80 is a candidate with probability 0.989, of 0.85
-with 0.998, of 0.90 with 0.9998.  Tables that are joined to all lines are broadcast up to ``broadcast_rows`` rows (counted first) and otherwise
-sort-merge joined, where AQE splits what a frequent line brings together.
+with 0.998, of 0.90 with 0.9998.  Tables that are joined to all lines are broadcast up to ``broadcast_rows`` rows (counted first; keys, the most
+by far, in packs up to eight times as many) and otherwise sort-merge joined, where AQE splits what a frequent line brings together.
 
 Defined cases: null text stays null and has no lines; blank lines stay; rows with a null doc_id take no part and are kept as they are; equal
 rows of one doc_id lose the same lines each, rows of one doc_id with different texts each their own; a line and a shingle are identified by 64-bit
@@ -98,6 +98,20 @@ def bounded(df: DataFrame, n: int, limit: int) -> DataFrame:
     return F.broadcast(df) if n <= limit else df
 
 
+#: Keys that one row of a broadcast table of keys holds, about: 10 bytes of the driver's memory a key, not 100.
+PACK = 32
+
+
+def with_keys(keyed: DataFrame, keys: DataFrame, n: int, limit: int) -> DataFrame:
+    """The rows of ``keyed`` whose key is one of the n different ``keys``.  These are broadcast in packs by remainder, if the packs take no more room
+    than ``limit`` rows would, and otherwise joined by a shuffle."""
+    if n > limit * 8:
+        return keyed.join(keys, "key")
+    packs = n // PACK + 1
+    packed = keys.groupBy(F.expr(f"pmod(key, {packs}L)").alias("pack")).agg(F.collect_list("key").alias("pack_keys"))
+    return keyed.join(F.broadcast(packed), F.expr(f"pmod(key, {packs}L) = pack AND array_contains(pack_keys, key)")).drop("pack", "pack_keys")
+
+
 def shingle_hashes(line: str, size: int) -> str:
     """Hashes of a line's character shingles, four bytes a character, so that any shingle of a long line is found at once."""
     each = f"transform(sequence(0, greatest(octet_length(b) div 4 - {size}, 0)), i -> xxhash64(substring(b, 4 * i + 1, {4 * size})))"
@@ -143,14 +157,14 @@ def open_pairs(left: DataFrame, similarity: float, hashes: int, agreeing: int) -
     return met.select(F.expr("x.h").alias("a"), F.expr("y.h").alias("b"), F.expr("x.s + y.s").alias("s"))
 
 
-def fuzzy_lines(docs: DataFrame, size: int = 5, similarity: float = 0.8, hashes: int = 24, rows: int = 4, bands: int = 12, agreeing: int = 12, broadcast_rows: int = 2_000_000) -> DataFrame:
+def fuzzy_lines(docs: DataFrame, size: int = 5, similarity: float = 0.8, hashes: int = 24, rows: int = 4, bands: int = 12, agreeing: int = 12, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(h, component, keep): the different lines that occur more than once, or are similar to another, with the smallest doc_id of their component.  ``hashes`` is a multiple of 8."""
     lines = split_lines(docs)
     low = [f"q{w}" for w in range(hashes // 8)]
     sig = materialize(signatures(lines, size, hashes, rows, bands), "line-sig")
     keyed = sig.select("h", *low, F.explode(F.array(*[f"k{j}" for j in range(bands)])).alias("key"))
     shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "line-keys")
-    members = materialize(keyed.join(bounded(shared, shared.count(), broadcast_rows), "key"), "line-members")
+    members = materialize(with_keys(keyed, shared, shared.count(), broadcast_rows), "line-members")
     first = materialize(sig.select("h", "doc", "n"), "line-first")
     discard(sig, shared)
 
@@ -192,7 +206,7 @@ def fuzzy_lines(docs: DataFrame, size: int = 5, similarity: float = 0.8, hashes:
     return out
 
 
-def dedup(docs: DataFrame, broadcast_rows: int = 2_000_000, **options) -> DataFrame:
+def dedup(docs: DataFrame, broadcast_rows: int = 1_000_000, **options) -> DataFrame:
     """``docs`` with the lines left in ``text``, and n_lines and n_removed (lines that aren't blank)."""
     classes = fuzzy_lines(docs, broadcast_rows=broadcast_rows, **options)
     n = classes.count()

@@ -140,6 +140,25 @@ def test_lines_of_a_large_key_meet(spark):
     assert got == want and sum(want.values()) > 250
 
 
+def test_line_keys_are_broadcast_in_packs(spark, monkeypatch):
+    # 300 pairs of similar lines share some 3,000 keys; no broadcast table may have a row for each
+    rng = random.Random(19)
+    docs = []
+    for i in range(300):
+        x = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(120))
+        docs += [(2 * i, x), (2 * i + 1, x + "z")]
+    rows, real = [], F.broadcast
+    monkeypatch.setattr(lines.F, "broadcast", lambda df: rows.append(df.count()) or real(df))
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup(frame(spark, docs)).collect()}
+    assert got == {i: i % 2 for i in range(600)} and max(rows) <= 600
+    monkeypatch.undo()
+    keyed = spark.range(5000).selectExpr("id - 2500 AS key", "id AS h")
+    keys = keyed.where("key % 3 = 0").select("key")
+    want = sorted(k for k in range(-2500, 2500) if k % 3 == 0)
+    for limit in (10_000, 0):
+        assert sorted(r["key"] for r in lines.with_keys(keyed, keys, keys.count(), limit).collect()) == want
+
+
 def test_lines_of_one_id_with_different_texts(spark):
     docs = [(1, "a line that all share\nthe first one's own line"), (2, "clean words of the second\na line that all share"), (2, "a line that all share\nother clean words"), (2, "a line that all share\nother clean words"), (3, "some single text"), (4, "twice here"), (4, "twice here\nand more")]
     got = sorted((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup(frame(spark, docs)).collect() if r["doc_id"] < 4)
