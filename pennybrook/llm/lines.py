@@ -64,7 +64,7 @@ def band_plan(hashes: int, rows: int, bands: int) -> list[list[int]]:
 
 
 #: Shingles that one row folds before it reaches the aggregate.
-UNROLL = 8
+UNROLL = 4
 
 
 def signatures(lines: DataFrame, size: int, hashes: int, rows: int, bands: int) -> DataFrame:
@@ -114,7 +114,7 @@ def with_keys(keyed: DataFrame, keys: DataFrame, n: int, limit: int) -> DataFram
 
 def shingle_hashes(line: str, size: int) -> str:
     """Hashes of a line's character shingles, four bytes a character, so that any shingle of a long line is found at once."""
-    each = f"transform(sequence(0, greatest(octet_length(b) div 4 - {size}, 0)), i -> xxhash64(substring(b, 4 * i + 1, {4 * size})))"
+    each = f"transform(sequence(1, greatest(octet_length(b) - {4 * size - 1}, 1), 4), i -> xxhash64(substring(b, i, {4 * size})))"
     return f"transform(array(encode({line}, 'UTF-32')), b -> {each})[0]"
 
 
@@ -139,8 +139,9 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -
     """The pairs (a, b) of (a, b, s), s the sum of their sets' sizes, whose sets of character shingles are at least so similar."""
     left = texts.select(F.col("h").alias("a"), F.col("line").alias("la"))
     right = texts.select(F.col("h").alias("b"), F.col("line").alias("lb"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "s", F.expr(f"size(array_intersect({shingle_hashes('la', size)}, {shingle_hashes('lb', size)}))").alias("c"))
-    return met.where(f"c >= {float(similarity)}D * (s - c)").select("a", "b")
+    # the count is bound by a lambda: a filter on a column might make both sets again for each use of it
+    counts = f"array(size(array_intersect({shingle_hashes('la', size)}, {shingle_hashes('lb', size)})))"
+    return pairs.join(left, "a").join(right, "b").where(f"exists({counts}, c -> c >= {float(similarity)}D * (s - c))").select("a", "b")
 
 
 def promising(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:

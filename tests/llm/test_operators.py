@@ -159,6 +159,14 @@ def test_line_keys_are_broadcast_in_packs(spark, monkeypatch):
         assert sorted(r["key"] for r in lines.with_keys(keyed, keys, keys.count(), limit).collect()) == want
 
 
+def test_sets_of_a_pair_are_made_once(spark):
+    texts = spark.createDataFrame([(1, "abcdefghij"), (2, "abcdefghij!"), (3, "a\U0001f600cdefghij"), (4, "abc"), (5, "abcdeabcde")], "h long, line string")
+    pairs = spark.createDataFrame([(1, 2, 13), (1, 3, 14), (1, 4, 7), (1, 5, 11), (4, 4, 2)], "a long, b long, s int")
+    links = lines.verified(pairs, texts, 0.8, 5)
+    assert links._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") == 1
+    assert sorted(tuple(r) for r in links.collect()) == [(1, 2), (4, 4)]
+
+
 def test_lines_of_one_id_with_different_texts(spark):
     docs = [(1, "a line that all share\nthe first one's own line"), (2, "clean words of the second\na line that all share"), (2, "a line that all share\nother clean words"), (2, "a line that all share\nother clean words"), (3, "some single text"), (4, "twice here"), (4, "twice here\nand more")]
     got = sorted((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup(frame(spark, docs)).collect() if r["doc_id"] < 4)
