@@ -29,14 +29,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, dictionary: bool = True) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared scratch folder and read it again.
 
-    The table outlives any executor, so a lost executor costs a retry of single tasks only.
+    The table outlives any executor, so a lost executor costs a retry of single tasks only.  Columns of hashes are written faster without a dictionary.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/pennybrook/{label}-{uuid.uuid4().hex}"
-    df.write.mode("error").option("compression", "zstd").parquet(path)
+    df.write.mode("error").option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

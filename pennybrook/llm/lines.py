@@ -8,9 +8,10 @@ Lines are compared trimmed and lower-cased; blank ones are always kept.  Equal l
     candidates if at least ``agreeing`` of their minima agree too, by their low bytes.  A semi join leaves the lines of each key that have
     such a partner in it; it makes no pairs.
 3.  The exact Jaccard similarity of the character shingles is computed for candidates.  Pairs that can't reach it, by the sizes of their
-    sets or by the parities of their shingles in ``64 * WORDS`` buckets, are left out before: an odd difference in a bucket is a shingle of one line only.
+    lists and the ``64 * WORDS`` buckets that their shingles fill, are left out before: a bucket that one line alone fills is a shingle of that line only.
     First every line of a key meets the key's hub, the line with the most partners over all keys.  Then all candidates of a key that these
-    links don't join yet meet, whatever the key's size; a pair is made in the first key that both have.
+    links don't join yet meet, whatever the key's size; a pair is made in the first key that both have.  Of these pairs many are near misses, so
+    buckets are compared once more, by the parities of distinct shingles, which only the lines still in question get.
 4.  Distributed union-find; of each component the first line of its smallest doc_id is kept.
 
 Only the banding and ``agreeing`` can miss a link: with the defaults a pair of similarity 0.80 is a candidate with probability 0.989, of 0.85
@@ -67,14 +68,27 @@ def band_plan(hashes: int, rows: int, bands: int) -> list[list[int]]:
 UNROLL = 4
 
 
+def shingled(once: DataFrame, width: int, *more: str) -> DataFrame:
+    """``once`` (b, bytes; last, where its last shingle of ``width`` bytes starts) as rows of ``UNROLL`` shingles' hashes x0, x1, ...; ``step`` bytes
+    lie between their starts and i is the first one's."""
+    each = once.select("b", "last", "step", *more, F.explode(F.expr(f"sequence(1, last, {UNROLL} * step)")).alias("i"))
+    return each.select("i", *more, *[F.xxhash64(F.expr(f"substring(b, least(i + {t} * step, last), {width})")).alias(f"x{t}") for t in range(UNROLL)])
+
+
+def smallest(values: list[Column]) -> Column:
+    """The least of some values that aren't null, as a tournament of ifs: their code keeps it in registers, where that of ``least`` has a field of the task for each."""
+    while len(values) > 1:
+        values = [F.call_function("if", x < y, x, y) for x, y in zip(values[::2], values[1::2])] + values[len(values) & ~1 :]
+    return values[0]
+
+
 def signatures(lines: DataFrame, size: int, hashes: int, rows: int, bands: int) -> DataFrame:
     """(h, doc, n, k0, k1, ..., q0, q1, ...): a row for each different line with its smallest doc_id, its number of occurrences, its band keys
     and the low bytes of its minima, eight to a long."""
     # hash and bytes of a line are computed once below the explode, not for each of its shingles above it
-    once = lines.select(F.xxhash64("line").alias("h"), "doc_id", F.encode("line", "UTF-8").alias("b"), F.expr(f"greatest(octet_length(line) - {size - 1}, 1)").alias("last"))
-    each = once.select("h", "doc_id", "b", "last", F.explode(F.expr(f"sequence(1, last, {UNROLL})")).alias("i"))
-    each = each.select("h", "doc_id", F.when(F.col("i") == 1, 1).otherwise(0).alias("one"), *[F.xxhash64(F.expr(f"substring(b, least(i + {t}, last), {size})")).alias(f"x{t}") for t in range(UNROLL)])
-    minima = [F.min(F.least(*[F.col(f"x{t}").bitwiseXOR(F.lit(c).cast("long")) for t in range(UNROLL)])).alias(f"m{j}") for j, c in enumerate(constants(hashes))]
+    once = lines.select(F.xxhash64("line").alias("h"), "doc_id", F.encode("line", "UTF-8").alias("b"), F.expr(f"greatest(octet_length(line) - {size - 1}, 1)").alias("last"), F.lit(1).alias("step"))
+    each = shingled(once, size, "h", "doc_id").withColumn("one", F.when(F.col("i") == 1, 1).otherwise(0))
+    minima = [F.min(smallest([F.col(f"x{t}").bitwiseXOR(F.lit(c).cast("long")) for t in range(UNROLL)])).alias(f"m{j}") for j, c in enumerate(constants(hashes))]
     folded = each.groupBy("h").agg(F.min("doc_id").alias("doc"), F.sum("one").alias("n"), *minima)
     keys = [F.xxhash64(F.lit(j), *[f"m{i}" for i in plan]).alias(f"k{j}") for j, plan in enumerate(band_plan(hashes, rows, bands))]
     low = [F.expr(" | ".join(f"shiftleft(m{8 * w + t} & 255L, {8 * t})" for t in range(8))).alias(f"q{w}") for w in range(hashes // 8)]
@@ -118,59 +132,71 @@ def shingle_hashes(line: str, size: int) -> str:
     return f"transform(array(encode({line}, 'UTF-32')), b -> {each})[0]"
 
 
-#: Longs of a line's parities.
+#: Longs of a line's bitmap or parities.
 WORDS = 16
 
 
 def parities(texts: DataFrame, size: int) -> DataFrame:
-    """(h, s, w0, w1, ...): the number of a line's distinct character shingles, and bits for whether an odd number of them falls in a bucket."""
+    """As ``bitmaps``, for distinct shingles, with bits for the buckets that an odd number of them falls in: dearer, but long lines don't fill them."""
     each = texts.select("h", F.explode(F.expr(f"array_distinct({shingle_hashes('line', size)})")).alias("x")).select("h", F.expr(f"CAST(pmod(x, {64 * WORDS}) AS INT)").alias("v"))
     each = each.select("h", F.expr("v div 64").alias("at"), F.expr("shiftleft(1L, v % 64)").alias("bit"))
-    return each.groupBy("h").agg(F.count(F.lit(1)).alias("s"), *[F.expr(f"bit_xor(CASE WHEN at = {w} THEN bit ELSE 0L END)").alias(f"w{w}") for w in range(WORDS)])
+    return each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"bit_xor(CASE WHEN at = {w} THEN bit ELSE 0L END)").alias(f"w{w}") for w in range(WORDS)])
+
+
+def bitmaps(texts: DataFrame, size: int) -> DataFrame:
+    """(h, n, w0, w1, ...): the number of a line's character shingles, repeats included, and bits for the buckets that they fall in."""
+    once = texts.select("h", F.encode("line", "UTF-32").alias("b"), F.lit(4).alias("step"))
+    once = once.withColumn("last", F.expr(f"greatest(octet_length(b) - {4 * size - 1}, 1)"))
+    each = shingled(once.withColumn("n", F.expr("(last + 3) div 4")), 4 * size, "h", "n")
+    each = each.select("h", "n", *[F.expr(f"CAST(shiftright(x{t}, 6) & {WORDS - 1} AS INT)").alias(f"at{t}") for t in range(UNROLL)], *[F.expr(f"shiftleft(1L, CAST(x{t} & 63 AS INT))").alias(f"bit{t}") for t in range(UNROLL)])
+    words = [F.expr("bit_or(" + " | ".join(f"if(at{t} = {w}, bit{t}, 0L)" for t in range(UNROLL)) + ")").alias(f"w{w}") for w in range(WORDS)]
+    return each.groupBy("h").agg(F.max("n").alias("n"), *words)
 
 
 def possible(x: str, y: str, similarity: float) -> str:
-    """Whether two rows of parities can be so similar: of s + t shingles, at most (1 - similarity) / (1 + similarity) may be in one set only."""
+    """Whether two rows of bitmaps, or of parities, can be so similar: of sets of s and t shingles, at most (1 - similarity) / (1 + similarity) * (s + t) may
+    be in one only, and a bucket whose bits differ holds such a shingle."""
     odd = " + ".join(f"bit_count({x}.w{w} ^ {y}.w{w})" for w in range(WORDS))
-    return f"greatest(abs({x}.s - {y}.s), {odd}) <= {(1 - similarity) / (1 + similarity)!r}D * ({x}.s + {y}.s) + 1e-6D"
+    return f"{odd} <= {(1 - similarity) / (1 + similarity)!r}D * ({x}.n + {y}.n) + 1e-6D"
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
-    """The pairs (a, b) of (a, b, s), s the sum of their sets' sizes, whose sets of character shingles are at least so similar."""
+    """The pairs (a, b) whose sets of character shingles are at least so similar."""
     left = texts.select(F.col("h").alias("a"), F.col("line").alias("la"))
     right = texts.select(F.col("h").alias("b"), F.col("line").alias("lb"))
-    # the count is bound by a lambda: a filter on a column might make both sets again for each use of it
-    counts = f"array(size(array_intersect({shingle_hashes('la', size)}, {shingle_hashes('lb', size)})))"
-    return pairs.join(left, "a").join(right, "b").where(f"exists({counts}, c -> c >= {float(similarity)}D * (s - c))").select("a", "b")
+    # the lists are rows of a generator: a filter on columns might make them again for each use
+    lists = f"inline(array(struct({shingle_hashes('la', size)} AS sa, {shingle_hashes('lb', size)} AS sb)))"
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", F.expr(lists))
+    return met.where(f"size(array_intersect(sa, sb)) >= {float(similarity)}D * size(array_union(sa, sb))").select("a", "b")
 
 
 def promising(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
-    """The distinct pairs (a, b) that can be similar, and the sum s of their sets' sizes."""
-    out = pairs.distinct().join(prints.alias("x"), F.expr("a = x.h")).join(prints.alias("y"), F.expr(f"b = y.h AND {possible('x', 'y', similarity)}"))
-    return out.select("a", "b", F.expr("x.s + y.s").alias("s"))
+    """The distinct pairs (a, b) that can be similar."""
+    return pairs.distinct().join(prints.alias("x"), F.expr("a = x.h")).join(prints.alias("y"), F.expr(f"b = y.h AND {possible('x', 'y', similarity)}")).select("a", "b")
 
 
-def open_pairs(left: DataFrame, similarity: float, hashes: int, agreeing: int) -> DataFrame:
-    """The candidates of each key whose lines are in different components, but for those with its hub: one of the two isn't in the key's largest component."""
+def open_pairs(left: DataFrame, hashes: int, agreeing: int) -> DataFrame:
+    """The candidates of each key whose lines are in different components, but for those with its hub: one of the two isn't in the key's largest component.
+    Bitmaps are compared by a join of their own, of the pairs that agree: with 16 longs more of each line this one took some 5 microseconds a comparison."""
     minor = left.where("component <> main").alias("x")
     once = "(y.component = y.main OR x.h < y.h) AND NOT x.is_hub AND NOT y.is_hub AND x.component <> y.component"
-    met = minor.join(left.alias("y"), F.expr(f"x.key = y.key AND {once} AND {agree('x', 'y', hashes, agreeing)} AND {possible('x', 'y', similarity)} AND x.key = array_min(array_intersect(x.keys, y.keys))"))
-    return met.select(F.expr("x.h").alias("a"), F.expr("y.h").alias("b"), F.expr("x.s + y.s").alias("s"))
+    met = minor.join(left.alias("y"), F.expr(f"x.key = y.key AND {once} AND {agree('x', 'y', hashes, agreeing)} AND x.key = array_min(array_intersect(x.keys, y.keys))"))
+    return met.select(F.expr("x.h").alias("a"), F.expr("y.h").alias("b"))
 
 
 def fuzzy_lines(docs: DataFrame, size: int = 5, similarity: float = 0.8, hashes: int = 24, rows: int = 4, bands: int = 12, agreeing: int = 12, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(h, component, keep): the different lines that occur more than once, or are similar to another, with the smallest doc_id of their component.  ``hashes`` is a multiple of 8."""
     lines = split_lines(docs)
     low = [f"q{w}" for w in range(hashes // 8)]
-    sig = materialize(signatures(lines, size, hashes, rows, bands), "line-sig")
+    sig = materialize(signatures(lines, size, hashes, rows, bands), "line-sig", dictionary=False)
     keyed = sig.select("h", *low, F.explode(F.array(*[f"k{j}" for j in range(bands)])).alias("key"))
     shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "line-keys")
-    members = materialize(with_keys(keyed, shared, shared.count(), broadcast_rows), "line-members")
+    members = materialize(with_keys(keyed, shared, shared.count(), broadcast_rows), "line-members", dictionary=False)
     first = materialize(sig.select("h", "doc", "n"), "line-first")
     discard(sig, shared)
 
     near = members.alias("x").join(members.alias("y"), F.expr(f"x.key = y.key AND x.h <> y.h AND {agree('x', 'y', hashes, agreeing)}"), "left_semi")
-    near = materialize(near, "line-near")
+    near = materialize(near, "line-near", dictionary=False)
     discard(members)
 
     sizes = near.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
@@ -182,7 +208,7 @@ def fuzzy_lines(docs: DataFrame, size: int = 5, similarity: float = 0.8, hashes:
     hashed = split_lines(docs.join(holders, "doc_id", "left_semi")).select("doc_id", F.xxhash64("line").alias("h"), "line")
     texts = hashed.join(bounded(nodes.select("h", F.col("doc").alias("doc_id")), n_nodes, broadcast_rows), ["h", "doc_id"]).dropDuplicates(["h"])
     texts = materialize(texts.select("h", "line"), "line-texts")
-    prints = materialize(parities(texts, size), "line-parities")
+    prints = materialize(bitmaps(texts, size), "line-bitmaps", dictionary=False)
 
     ranked = near.select("key", "h").join(nodes.select("h", "partners"), "h")
     hubs = materialize(ranked.groupBy("key").agg(F.max(F.struct("partners", "h")).alias("top"), F.count(F.lit(1)).alias("c")).select("key", F.col("top.h").alias("hub"), "c"), "line-hubs")
@@ -193,10 +219,13 @@ def fuzzy_lines(docs: DataFrame, size: int = 5, similarity: float = 0.8, hashes:
     # lines of one component needn't meet any more; a key of a single one is done, and so is a pair
     left = near.join(comp.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h")).join(hubs.where("c > 2"), "key").withColumn("is_hub", F.expr("h = hub"))
     parts = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
-    left = left.join(parts.where("parts > 1").select("key", F.col("top.component").alias("main")), "key").join(nodes.select("h", "keys"), "h").join(prints, "h")
+    left = left.join(parts.where("parts > 1").select("key", F.col("top.component").alias("main")), "key").join(nodes.select("h", "keys"), "h")
     left = materialize(left.drop("hub", "c"), "line-left")
-    more = materialize(verified(open_pairs(left, similarity, hashes, agreeing), texts, similarity, size), "line-links")
-    discard(near, hubs, left, texts, prints, nodes)
+    likely = materialize(promising(open_pairs(left, hashes, agreeing), prints, similarity), "line-likely")
+    lines_left = texts.join(likely.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h", "left_semi")
+    odd = materialize(parities(lines_left, size), "line-parities")
+    more = materialize(verified(promising(likely, odd, similarity), texts, similarity, size), "line-links")
+    discard(near, hubs, left, texts, prints, nodes, likely, odd)
 
     known = comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = materialize(connected_components(known.unionByName(more), "lines"), "line-components")

@@ -167,6 +167,32 @@ def test_sets_of_a_pair_are_made_once(spark):
     assert sorted(tuple(r) for r in links.collect()) == [(1, 2), (4, 4)]
 
 
+def test_filters_of_line_pairs_lose_no_similar_pair(spark):
+    # bitmaps and parities of characters beyond ASCII, repeated shingles, short and long lines
+    rng = random.Random(29)
+    base = ["", "abc", "abcde", "ab" * 60, "\U0001f600\u00e9" * 9, *["".join(rng.choice("abcdefgh \u00e9\u4e00\U0001f600") for _ in range(n)) for n in (6, 30, 90, 400, 3000)]]
+    texts = dict(enumerate(x if k == 0 else "".join("#" if rng.random() < k / 100 else c for c in x) for x in base for k in (0, 1, 2, 4)))
+    sets = {h: {x[i : i + 5] for i in range(max(1, len(x) - 4))} for h, x in texts.items()}
+    frame_ = spark.createDataFrame(list(texts.items()), "h long, line string")
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts if a < b], "a long, b long")
+    similar = {(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(similar) > 15 and {tuple(r) for r in lines.verified(pairs, frame_, 0.8, 5).collect()} == similar
+    for prints in (lines.bitmaps(frame_, 5), lines.parities(frame_, 5)):
+        left = {tuple(r) for r in lines.promising(pairs, prints, 0.8).collect()}
+        assert similar <= left and len(left) < pairs.count() / 2
+    assert {r["h"]: r["n"] for r in lines.bitmaps(frame_, 5).collect()} == {h: max(1, len(x) - 4) for h, x in texts.items()}
+    assert {r["h"]: r["n"] for r in lines.parities(frame_, 5).collect()} == {h: len(x) for h, x in sets.items()}
+
+
+def test_candidates_of_a_key_meet_without_their_bitmaps(spark):
+    # the join of a key's lines compares 24 low bytes only: rows of 16 longs more took 5 microseconds a comparison
+    left = spark.createDataFrame([(7, h, 1, 2, 3, h, 1, False, [7]) for h in (1, 2, 3)], "key long, h long, q0 long, q1 long, q2 long, component long, main long, is_hub boolean, keys array<long>")
+    assert sorted(tuple(sorted(r)) for r in lines.open_pairs(left, 24, 12).collect()) == [(1, 2), (1, 3), (2, 3)]
+    rows = [(5, -7, 3, 9), (-1, -2, -3, -4), (4, 4, 4, 4), (2**63 - 1, -(2**63), 0, 1)]
+    got = spark.createDataFrame(rows, "a long, b long, c long, d long").select(*[lines.smallest([F.col(c) for c in "abcd"[:k]]) for k in (1, 2, 3, 4)]).collect()
+    assert [tuple(r) for r in got] == [tuple(min(x[:k]) for k in (1, 2, 3, 4)) for x in rows]
+
+
 def test_lines_of_one_id_with_different_texts(spark):
     docs = [(1, "a line that all share\nthe first one's own line"), (2, "clean words of the second\na line that all share"), (2, "a line that all share\nother clean words"), (2, "a line that all share\nother clean words"), (3, "some single text"), (4, "twice here"), (4, "twice here\nand more")]
     got = sorted((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup(frame(spark, docs)).collect() if r["doc_id"] < 4)
