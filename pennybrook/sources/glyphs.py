@@ -2,9 +2,11 @@
 
 Per page: runs cluster into lines; the line with the most header words gives the columns (or a page before it did); runs are dealt to columns by overlap;
 wrapped lines are joined to the row above; what follows a gap of 1.5 row pitches is not the table any more.  The largest group is a page's runs, and a
-file's pages where they inherit columns and number their rows; a file has at most ``MAX_PAGES`` pages, as the limit is part of the result.
+file's pages where they inherit columns and number their rows.  All pages are read with ``max_pages=None``, as the query does; a caller who says nothing gets a
+file's first ``MAX_PAGES``, the source's limit for one document.
 
-Defined cases: runs without text are left out, null positions are 0; runs of one place are taken in the order of their text.
+Defined cases: runs without text are left out, null positions are 0; runs without a file or a page are a file or a page of their own, before the others; runs of one
+place are taken in the order of their text.
 """
 
 from __future__ import annotations
@@ -140,12 +142,16 @@ def without_repeated_headers(grid: DataFrame) -> DataFrame:
     return grid.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("row")) - 1).alias("row"), "cells")
 
 
-def read_glyphs(glyphs: DataFrame) -> DataFrame:
-    """(file, row, cells) from (file, page, text, x, y, width)."""
+def read_glyphs(glyphs: DataFrame, max_pages: int | None = MAX_PAGES) -> DataFrame:
+    """(file, row, cells) from (file, page, text, x, y, width); of a file's first ``max_pages`` pages, or of all with None."""
     at = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("x", "y", "width")}
-    runs = cut(glyphs.where("text <> ''").select(*PAGE, "text", *[v.alias(c) for c, v in at.items()]))  # pages, runs and places each read them
-    pages = runs.select(*PAGE).distinct().withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("page"))).where(F.col("nth") <= MAX_PAGES).drop("nth")
-    runs = cut(lines_of(runs.join(pages, PAGE, "left_semi").where(strip(F.col("text")) != "")))
+    keys = [F.struct(c).alias(c) for c in PAGE]  # joins drop null keys, but not structs of them
+    runs = cut(glyphs.where("text <> ''").select(*keys, "text", *[v.alias(c) for c, v in at.items()]))  # pages, runs and places each read them
+    pages = runs.select(*PAGE).distinct()
+    if max_pages is not None:
+        pages = pages.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("page"))).where(F.col("nth") <= max_pages).drop("nth")
+        runs = runs.join(pages, PAGE, "left_semi")
+    runs = cut(lines_of(runs.where(strip(F.col("text")) != "")))
     headers = header_lines(runs)
     own = pages.join(headers, PAGE, "left").join(spans_of(runs, headers), PAGE, "left")
     # a page without columns of its own has those of the last page before it that has some
@@ -154,7 +160,7 @@ def read_glyphs(glyphs: DataFrame) -> DataFrame:
     band = placed.where(F.col("spans").isNotNull() & (F.col("line") >= F.coalesce("header", F.lit(0))))
     rows = rows_by_columns(cells_of(band)).unionByName(rows_by_gaps(placed.where("spans is null")))
     grid = rows.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("page", "at")) - 1).alias("row"), "cells")
-    return without_repeated_headers(cut(grid))
+    return without_repeated_headers(cut(grid)).select("file.file", "row", "cells")
 
 
 def modal_width(grid: DataFrame) -> DataFrame:

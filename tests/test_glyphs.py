@@ -1,9 +1,11 @@
 """Tables from positioned text: joins and windows against plain Python, on random pages."""
 
 import random
+from datetime import datetime
 
 import pytest
 
+from pennybrook import queries
 from pennybrook.sources import glyphs
 
 from . import plain_glyphs as plain
@@ -65,6 +67,26 @@ def test_page_limit(spark):
     assert len(got[1]) == 200 and got == expected(rows)
 
 
+def test_query_reads_all_pages_and_files(spark, tmp_path):
+    orders = [(k, {0: 5, 1: 6}.get(k % 2) if k < 8400 else None, k + 0.25, datetime(2026, 1, 1 + k % 28)) for k in range(8430)]  # two files of 210 pages
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    want = {f: ["交易日期|金额|附言"] for f in (5, 6, None)}
+    for k, file, _, day in orders:
+        note = ["午餐", "bus fare", ""][k % 3]
+        more = "" if k % 5 or not note else " home" if k % 3 else "外卖"
+        want[file].append(f"{day:%Y-%m-%d}|{k}25|{note}{more}" if k else f"{day:%Y-%m-%d}|25|{note}{more}")
+    got = {f: {} for f in want}
+    for r in queries.queries()["glyph_tables"](spark, str(tmp_path)).collect():
+        assert got[r["file"]].setdefault(r["row"], r["cells"]) is r["cells"]
+    assert {f: [rows[i] for i in sorted(rows)] for f, rows in got.items()} == want and all(max(rows) == len(rows) - 1 for rows in got.values())
+
+
+def test_runs_without_file_or_page(spark):
+    rows = [(f, p, f"line {f} {p}", 40.0, 700.0, 30.0) for f in (None, 1) for p in (None, 0, 3)]
+    got = glyphs.read_glyphs(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["file"], r["row"]): r["cells"] for r in got} == {(f, i): [f"line {f} {p}"] for f in (None, 1) for i, p in enumerate((None, 0, 3))} and len(got) == 6
+
+
 @pytest.mark.parametrize(("text", "want"), [("abc", 3), ("午餐", 4), ("a午", 3), ("𠮷", 2), ("", 0)])
 def test_weight(spark, text, want):
     from pyspark.sql import functions as F
